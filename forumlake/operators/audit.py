@@ -51,6 +51,16 @@ def audit_domains(tables: Tables, names: Iterable[str]) -> DataFrame:
     return _union(_protocol(tables[n], n, column_rules(n, tables[n].columns)) for n in names)
 
 
+def _tally(parts: list[tuple[tuple[str, str], DataFrame]], labels: tuple[str, str], counts: list[str]) -> DataFrame:
+    """Sum the counts of many small findings in one aggregation; labels without any show 0."""
+    names = [*labels, *counts]
+    zeros = ", ".join(f"({', '.join(repr(x) for x in label)}, {', '.join('0L' for _ in counts)})" for label, _ in parts)
+    found = [df.select(*[F.lit(v).alias(n) for n, v in zip(labels, label)], *counts) for label, df in parts]
+    spark = parts[0][1].sparkSession
+    rows = _union([spark.sql(f"SELECT * FROM VALUES {zeros} AS t({', '.join(names)})"), *found])
+    return rows.groupBy(*labels).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def audit_unique(tables: Tables, names: Iterable[str]) -> DataFrame:
     """Primary and unique keys: (table_name, key, repeated_keys, surplus_rows).
 
@@ -61,14 +71,9 @@ def audit_unique(tables: Tables, names: Iterable[str]) -> DataFrame:
         keys = [(primary_key(name),)] + ([UNIQUE_KEYS[name]] if name in UNIQUE_KEYS else [])
         for key in keys:
             groups = tables[name].dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-            parts.append(
-                groups.where("_n > 1").agg(
-                    F.count(F.lit(1)).alias("repeated_keys"),
-                    F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("surplus_rows"),
-                ).select(F.lit(name).alias("table_name"), F.lit(", ".join(key)).alias("key"),
-                         "repeated_keys", "surplus_rows")
-            )
-    return _union(parts)
+            repeated = groups.where("_n > 1").selectExpr("1L AS repeated_keys", "_n - 1 AS surplus_rows")
+            parts.append(((name, ", ".join(key)), repeated))
+    return _tally(parts, ("table_name", "key"), ["repeated_keys", "surplus_rows"])
 
 
 def audit_references(tables: Tables, names: Iterable[str]) -> DataFrame:
@@ -82,20 +87,13 @@ def audit_references(tables: Tables, names: Iterable[str]) -> DataFrame:
     for fk in FOREIGN_KEYS:
         if fk.table not in names:
             continue
-        used = (
-            tables[fk.table].select(F.col(fk.column).alias("_ref")).where(F.col("_ref").isNotNull())
-            .groupBy("_ref").agg(F.count(F.lit(1)).alias("_n"))
-        )
+        used = tables[fk.table].selectExpr(f"{fk.column} AS _ref").where("_ref IS NOT NULL")
         if (fk.table, fk.column) == ("moderation_logs", "moderator_id"):
             used = used.where(F.col("_ref") != SYSTEM_ACTOR)  # reserved actor, never a row
-        parent = tables[fk.parent].select(F.col("id").alias("_ref"))
-        parts.append(
-            used.join(parent, "_ref", "left_anti")
-            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphan_rows"))
-            .select(F.lit(fk.table).alias("table_name"),
-                    F.lit(f"{fk.column} -> {fk.parent}").alias("reference"), "orphan_rows")
-        )
-    return _union(parts)
+        used = used.groupBy("_ref").agg(F.count(F.lit(1)).alias("orphan_rows"))
+        parent = tables[fk.parent].selectExpr("id AS _ref")
+        parts.append(((fk.table, f"{fk.column} -> {fk.parent}"), used.join(parent, "_ref", "left_anti")))
+    return _tally(parts, ("table_name", "reference"), ["orphan_rows"])
 
 
 def audit_checks(tables: Tables) -> DataFrame:

@@ -19,13 +19,8 @@ def child_counts(key: str, **children: tuple[DataFrame, str] | tuple[DataFrame,
     stacked = []
     for name, (df, column, *condition) in children.items():
         rows = df.where(condition[0]) if condition else df
-        rows = rows.where(F.col(column).isNotNull())
-        stacked.append(
-            rows.select(
-                F.col(column).alias(key),
-                *[F.lit(int(n == name)).cast("bigint").alias(n) for n in names],
-            )
-        )
+        flags = [f"{int(n == name)}L AS {n}" for n in names]
+        stacked.append(rows.where(f"{column} IS NOT NULL").selectExpr(f"{column} AS {key}", *flags))
     union = reduce(DataFrame.unionByName, stacked)
     return union.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
 
@@ -33,7 +28,7 @@ def child_counts(key: str, **children: tuple[DataFrame, str] | tuple[DataFrame,
 def with_counts(parents: DataFrame, counts: DataFrame, parent_key: str, key: str) -> DataFrame:
     """Left-join counts to parents; absent counts are 0."""
     names = [c for c in counts.columns if c != key]
-    return parents.join(counts, parents[parent_key] == counts[key], "left").select(
-        *[parents[c] for c in parents.columns],
-        *[F.coalesce(counts[n], F.lit(0).cast("bigint")).alias(n) for n in names],
+    keyed = counts.withColumnRenamed(key, "_counted")
+    return parents.join(keyed, F.expr(f"{parent_key} = _counted"), "left").selectExpr(
+        *parents.columns, *[f"coalesce({n}, 0L) AS {n}" for n in names]
     )

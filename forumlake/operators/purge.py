@@ -97,8 +97,9 @@ def purge(tables: Tables, root: str, ids: DataFrame) -> Tables:
 
 def purge_report(tables: Tables, root: str, ids: DataFrame) -> DataFrame:
     """(table_name, removed_rows) for a delete that is only planned."""
-    parts = [
-        gone.agg(F.count(F.lit(1)).alias("removed_rows")).select(F.lit(table).alias("table_name"), "removed_rows")
-        for table, gone in doomed_rows(tables, root, ids).items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    doomed = doomed_rows(tables, root, ids)
+    names = ", ".join(f"('{table}', 0L)" for table in doomed)
+    rows = ids.sparkSession.sql(f"SELECT * FROM VALUES {names} AS t(table_name, removed_rows)")
+    for table, gone in doomed.items():
+        rows = rows.unionByName(gone.selectExpr(f"'{table}' AS table_name", "1L AS removed_rows"))
+    return rows.groupBy("table_name").agg(F.sum("removed_rows").alias("removed_rows"))

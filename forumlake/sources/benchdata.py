@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from forumlake.schema import TABLES
-from forumlake.sources.tables import empty, with_defaults
+from forumlake.sources.tables import add_missing, empty
 
 AS_OF = "2001-08-01 00:30:00"  # the newest posts are half an hour old
 REQUESTS_AS_OF = "2024-02-01 00:00:00"  # after the last event
@@ -32,7 +32,7 @@ SOURCES = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
 }
 
-_USER_OF_PART = "CAST(FLOOR(l_partkey * 0.75) AS BIGINT)"
+_USER_OF_PART = "CAST(FLOOR(l_partkey * 0.75e0) AS BIGINT)"  # a double: exact here and far cheaper than a decimal
 
 
 def _reactions(condition: str, extra: str = "") -> str:
@@ -313,7 +313,7 @@ class BenchTables(dict):
         else:
             raise KeyError(name)
         if name in TABLES and name in ENTRIES:
-            df = with_defaults(df, name, AS_OF)  # columns the benchmark data has no source for
+            df = add_missing(df, name, AS_OF)  # columns the benchmark data has no source for
         self[name] = df
         return df
 
@@ -324,6 +324,17 @@ class BenchTables(dict):
             return default
 
 
+_LOADED: dict[tuple[str, str], BenchTables] = {}
+
+
+def bench_tables(spark: SparkSession, sf_dir: str) -> BenchTables:
+    """The (lazy) frames of a directory, planned once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        _LOADED[key] = BenchTables(spark, sf_dir)
+    return _LOADED[key]
+
+
 def with_clause(*names: str) -> str:
     """WITH clause that defines the named entries and all they need, for the check SQL."""
     ordered: list[str] = []

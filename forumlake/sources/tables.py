@@ -8,10 +8,8 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from forumlake.functions.exprs import ntz
-from forumlake.schema import NOW, TABLES, struct_type
+from forumlake.schema import NOW, TABLES, Column, struct_type
 
 Tables = dict[str, DataFrame]
 
@@ -24,22 +22,38 @@ def load_tables(spark: SparkSession, root: str, names: Iterable[str] | None = No
     }
 
 
+def _default_sql(column: Column, as_of: datetime | str) -> str:
+    if column.default is None:
+        return "NULL"
+    if column.default is NOW:
+        return f"TIMESTAMP_NTZ'{as_of}'"
+    return repr(column.default) if isinstance(column.default, str) else str(column.default)
+
+
+def add_missing(df: DataFrame, table: str, as_of: datetime | str) -> DataFrame:
+    """Append the table's columns that the frame lacks, filled with their default."""
+    present = set(df.columns)
+    absent = [c for c in TABLES[table] if c.name not in present]
+    return df.selectExpr(
+        "*", *[f"CAST({_default_sql(c, as_of)} AS {c.type.simpleString()}) AS {c.name}" for c in absent]
+    )
+
+
 def with_defaults(df: DataFrame, table: str, as_of: datetime | str) -> DataFrame:
     """All columns of the table, in order; absent or NULL values take the column default.
 
     Column types of the input are kept, so ids may be numbers or text.
     """
-    columns = []
-    for column in TABLES[table]:
-        default = ntz(as_of) if column.default is NOW else F.lit(column.default)
-        if column.name not in df.columns:
-            value = default.cast(column.type)
-        elif column.default is None:
-            value = F.col(column.name)
-        else:
-            value = F.coalesce(F.col(column.name), default.cast(df.schema[column.name].dataType))
-        columns.append(value.alias(column.name))
-    return df.select(*columns)
+    full = add_missing(df, table, as_of)
+    types = dict(full.dtypes)
+    return full.selectExpr(
+        *[
+            c.name
+            if c.default is None
+            else f"coalesce({c.name}, CAST({_default_sql(c, as_of)} AS {types[c.name]})) AS {c.name}"
+            for c in TABLES[table]
+        ]
+    )
 
 
 def load_dimension(
@@ -93,5 +107,11 @@ def register_views(tables: Tables, prefix: str = "") -> None:
         df.createOrReplaceTempView(prefix + name)
 
 
-def is_text(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.StringType)
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """Save as a table clustered by `key`, so that joins on it need no shuffle.
+
+    Meant for tables with one row per key (posts by id, permissions by post_id), where
+    buckets cannot be lopsided. Child rows of a viral post would all share one bucket:
+    leave those unbucketed, their counts are combined before the shuffle.
+    """
+    df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
