@@ -69,34 +69,31 @@ def register_users(
         (F.col(c).isNull(), M.NULL_VALUE.format(c)) for c in ("id", "email", "login_method", "status")
     ]
     found = F.col("_holder").isNotNull()
-    if returning:  # an existing email is answered before any insert could fail
-        insert_checks = [(~found & condition, text) for condition, text in null_checks]
-        insert_checks.append((~found & F.col("_same_id").isNotNull(), M.DUPLICATE_VALUE.format("id")))
-    else:
-        insert_checks = null_checks + [
-            (F.col("_same_id").isNotNull(), M.DUPLICATE_VALUE.format("id")),
-            (found, M.DUPLICATE_VALUE.format("email")),
-        ]
+    insert_checks = null_checks + [(F.col("_same_id").isNotNull(), M.DUPLICATE_VALUE.format("id"))]
     judged = known.select(
         *[requests[c] for c in requests.columns],
         F.col("_holder"),
-        first_reason(*enum_checks, *insert_checks).alias("reason"),
+        first_reason(*enum_checks).alias("_call_error"),
+        F.when(~found | F.lit(not returning), first_reason(*insert_checks)).alias("_insert_error"),
     )
 
-    claims = judged.where(F.col("reason").isNull() & F.col("_holder").isNull()).select("id", "email", *ORDER)
+    free = F.col("_call_error").isNull() & F.col("_holder").isNull()
+    claims = judged.where(free & F.col("_insert_error").isNull()).select("id", "email", *ORDER)
     winners = _settle_claims(claims)
-    emails = winners.select(F.col("email").alias("_won_email"), F.col("id").alias("_won_id"), F.struct(*ORDER).alias("_won_at"))
-    ids = winners.select(F.col("id").alias("_used_id"), F.struct(*ORDER).alias("_used_at"))
     order = F.struct(*ORDER)
+    emails = winners.select(F.col("email").alias("_won_email"), F.col("id").alias("_won_id"), order.alias("_won_at"))
+    ids = winners.select(F.col("id").alias("_used_id"), order.alias("_used_at"))
     settled = judged.join(emails, judged["email"] == emails["_won_email"], "left")
     settled = settled.join(ids, settled["id"] == ids["_used_id"], "left")
-    open_ = F.col("reason").isNull() & F.col("_holder").isNull()
-    is_winner = open_ & (F.col("_won_at") == order)
-    email_taken = open_ & (F.col("_won_at") < order)
-    id_taken = open_ & (F.col("_used_at") < order)
-    late = [(id_taken & ~F.coalesce(email_taken, F.lit(False)), M.DUPLICATE_VALUE.format("id"))] if returning else [
-        (id_taken, M.DUPLICATE_VALUE.format("id")), (email_taken, M.DUPLICATE_VALUE.format("email"))]
-    reason = F.coalesce("reason", first_reason(*late))
+    is_winner = F.coalesce(free & F.col("_insert_error").isNull() & (F.col("_won_at") == order), F.lit(False))
+    email_taken = F.coalesce(free & (F.col("_won_at") < order), F.lit(False))
+    id_error = F.when(F.col("_used_at") < order, F.lit(M.DUPLICATE_VALUE.format("id")))
+    insert_error = F.coalesce("_insert_error", id_error)
+    if returning:  # a known email is answered before an insert could fail
+        reason = F.coalesce("_call_error", F.when(~found & ~email_taken, insert_error))
+    else:
+        taken = F.when(found | email_taken, F.lit(M.DUPLICATE_VALUE.format("email")))
+        reason = F.coalesce("_call_error", insert_error, taken)
     user_id = F.coalesce("_holder", F.when(email_taken, F.col("_won_id")), F.when(is_winner, F.col("id")))
     decided = settled.select(
         *[judged[c] for c in requests.columns],
