@@ -1,12 +1,16 @@
 import os
 import sys
+import tempfile
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from forumlake.schema import TABLES, struct_type  # noqa: E402
+from pyspark.sql.types import StructField, StructType  # noqa: E402
+
+from forumlake.schema import TABLES  # noqa: E402
 from forumlake.session import build_session  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -27,6 +31,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -37,7 +42,7 @@ def spark():
 _DEFAULTS = {
     "type": "university", "login_method": "email", "role": "student", "status": "active", "post_type": "confession",
     "category": "social", "is_active": True, "is_hot": False, "is_hidden": False, "content": "text", "label": "l",
-    "score": 0, "comment_permission": "all", "view_permission": "all", "reason": "spam", "next_user_index": 1,
+    "score": Decimal(0), "comment_permission": "all", "view_permission": "all", "reason": "spam", "next_user_index": 1,
     "name": "n", "short_name": "s", "display_name": "d", "base_url": "http://x/", "format": "png", "width": 1,
     "height": 1, "size": 1, "value": "v", "is_read": False,
 }
@@ -47,11 +52,14 @@ _DEFAULTS = {
 def forum(spark):
     """Builds the full table set from sparse row dicts; required columns get plain values."""
 
+    schemas = {n: StructType([StructField(c.name, c.type) for c in TABLES[n]]) for n in TABLES}
+    empties = {n: spark.createDataFrame([], schemas[n]) for n in TABLES}
+
     def build(**rows):
-        tables = {}
-        for name in TABLES:
+        tables = dict(empties)
+        for name in list(rows):
             data = []
-            for row in rows.pop(name, []):
+            for row in rows.pop(name):
                 full = {}
                 for c in TABLES[name]:
                     value = row.get(c.name)
@@ -59,7 +67,7 @@ def forum(spark):
                         value = T0 if c.name.endswith("_at") else _DEFAULTS.get(c.name, f"{c.name}-{row.get('id')}")
                     full[c.name] = value
                 data.append(tuple(full[c.name] for c in TABLES[name]))
-            tables[name] = spark.createDataFrame(data, struct_type(name))
+            tables[name] = spark.createDataFrame(data, schemas[name])
         assert not rows, rows
         return tables
 
