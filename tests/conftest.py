@@ -31,6 +31,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"),
         },
     )
