@@ -78,7 +78,7 @@ def apply_post_deletes(tables: Tables, requests: DataFrame, as_of: datetime | st
             F.lit("deleted").alias("status"),
             "deleted_reason",
         )
-        log = moderation_log(
+        log = lambda: moderation_log(
             tables, rows.where(~F.col("by_owner")), as_of, M.ACTION_DELETE_POST, "post",
             ACTOR, "post_id", "detailed_reason",
         )
@@ -109,7 +109,7 @@ def apply_post_hides(tables: Tables, requests: DataFrame, as_of: datetime | str)
             F.lit("hidden").alias("status"),
             F.col("reason_category").alias("hidden_reason"),
         )
-        log = moderation_log(
+        log = lambda: moderation_log(
             tables, rows, as_of, M.ACTION_HIDE_POST, "post", ACTOR, "post_id", "detailed_reason"
         )
         return {"moderation_logs": log}, {"posts": delta}
@@ -163,7 +163,7 @@ def apply_comment_deletes(
             ntz(as_of).alias("deleted_at"),
             F.concat(F.lit(prefix), F.col("code")).alias("content"),
         )
-        log = moderation_log(
+        log = lambda: moderation_log(
             tables, rows.where(~F.col("by_owner")), as_of, M.ACTION_DELETE_COMMENT, "comment",
             ACTOR, "comment_id", "log_reason",
         )
@@ -271,7 +271,7 @@ def hide_reported_posts(
         detail = F.concat(
             F.lit(M.AUTO_HIDE_PREFIX), F.col("running").cast("string"), F.lit(f"/{threshold}{M.AUTO_HIDE_SUFFIX}")
         )
-        log = moderation_log(
+        log = lambda: moderation_log(
             tables,
             hidden.select("post_id", "created_at", "id", detail.alias("detail"), F.lit(SYSTEM_ACTOR).alias("actor")),
             as_of, M.ACTION_HIDE_POST, "post", "actor", "post_id", "detail", order=("created_at", "id"),
@@ -320,7 +320,7 @@ def delete_reported_comments(
             ntz(as_of).alias("deleted_at"),
             F.lit(prefix + M.DELETED_BY_SYSTEM).alias("content"),
         )
-        log = moderation_log(
+        log = lambda: moderation_log(
             tables,
             over.select("comment_id", F.lit(M.AUTO_DELETE_REASON).alias("detail"), F.lit(SYSTEM_ACTOR).alias("actor")),
             as_of, M.ACTION_DELETE_COMMENT, "comment", "actor", "comment_id", "detail", order=("comment_id",),

@@ -13,11 +13,30 @@ from pyspark.sql import functions as F
 from forumlake.functions.exprs import ntz
 from forumlake.functions.ranking import number_rows
 from forumlake.schema import primary_key
+from forumlake.session import freeze
 from forumlake.sources.tables import Tables, conform
 
 APPLIED, NOOP, REJECTED = "applied", "noop", "rejected"
 
 
+class Deltas(Mapping):
+    """Row changes per table. Values given as functions are built when first asked for."""
+
+    def __init__(self, values: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self._values = dict(values)
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if not isinstance(self._values[table], DataFrame):
+            self._values[table] = self._values[table]()
+        return self._values[table]
+
+    def __iter__(self):
+        return iter(self._values)
+
+    def __len__(self):
+        return len(self._values)
+
+
 @dataclass
 class Outcome:
     """Every request with its verdict, and the row changes of the applied ones.
@@ -25,13 +44,16 @@ class Outcome:
     `decided` holds the request columns plus `outcome` (applied / noop / rejected)
     and `reason`. `inserts` and `updates` map table names to rows; an update frame
     holds the key and the changed columns only. Both are built on first use, so a
-    caller interested in verdicts alone does not pay for id allocation.
+    caller interested in verdicts alone does not pay for id allocation. Use `frozen()`
+    when verdicts and changes are both written: the checks then run once.
     """
 
     decided: DataFrame
-    build: Callable[["Outcome"], tuple[dict[str, DataFrame], dict[str, DataFrame]]] = field(
-        default=lambda outcome: ({}, {})
-    )
+    build: Callable[["Outcome"], tuple[dict, dict]] = field(default=lambda outcome: ({}, {}))
+
+    def frozen(self) -> "Outcome":
+        """The same outcome over materialised verdicts."""
+        return Outcome(freeze(self.decided), self.build)
 
     @property
     def accepted(self) -> DataFrame:
@@ -46,15 +68,16 @@ class Outcome:
         return self.decided.where(F.col("outcome") == REJECTED).drop("outcome")
 
     @cached_property
-    def _deltas(self):
-        return self.build(self)
+    def _deltas(self) -> tuple[Deltas, Deltas]:
+        inserts, updates = self.build(self)
+        return Deltas(inserts), Deltas(updates)
 
     @property
-    def inserts(self) -> dict[str, DataFrame]:
+    def inserts(self) -> Deltas:
         return self._deltas[0]
 
     @property
-    def updates(self) -> dict[str, DataFrame]:
+    def updates(self) -> Deltas:
         return self._deltas[1]
 
 
@@ -87,6 +110,7 @@ def insert_rows(target: DataFrame, delta: DataFrame) -> DataFrame:
 
 def apply_outcome(tables: Tables, outcome: Outcome) -> Tables:
     """New table frames with the outcome's changes; write them as the next snapshot."""
+    outcome = outcome.frozen()
     after = dict(tables)
     for name, delta in outcome.updates.items():
         after[name] = update_rows(tables[name], delta, primary_key(name))

@@ -113,9 +113,9 @@ def ingest_posts(tables: Tables, requests: DataFrame, as_of: datetime | str) ->
         )
         return {
             "posts": posts,
-            "post_permissions": with_serial(tables, "post_permissions", permissions, *ORDER).drop(*ORDER),
-            "post_topics": _serials(tables, "post_topics", topic_rows(rows, as_of)),
-            "post_images": _serials(tables, "post_images", image_rows(rows, as_of)),
+            "post_permissions": lambda: with_serial(tables, "post_permissions", permissions, *ORDER).drop(*ORDER),
+            "post_topics": lambda: _serials(tables, "post_topics", topic_rows(rows, as_of)),
+            "post_images": lambda: _serials(tables, "post_images", image_rows(rows, as_of)),
         }, {}
 
     return Outcome(decided, build)
@@ -195,7 +195,7 @@ def apply_post_edits(tables: Tables, requests: DataFrame, as_of: datetime | str)
             F.coalesce("comment_permission", "_comment").alias("comment_permission"),
             F.coalesce("view_permission", "_view").alias("view_permission"),
         )
-        log = moderation_log(
+        log = lambda: moderation_log(
             tables, rows.where(~F.col("by_owner")), as_of, M.ACTION_UPDATE_POST, "post",
             "requesting_user_id", "post_id", "moderation_reason",
         )

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +31,8 @@ def reach(root: str) -> list[str]:
 
 
 def _marked(rows: DataFrame, column: str, dead: DataFrame, flag: str) -> DataFrame:
-    ids = dead.select(F.col("id").alias("_dead"))
-    return rows.join(ids, rows[column] == ids["_dead"], "left").withColumn(
-        flag, F.col("_dead").isNotNull()
-    ).drop("_dead")
+    """Adds `flag`, NULL unless `column` refers to a doomed row."""
+    return rows.join(dead.selectExpr(f"id AS {flag}"), F.expr(f"{column} = {flag}"), "left")
 
 
 def _with_replies(tables: Tables, table: str, gone: DataFrame) -> DataFrame:
@@ -66,7 +61,8 @@ def doomed_rows(tables: Tables, root: str, ids: DataFrame) -> dict[str, DataFram
             rows = tables[table].select("id", *dict.fromkeys(fk.column for fk in links))
             for i, fk in enumerate(links):
                 rows = _marked(rows, fk.column, doomed[fk.parent], f"_dead{i}")
-            gone = rows.where(reduce(or_, [F.col(f"_dead{i}") for i in range(len(links))])).select("id")
+            dead = " OR ".join(f"_dead{i} IS NOT NULL" for i in range(len(links)))
+            gone = rows.where(dead).select("id")
             doomed[table] = _with_replies(tables, table, gone)
         if table in inner:
             doomed[table] = freeze(doomed[table])
@@ -84,13 +80,8 @@ def purge(tables: Tables, root: str, ids: DataFrame) -> Tables:
             continue
         kept = after[fk.table] if fk.table in after else tables[fk.table]
         rows = _marked(kept, fk.column, doomed[fk.parent], "_cut")
-        after[fk.table] = rows.select(
-            *[
-                F.when(F.col("_cut"), F.lit(None)).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c)
-                if c == fk.column
-                else F.col(c)
-                for c in kept.columns
-            ]
+        after[fk.table] = rows.selectExpr(
+            *[f"IF(_cut IS NULL, {c}, NULL) AS {c}" if c == fk.column else c for c in kept.columns]
         )
     return after
 

@@ -294,7 +294,7 @@ def upsert_devices(tables: Tables, requests: DataFrame, as_of: datetime | str) -
             F.col("_first.requested_at").alias("requested_at"), F.col("_first.request_id").alias("request_id"),
         )
         return (
-            {"user_fcms": with_serial(tables, "user_fcms", fresh, *ORDER).drop(*ORDER)},
+            {"user_fcms": lambda: with_serial(tables, "user_fcms", fresh, *ORDER).drop(*ORDER)},
             {"user_fcms": updated},
         )
 

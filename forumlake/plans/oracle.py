@@ -36,6 +36,10 @@ def _n(child: str, parent: str, key: str = "post_id", extra: str = "") -> str:
     return f"(SELECT count(*) FROM {child} x WHERE x.{key} = {parent} {extra})"
 
 
+def _of_school(child: str, extra: str = "") -> str:
+    return f"(SELECT count(*) FROM kept JOIN {child} x ON x.post_id = kept.id WHERE kept.school_id = s.id {extra})"
+
+
 _VERDICT = "CASE WHEN reason IS NULL THEN 'applied' ELSE 'rejected' END AS outcome"
 _LIVE = "status = 'active' AND deleted_at IS NULL"
 
@@ -82,21 +86,17 @@ CHECKS: dict[str, str] = {
     "q_school_ranking": _sql("schools users images", f"""
         SELECT s.id, s.name, s.short_name, {_n('users', 's.id', 'school_id')} AS user_count, {_url('i')} AS image_url
         FROM schools s LEFT JOIN images i ON i.id = s.logo_image_id WHERE s.is_active"""),
-    "q_school_activity": _sql("schools users posts comments post_likes post_reports", """
-        SELECT s.id AS school_id, s.name AS school_name, count(DISTINCT u.id) AS user_count,
-               count(DISTINCT p.id) AS post_count, count(DISTINCT k.id) AS comment_count,
-               count(DISTINCT l.id) AS post_like_count, count(DISTINCT r.id) AS post_report_count
-        FROM schools s LEFT JOIN users u ON u.school_id = s.id
-        LEFT JOIN posts p ON p.school_id = s.id AND p.deleted_at IS NULL
-        LEFT JOIN comments k ON k.post_id = p.id AND k.deleted_at IS NULL
-        LEFT JOIN post_likes l ON l.post_id = p.id LEFT JOIN post_reports r ON r.post_id = p.id
-        GROUP BY s.id, s.name"""),
-    "q_user_notifications": _sql("users notifications notification_reads", """
-        SELECT u.id AS user_id, count(DISTINCT n.id) AS total_notifications,
-               count(DISTINCT r.id) FILTER (WHERE r.is_read) AS read_notifications,
-               count(DISTINCT n.id) - count(DISTINCT r.id) FILTER (WHERE r.is_read) AS unread_notifications
-        FROM users u LEFT JOIN notification_reads r ON r.user_id = u.id
-        LEFT JOIN notifications n ON n.id = r.notification_id GROUP BY u.id"""),
+    "q_school_activity": _sql("schools users posts comments post_likes post_reports", f"""
+        SELECT s.id AS school_id, s.name AS school_name, {_n('users', 's.id', 'school_id')} AS user_count,
+               (SELECT count(*) FROM kept WHERE kept.school_id = s.id) AS post_count,
+               {_of_school('comments', 'AND x.deleted_at IS NULL')} AS comment_count,
+               {_of_school('post_likes')} AS post_like_count, {_of_school('post_reports')} AS post_report_count
+        FROM schools s""", kept="SELECT id, school_id FROM posts WHERE deleted_at IS NULL"),
+    "q_user_notifications": _sql("users notification_reads", f"""
+        SELECT u.id AS user_id, {_n('notification_reads', 'u.id', 'user_id')} AS total_notifications,
+               {_n('notification_reads', 'u.id', 'user_id', 'AND x.is_read')} AS read_notifications,
+               {_n('notification_reads', 'u.id', 'user_id', 'AND NOT x.is_read')} AS unread_notifications
+        FROM users u"""),
     "q_alias_usage": _sql("aliases users", f"""
         SELECT id, display_name, {_n('users', 'aliases.id', 'alias_id')} AS used_count FROM aliases"""),
     "q_signup_stats": _sql("users", """

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forumlake import messages as M
+from forumlake.functions.exprs import ntz, seconds_between
 from forumlake.operators.moderation import delete_reported_comments, hide_reported_posts
 from forumlake.operators.outcome import Outcome, insert_rows, update_rows
 from forumlake.sources.tables import Tables
@@ -83,7 +84,7 @@ def _moderate(
             ids = touched.select(F.col(target).alias("id"))
             rows = tables[target_table].join(ids, "id", "left_semi").select(*tables[target_table].columns)
             now[target_table] = rows if changed is None else update_rows(rows, changed, "id")
-            outcome = run(now, batch)
+            outcome = run(now, batch).frozen()
             _write(outcome.inserts[reports_table], accepted_at, batch_id)
             _write(outcome.updates[target_table], changed_at, batch_id)
             _write(outcome.rejected, rejected_at, batch_id)
@@ -144,14 +145,18 @@ def latest_counters(spark: SparkSession, out: str) -> DataFrame:
 def stream_signups(stream: DataFrame, out: str, ts: str = "created_at", late: str = "1 day", once: bool = True) -> StreamingQuery:
     """Signups per day, each day written once the watermark has passed it.
 
-    Rows later than the watermark are dropped; rerun the batch report to correct.
+    Rows later than the watermark are dropped; rerun the batch report to correct. A
+    watermark needs an instant: zone-less times are read as UTC whatever the session
+    zone, and so are the days.
     """
+    micros = F.round(seconds_between(ntz("1970-01-01 00:00:00"), F.col(ts)) * 1e6).cast("bigint")
+    day = F.floor(F.unix_seconds(F.col("window.start")) / F.lit(86400)).cast("int")
     daily = (
-        stream.select(F.col(ts).cast("timestamp").alias("ts"))
+        stream.select(F.timestamp_micros(micros).alias("ts"))
         .withWatermark("ts", late)
         .groupBy(F.window("ts", "1 day"))
         .agg(F.count(F.lit(1)).alias("new_user_count"))
-        .select(F.to_date(F.col("window.start")).alias("signup_date"), "new_user_count")
+        .select(F.date_from_unix_date(day).alias("signup_date"), "new_user_count")
     )
     writer = (
         daily.writeStream.outputMode("append").format("parquet")

@@ -7,14 +7,10 @@ import pytest
 from conftest import DATA
 
 from forumlake.operators import feed, hydrate
-from forumlake.plans.queries import QUERIES
 from forumlake.schema import TABLES
 from forumlake.sources.benchdata import AS_OF, bench_tables
 from forumlake.sources.tables import load_tables, write_bucketed
 
-STREAMS = {name for name in QUERIES if name.startswith("q_stream")}
-
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -24,13 +20,6 @@ def tables(spark):
     return bench_tables(spark, DATA)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
-def test_no_product_join_and_no_python(name, tables):
-    text = plan(QUERIES[name](tables))
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
-        assert word not in text
-
-
 def test_feed_limits_groups_before_the_shuffle(tables):
     text = plan(feed.build_feeds(tables, AS_OF))
     assert len(re.findall(r"WindowGroupLimit .*Partial", text)) == 2
