@@ -2,8 +2,9 @@
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_RUNS (timed runs after one warm-up, median taken; default 3), BENCH_QUERIES
-(comma-separated names; default the headline list), BENCH_LITERAL=1 to add the
-row-product form of the counting queries, which the engine is measured against;
+(comma-separated names; default the headline list), BENCH_LITERAL (comma-separated
+literal_* names) to add row-product forms of counting queries, which the engine is
+measured against; literal_school_activity only fits small data;
 BENCH_DERIVED=1 to derive the forum tables from the source tables within every run
 instead of reading them from parquet files written in the warm-up.
 """
@@ -102,7 +103,7 @@ def main():
     names = chosen.split(",") if chosen else HEADLINE
     work = {name: QUERIES[name] for name in names}
     if os.environ.get("BENCH_LITERAL"):
-        work.update(LITERAL)
+        work.update({name: LITERAL[name] for name in os.environ["BENCH_LITERAL"].split(",")})
     spark = build_session(
         f"local[{cpus}]",
         **{

@@ -68,6 +68,8 @@ def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame
     extra = [c for c in facts.columns if c not in on]
     facts = facts.select(*[F.col(c).alias(f"_of_{c}") for c in on], *extra)
     condition = reduce(and_, [rows[c].eqNullSafe(facts[f"_of_{c}"]) for c in on])
+    if not keys:  # one fact per slice, so at most spark.sql.shuffle.partitions rows
+        facts = F.broadcast(facts)
     return rows.join(facts, condition, "left").drop(*[f"_of_{c}" for c in on])
 
 

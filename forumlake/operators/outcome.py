@@ -119,6 +119,24 @@ def apply_outcome(tables: Tables, outcome: Outcome) -> Tables:
     return after
 
 
+def update_stored(path: str, delta: DataFrame, key: str, partition_by: str) -> list:
+    """Apply an update delta to a stored, partitioned table; returns the partitions rewritten.
+
+    Only directories that hold changed rows are read in full and written again, e.g.
+    the months of the comments that were edited. The new rows are materialised before
+    the overwrite starts, so a lost task or a second run finds its input intact.
+    """
+    spark = delta.sparkSession
+    target = spark.read.parquet(path)
+    hit = target.select(key, partition_by).join(delta.select(key), key, "left_semi")
+    touched = [row[0] for row in hit.select(partition_by).distinct().collect()]  # one value per directory
+    if touched:
+        rows = freeze(update_rows(target.where(F.col(partition_by).isin(touched)), delta, key))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(partition_by).parquet(path)
+    return sorted(touched)
+
+
 def stamp(delta: DataFrame, as_of: datetime | str) -> DataFrame:
     """Changed rows carry the time of the change."""
     return delta.withColumn("updated_at", ntz(as_of))

@@ -1,6 +1,8 @@
 from conftest import NOW, T0, at
+from pyspark.sql import functions as F
 
 from forumlake.operators import audit, purge
+from forumlake.operators.outcome import update_stored
 from forumlake.sources.tables import append_events, load_dimension, load_tables, register_views, write_snapshot
 
 
@@ -30,6 +32,22 @@ def test_append_events_by_day(spark, forum, tmp_path):
     assert len([p for p in (tmp_path / "user_logins").iterdir() if p.name.startswith("day=")]) == 3
 
 
+def test_update_rewrites_touched_partitions_only(spark, forum, frame, tmp_path):
+    rows = [{"id": i, "post_id": "p", "user_id": "u", "created_at": at(i * 1440)} for i in range(6)]
+    path = str(tmp_path / "comments")
+    comments = forum(comments=rows)["comments"].withColumn("day", F.to_date("created_at"))
+    comments.write.partitionBy("day").parquet(path)
+    before = {p.name: sorted(f.name for f in p.glob("*.parquet")) for p in (tmp_path / "comments").glob("day=*")}
+    delta = frame("id BIGINT, content STRING", [{"id": 2, "content": "new"}, {"id": 77, "content": "none"}])
+    touched = update_stored(path, delta, "id", "day")
+    after = {p.name: sorted(f.name for f in p.glob("*.parquet")) for p in (tmp_path / "comments").glob("day=*")}
+    assert [str(d) for d in touched] == ["2024-01-03"]
+    assert {d for d in before if before[d] != after[d]} == {"day=2024-01-03"}
+    stored = spark.read.parquet(path)
+    assert stored.count() == 6 and [r["id"] for r in stored.where("content = 'new'").collect()] == [2]
+    assert update_stored(path, delta.where("id = 77"), "id", "day") == []
+
+
 def _counts(df, *labels):
     return {tuple(r[c] for c in labels): r for r in df.collect()}
 
