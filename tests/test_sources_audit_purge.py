@@ -8,10 +8,10 @@ from forumlake.sources.tables import append_events, load_dimension, load_tables,
 
 def test_load_dimension_fills_defaults(spark, tmp_path):
     path = tmp_path / "topics.csv"
-    path.write_text('id,value,label,category,is_hot\n1,tam-su,"Tâm sự, đời",social,true\n2,su-kien,Sự kiện,event,\n')
+    path.write_text('id,value,label,category,is_hot\n1,music,"Nhạc, phim",social,true\n2,sport,Thể thao,event,\n')
     rows = load_dimension(spark, str(path), "topics", NOW).orderBy("id").collect()
     assert [(r["is_hot"], r["is_hidden"], r["display_order"]) for r in rows] == [(True, False, 0), (False, False, 0)]
-    assert rows[0]["label"] == "Tâm sự, đời" and str(rows[0]["created_at"]) == NOW
+    assert rows[0]["label"] == "Nhạc, phim" and str(rows[0]["created_at"]) == NOW
 
 
 def test_snapshot_roundtrip(spark, forum, tmp_path):
