@@ -98,7 +98,8 @@ def _chain(a: Column, b: Column, start: int) -> Column:
 
 def near_links(prints: DataFrame) -> DataFrame:
     """(a, b): each pair of distinct values of `print` with 1 to LIMIT differing bits, once."""
-    nodes = prints.select("print").distinct()
+    # each node is about to become 70 rows: spread them, and let no plan take them for a small side
+    nodes = prints.select("print").distinct().repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     exact, turned = [], []
     for k in range(len(SEGMENTS)):
         width = SEGMENTS[(k + 1) % len(SEGMENTS)][1]
@@ -111,7 +112,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     start = F.floor(F.col("key") / (1 << 27))
     first = F.coalesce(*[F.when(_chain(a, b, k), F.lit(k)) for k in range(len(SEGMENTS))])
-    pairs = left.join(right, "key").where((a < b) & (_differ(a, b) <= LIMIT) & (first == start))
+    pairs = left.hint("merge").join(right, "key").where((a < b) & (_differ(a, b) <= LIMIT) & (first == start))
     return pairs.select("a", "b")
 
 
