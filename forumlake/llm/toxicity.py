@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.llm.common import fresh, labelled_sample, ship, table
+from forumlake.llm.common import fresh, labelled_sample, ship, stored, table
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -91,25 +91,32 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(labels: np.ndarray, sets: list[np.ndarray], factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> "Machine | None":
-    """Logistic loss, Adam over shuffled blocks of documents; None without both classes."""
+def telling(rows: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Of a sample (label, terms): documents, those of label 1, and the terms to learn, sorted.
+
+    Counted where the rows are; only the at most TERMS terms come to the driver.
+    """
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < ones < n:
+        return n, ones, np.zeros(0, dtype=np.int64)
+    rate = ones / n
+    seen = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("bad"))
+    z = F.abs(F.col("bad") - F.col("seen") * rate) / F.sqrt(F.col("seen") * rate * (1 - rate))
+    good = seen.where((F.col("seen") >= max(MIN_DOCS, n // MIN_SHARE)) & (z >= MIN_Z)).orderBy(z.desc(), "term").limit(TERMS)
+    return n, ones, np.array(sorted(r["term"] for r in good.select("term").collect()), dtype=np.int64)
+
+
+def train(labels: np.ndarray, sets: list[list[int]], ids: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> "Machine | None":
+    """Logistic loss, Adam over shuffled blocks of documents; `sets` are positions in `ids`.
+
+    None unless there are documents of both classes.
+    """
     ones, n = int(labels.sum()), len(labels)
     if not 0 < ones < n:
         return None
-    flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in sets]) if sets else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    ids, where = np.unique(flat, return_inverse=True)
-    seen = np.bincount(where, minlength=len(ids)).astype(float)
-    bad = np.bincount(where, weights=labels[owner].astype(float), minlength=len(ids))
     rate = ones / n
-    z = np.abs(bad - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
-    good = np.flatnonzero((seen >= max(MIN_DOCS, n // MIN_SHARE)) & (z >= MIN_Z))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:TERMS]])
-    ids, place = ids[good], np.full(len(z), -1)
-    place[good] = np.arange(len(good))
-    where = place[where]
-    owner, where = owner[where >= 0], where[where >= 0]
-    starts = np.searchsorted(owner, np.arange(n + 1))
+    where = np.array([t for s in sets for t in s], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     rng, m = np.random.default_rng(seed), len(ids)
     params = [np.array([np.log(rate / (1 - rate))]), np.zeros(m), rng.normal(0, 0.02, (m, factors))]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -141,9 +148,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class:
     """Trains on a bounded sample of the labelled rows for which `keep` (of doc_id) holds."""
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, keep, per_class or PER_CLASS)
-    rows = sample.mapInArrow(_rows, "label int, terms array<int>").toArrow()
-    rows = rows.take(np.lexsort((np.array([zlib.crc32(np.asarray(t.as_py(), np.int32).tobytes()) for t in rows["terms"]], dtype=np.int64), rows["label"].to_numpy())) if rows.num_rows else np.zeros(0, np.int64))
-    return train(rows["label"].to_numpy().astype(np.int64), [np.asarray(t.values) if t.is_valid else np.zeros(0) for t in rows["terms"]])
+    rows = stored(sample.mapInArrow(_rows, "label int, terms array<int>"), "toxic-sample")
+    _, _, ids = telling(rows)
+    at = {int(t): k for k, t in enumerate(ids)}
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [[at[t] for t in terms if t in at] for terms in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(kept, pa.list_(pa.int32()))], names=["label", "terms"])
+
+    found = rows.mapInArrow(known, "label int, terms array<int>").toArrow()
+    pairs = sorted(zip(found["label"].to_pylist(), found["terms"].to_pylist()))
+    return train(np.array([p[0] for p in pairs], dtype=np.int64), [p[1] for p in pairs], ids)
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
