@@ -92,12 +92,11 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     if state is None:
         return seen.select("doc_id", "file", "row", F.hex("sha").alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
 
-    hits = state.where("group_size > 1").select("digest")
     texts = rows.select("doc_id", "file", "row", "normal", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("code_points"), digest(F.col("normal")).alias("digest"))
-    # full bytes of every hit: smallest and greatest text of a digest are the same only if all are
-    compared = texts.select("digest", "normal").join(hits.hint("shuffle_hash"), "digest")
+    # full bytes of every hit: smallest and greatest text of a digest are the same only if all
+    # are; combined before the shuffle, so a group of copies is one row per task
     clashes = stored(
-        compared.groupBy("digest").agg(F.min("normal").alias("a"), F.max("normal").alias("b")).where("a <> b").select("digest"),
+        texts.groupBy("digest").agg(F.min("normal").alias("a"), F.max("normal").alias("b")).where("a <> b").select("digest"),
         "exact-clashes",
     )
     kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
