@@ -216,23 +216,25 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     right = asked.join(lists, "list").select("list", every(F.col("nv")).alias("v"), _numbered(F.col("query_id"), F.col("nq")).cast("int").alias("q"), "query_id", "embedding")
 
     def best(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int})]
         if len(have) and len(ask):
             vectors, ids = np.stack(have["embedding"].to_numpy()), have["vec_id"].to_numpy()
             for at in range(0, len(ask), 256):
                 part = ask.iloc[at : at + 256]
-                points = np.stack(part["embedding"].to_numpy())
+                points, asking = np.stack(part["embedding"].to_numpy()), part["query_id"].to_numpy()
                 rough = points @ vectors.T
-                rough[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                rough[asking[:, None] == ids[None, :]] = -np.inf
                 n = min(k, rough.shape[1])
-                least = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+                least = np.partition(rough, rough.shape[1] - n, axis=1)[:, -n]
                 slack = 1e-9 * np.linalg.norm(points, axis=1) * index_longest
-                for query, point, row, low in zip(part["query_id"], points, rough, least - slack):
-                    some = np.flatnonzero((row >= low) & (row > -np.inf))
-                    exact = (vectors[some] * point).sum(axis=1)
-                    order = np.lexsort((ids[some], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some][order], "score": exact[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                q, v = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
+                exact = (vectors[v] * points[q]).sum(axis=1)
+                order = np.lexsort((ids[v], -exact, q))
+                q, v, exact = q[order], v[order], exact[order]
+                first = np.searchsorted(q, q)  # where each query's rows begin
+                kept = np.arange(len(q)) - first < k
+                out.append(pd.DataFrame({"query_id": asking[q[kept]], "vec_id": ids[v[kept]], "score": exact[kept]}))
+        return pd.concat(out)
 
     index_longest = index.longest
     found = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(best, "query_id long, vec_id long, score double")
