@@ -132,7 +132,7 @@ def train(labels: np.ndarray, sets: list[list[int]], ids: np.ndarray, factors: i
             squares = np.bincount(doc, weights=(v * v).sum(axis=1), minlength=len(block))
             raw = params[0][0] + np.bincount(doc, weights=params[1][at], minlength=len(block)) + 0.5 * ((total**2).sum(axis=1) - squares)
             error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels[block]) / len(block)
-            g = [np.array([error.sum()]), np.bincount(at, weights=error[doc], minlength=m), np.zeros_like(params[2])]
+            g = [np.array([error.sum()]), np.bincount(at, weights=error[doc], minlength=m).astype(float), np.zeros_like(params[2])]
             np.add.at(g[2], at, error[doc, None] * (total[doc] - v))
             g[1] += 1e-5 * params[1]
             g[2] += 1e-4 * params[2]
