@@ -31,10 +31,11 @@ class FeedParams:
     per_author: int = 3
 
 
-def interaction_counts(tables: Tables) -> DataFrame:
-    """Likes, dislikes and comments per post; soft-deleted comments count too."""
+def interaction_counts(tables: Tables, only: DataFrame | None = None) -> DataFrame:
+    """Likes, dislikes and comments per post (of those in `only`); soft-deleted comments count too."""
     return child_counts(
         "post_id",
+        only=only,
         likes=(tables["post_likes"], "post_id"),
         dislikes=(tables["post_dislikes"], "post_id"),
         comments=(tables["comments"], "post_id"),
@@ -94,7 +95,9 @@ def scored_posts(
         candidates = candidates.join(tagged, "id", "left_semi")
 
     hot = hot_posts(tables).select("post_id", F.lit(True).alias("is_hot"))
-    counted = with_counts(candidates, interaction_counts(tables), "id", "post_id")
+    # with a filter, only the children of posts that pass it are counted
+    asked = None if school_id is None and topic is None else candidates.select(F.col("id").alias("post_id"))
+    counted = with_counts(candidates, interaction_counts(tables, asked), "id", "post_id")
     flagged = counted.join(hot, counted["id"] == hot["post_id"], "left").drop("post_id")
 
     boost_from = ntz(as_of) - F.make_interval(hours=F.lit(params.new_post_hours))

@@ -91,6 +91,7 @@ def post_counters(tables: Tables, ids: DataFrame) -> DataFrame:
     """(id, total_like, total_dislike, total_comment) per distinct id; 0 for unknown ids."""
     counts = child_counts(
         "post_id",
+        only=ids.select(F.col("id").alias("post_id")),
         total_like=(tables["post_likes"], "post_id"),
         total_dislike=(tables["post_dislikes"], "post_id"),
         total_comment=(tables["comments"], "post_id"),
@@ -107,6 +108,7 @@ def user_interactions(tables: Tables, pairs: DataFrame) -> DataFrame:
     reactions = (
         tables["post_likes"].select(*key, F.lit(1).alias("up"), F.lit(0).alias("down"))
         .unionByName(tables["post_dislikes"].select(*key, F.lit(0).alias("up"), F.lit(1).alias("down")))
+        .join(pairs.select(*key), key, "left_semi")
         .groupBy(*key)
         .agg((F.max("up") > 0).alias("is_liked"), (F.max("down") > 0).alias("is_disliked"))
     )
@@ -169,7 +171,10 @@ def hydrate_comments(tables: Tables, ids: DataFrame) -> DataFrame:
 
 def reply_counts(tables: Tables, ids: DataFrame) -> DataFrame:
     """(comment_id, total_replies) per distinct id; deleted replies count."""
-    counts = child_counts("parent_id", total_replies=(tables["comments"], "parent_comment_id"))
+    counts = child_counts(
+        "parent_id", only=ids.select(F.col("id").alias("parent_id")),
+        total_replies=(tables["comments"], "parent_comment_id"),
+    )
     wanted = ids.select(F.col("id").alias("comment_id")).distinct()
     return with_counts(wanted, counts, "comment_id", "parent_id")
 

@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from forumlake.functions.exprs import ntz
 from forumlake.functions.ranking import number_rows
@@ -119,22 +120,35 @@ def apply_outcome(tables: Tables, outcome: Outcome) -> Tables:
     return after
 
 
-def update_stored(path: str, delta: DataFrame, key: str, partition_by: str) -> list:
+def update_stored(path: str, delta: DataFrame, key: str, partition_by: str, schema: StructType | None = None) -> list:
     """Apply an update delta to a stored, partitioned table; returns the partitions rewritten.
 
     Only directories that hold changed rows are read in full and written again, e.g.
     the months of the comments that were edited. The new rows are materialised before
-    the overwrite starts, so a lost task or a second run finds its input intact.
+    the overwrite starts, so a lost task or a second run finds its input intact. Rows may
+    move to another partition, and partition values may be NULL. `schema` is the declared
+    schema; without it the types of partition values are inferred from their directories.
+    A delta with repeated keys is refused.
     """
     spark = delta.sparkSession
-    target = spark.read.parquet(path)
+    if delta.groupBy(key).count().where("count > 1").take(1):
+        raise ValueError(f"the delta has several rows for one {key}")
+    target = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    delta = freeze(delta)
     hit = target.select(key, partition_by).join(delta.select(key), key, "left_semi")
-    touched = [row[0] for row in hit.select(partition_by).distinct().collect()]  # one value per directory
+    places = hit.select(partition_by)
+    if partition_by in delta.columns:  # a row may move to another directory
+        moved = delta.join(hit.select(key), key, "left_semi").select(F.col(partition_by).cast(target.schema[partition_by].dataType))
+        places = places.unionByName(moved)
+    places = freeze(places.distinct())  # one value per directory
+    touched = [row[0] for row in places.collect()]
     if touched:
-        rows = freeze(update_rows(target.where(F.col(partition_by).isin(touched)), delta, key))
+        inside = F.col(partition_by).eqNullSafe(F.col("_place"))
+        rows = target.join(places.select(F.col(partition_by).alias("_place")), inside, "left_semi")
+        rows = freeze(update_rows(rows, delta, key))
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(partition_by).parquet(path)
-    return sorted(touched)
+    return sorted(touched, key=lambda v: (v is not None, v))
 
 
 def stamp(delta: DataFrame, as_of: datetime | str) -> DataFrame:

@@ -18,8 +18,9 @@ ID_LENGTH = 12
 
 
 def post_key(request_id: str) -> Column:
-    """Post id derived from the request, so a retried task yields the same one."""
-    return F.substring(F.sha2(F.col(request_id).cast("string"), 256), 1, ID_LENGTH)
+    """Post id derived from the request, so a retried task yields the same one: 72 bits of its hash."""
+    digest = F.base64(F.unhex(F.sha2(F.col(request_id).cast("string"), 256)))
+    return F.substring(F.translate(digest, "+/", "-_"), 1, ID_LENGTH)
 
 
 def array_length(column: str) -> Column:

@@ -174,7 +174,7 @@ CHECKS["q_top_posts_first"] = _sql(
 # ---------------------------------------------------------------- post ingestion
 
 _POST_JUDGED = f"""
-    SELECT r.*, substr(sha256(CAST(r.request_id AS VARCHAR)), 1, 12) AS post_id, {_case(
+    SELECT r.*, substr(translate(to_base64(unhex(sha256(CAST(r.request_id AS VARCHAR)))), '+/', '-_'), 1, 12) AS post_id, {_case(
         ("trim(content, ' ') = ''", M.POST_EMPTY),
         ("length(content) > 3000", M.POST_TOO_LONG),
         ("len(image_ids) > 10", M.POST_TOO_MANY_IMAGES),

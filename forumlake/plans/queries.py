@@ -484,7 +484,8 @@ def q_stream_comment_autodelete(t):
     out = work_dir(t.spark, "stream")
     reports = t.stream("event_reports").withColumnRenamed("post_id", "_post")
     firsts = t["first_comments"].select(F.col("post_id").alias("_post"), F.col("pid").alias("comment_id"))
-    stream = reports.join(firsts, "_post").select("id", "comment_id", "user_id", "reason", "created_at")
+    stream = reports.join(firsts, "_post", "left").withColumn("comment_id", F.coalesce("comment_id", F.lit(-1)))
+    stream = stream.select("id", "comment_id", "user_id", "reason", "created_at")
     jobs.stream_delete_reported_comments(
         stream, _fresh(t, "comment_reports"), out, REQUESTS_AS_OF, COMMENT_THRESHOLD
     ).awaitTermination()

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         path = spark.conf.get(CHECKPOINT_KEY, None)
         if path is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
             path = tempfile.mkdtemp(prefix="forumlake-")
         sc.setCheckpointDir(path)

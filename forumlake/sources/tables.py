@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +13,15 @@ from forumlake.schema import NOW, TABLES, Column, struct_type
 Tables = dict[str, DataFrame]
 
 
+def table_path(root: str, table: str) -> str:
+    """Place of a table below a root folder or URI."""
+    return f"{root.rstrip('/')}/{table}"
+
+
 def load_tables(spark: SparkSession, root: str, names: Iterable[str] | None = None) -> Tables:
     """Lazy parquet scans of `<root>/<table>` with the declared schema, never inferred."""
     return {
-        name: spark.read.schema(struct_type(name)).parquet(str(PurePosixPath(root) / name))
+        name: spark.read.schema(struct_type(name)).parquet(table_path(root, name))
         for name in (names or TABLES)
     }
 
@@ -67,7 +71,7 @@ def load_dimension(
     declared = {c.name: c.type for c in TABLES[table]}
     if path.rstrip("/").endswith(".csv"):
         raw = spark.read.option("header", header).option("multiLine", True).option("escape", '"').csv(path)
-        raw = raw.select(*[F.col(c).cast(declared[c]).alias(c) for c in raw.columns if c in declared])
+        raw = raw.select(*[F.col(c).try_cast(declared[c]).alias(c) for c in raw.columns if c in declared])
     else:
         raw = spark.read.parquet(path)
     return with_defaults(raw, table, as_of)
@@ -75,14 +79,14 @@ def load_dimension(
 
 def write_snapshot(df: DataFrame, root: str, table: str, partition_by: Iterable[str] = ()) -> str:
     """Write a table as a new snapshot; the caller switches readers to the new root."""
-    path = str(PurePosixPath(root) / table)
+    path = table_path(root, table)
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     return path
 
 
 def append_events(df: DataFrame, root: str, table: str, day_of: str) -> str:
     """Append event rows, one directory per day of `day_of`."""
-    path = str(PurePosixPath(root) / table)
+    path = table_path(root, table)
     df.withColumn("day", F.to_date(day_of)).write.mode("append").partitionBy("day").parquet(path)
     return path
 

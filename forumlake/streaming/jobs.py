@@ -68,6 +68,7 @@ def _moderate(
     """
     spark = stream.sparkSession
     accepted_at, changed_at, rejected_at = f"{out}/accepted", f"{out}/changed", f"{out}/rejected"
+    logs_at = f"{out}/logs"
     target = "post_id" if target_table == "posts" else "comment_id"
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -84,7 +85,11 @@ def _moderate(
             ids = touched.select(F.col(target).alias("id"))
             rows = tables[target_table].join(ids, "id", "left_semi").select(*tables[target_table].columns)
             now[target_table] = rows if changed is None else update_rows(rows, changed, "id")
+            logged = _earlier(spark, logs_at, batch_id)
+            if logged is not None:  # serial ids go on from the last batch
+                now["moderation_logs"] = insert_rows(tables["moderation_logs"], logged)
             outcome = run(now, batch).frozen()
+            _write(outcome.inserts["moderation_logs"], logs_at, batch_id)
             _write(outcome.inserts[reports_table], accepted_at, batch_id)
             _write(outcome.updates[target_table], changed_at, batch_id)
             _write(outcome.rejected, rejected_at, batch_id)
@@ -103,7 +108,7 @@ def stream_hide_reported_posts(
     threshold: int = M.DEFAULT_REPORT_THRESHOLD,
     once: bool = True,
 ) -> StreamingQuery:
-    """Post reports as they arrive; sinks `accepted`, `changed` (hidden posts) and `rejected` under `out`."""
+    """Post reports as they arrive; sinks `accepted`, `changed` (hidden posts), `rejected` and `logs` under `out`."""
     return _moderate(
         stream, tables, out, "post_reports", "posts",
         lambda now, batch: hide_reported_posts(now, batch, as_of, threshold), once,

@@ -8,7 +8,8 @@ from conftest import DATA
 
 import __spark_entry__ as entry_points
 
-QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {n: q for n, q in entry_points.queries().items() if n not in entry_points.CORPUS_QUERIES}
+CHECKS = {n: q for n, q in entry_points.oracle_sql().items() if n not in entry_points.CORPUS_CHECKS}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
