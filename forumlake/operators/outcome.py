@@ -146,8 +146,16 @@ def update_stored(path: str, delta: DataFrame, key: str, partition_by: str, sche
         inside = F.col(partition_by).eqNullSafe(F.col("_place"))
         rows = target.join(places.select(F.col(partition_by).alias("_place")), inside, "left_semi")
         rows = freeze(update_rows(rows, delta, key))
+        # a directory that all rows leave is not overwritten, so it goes
+        left = places.join(rows.select(F.col(partition_by).alias("_place")), F.col(partition_by).eqNullSafe(F.col("_place")), "left_anti")
+        old = target.withColumn("_file", target.metadataColumn("_metadata")["file_path"])
+        old = old.join(left.select(F.col(partition_by).alias("_place")), F.col(partition_by).eqNullSafe(F.col("_place")), "left_semi")
+        emptied = [r[0] for r in old.select(F.regexp_replace("_file", "/[^/]*$", "")).distinct().collect()]
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(partition_by).parquet(path)
+        for folder in emptied:
+            place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     return sorted(touched, key=lambda v: (v is not None, v))
 
 
