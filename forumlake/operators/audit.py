@@ -46,54 +46,68 @@ def _protocol(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
     return counts.select(F.lit(table).alias("table_name"), F.inline(rows))
 
 
-def audit_domains(tables: Tables, names: Iterable[str]) -> DataFrame:
+def audit_domains(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Not-null, length and enum rules: (table_name, rule, violations)."""
     return _union(_protocol(tables[n], n, column_rules(n, tables[n].columns)) for n in names)
 
 
-def _tally(parts: list[tuple[tuple[str, str], DataFrame]], labels: tuple[str, str], counts: list[str]) -> DataFrame:
-    """Sum the counts of many small findings in one aggregation; labels without any show 0."""
-    names = [*labels, *counts]
-    zeros = ", ".join(f"({', '.join(repr(x) for x in label)}, {', '.join('0L' for _ in counts)})" for label, _ in parts)
-    found = [df.select(*[F.lit(v).alias(n) for n, v in zip(labels, label)], *counts) for label, df in parts]
-    spark = parts[0][1].sparkSession
-    rows = _union([spark.sql(f"SELECT * FROM VALUES {zeros} AS t({', '.join(names)})"), *found])
-    return rows.groupBy(*labels).agg(*[F.sum(c).alias(c) for c in counts])
+def _tally(found: DataFrame, labels: dict[str, list[str]], counts: list[str]) -> DataFrame:
+    """Sum the counts of the findings per label; labels without any show 0."""
+    zeros = ", ".join(f"({', '.join(map(repr, label))}, {', '.join('0L' for _ in counts)})" for label in zip(*labels.values()))
+    rows = found.sparkSession.sql(f"SELECT * FROM VALUES {zeros} AS t({', '.join([*labels, *counts])})")
+    return rows.unionByName(found).groupBy(*labels).agg(*[F.sum(c).alias(c) for c in counts])
 
 
-def audit_unique(tables: Tables, names: Iterable[str]) -> DataFrame:
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+def audit_unique(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Primary and unique keys: (table_name, key, repeated_keys, surplus_rows).
 
-    Rows with a NULL in the key do not compete.
+    Each table is scanned once for all its keys. Rows with a NULL in the key do not compete.
     """
-    parts = []
+    parts, labels = [], {"table_name": [], "key": []}
     for name in names:
         keys = [(primary_key(name),)] + ([UNIQUE_KEYS[name]] if name in UNIQUE_KEYS else [])
         for key in keys:
-            groups = tables[name].dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-            repeated = groups.where("_n > 1").selectExpr("1L AS repeated_keys", "_n - 1 AS surplus_rows")
-            parts.append(((name, ", ".join(key)), repeated))
-    return _tally(parts, ("table_name", "key"), ["repeated_keys", "surplus_rows"])
+            labels["table_name"].append(name)
+            labels["key"].append(", ".join(key))
+        values = [F.struct(F.lit(", ".join(key)).alias("key"), F.array(*map(_text, key)).alias("_value")) for key in keys]
+        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
+    present = _union(parts).where(F.forall("_value", F.isnotnull))
+    repeated = present.groupBy("table_name", "key", "_value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    found = repeated.selectExpr("table_name", "key", "1L AS repeated_keys", "_n - 1 AS surplus_rows")
+    return _tally(found, labels, ["repeated_keys", "surplus_rows"])
 
 
-def audit_references(tables: Tables, names: Iterable[str]) -> DataFrame:
+def audit_references(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Foreign keys: (table_name, reference, orphan_rows). NULL keys refer to nothing.
 
-    The child is reduced to its distinct keys with row counts before it meets the
-    parent, so a hot parent is one row in the join.
+    Each table is scanned once for all its references, and once more if others refer to
+    it. Children are reduced to their distinct keys with row counts before they meet the
+    parents, so a hot parent is one row in the join.
     """
     names = set(names)
+    links = [fk for fk in FOREIGN_KEYS if fk.table in names]
     parts = []
-    for fk in FOREIGN_KEYS:
-        if fk.table not in names:
-            continue
-        used = tables[fk.table].selectExpr(f"{fk.column} AS _ref").where("_ref IS NOT NULL")
-        if (fk.table, fk.column) == ("moderation_logs", "moderator_id"):
-            used = used.where(F.col("_ref") != SYSTEM_ACTOR)  # reserved actor, never a row
-        used = used.groupBy("_ref").agg(F.count(F.lit(1)).alias("orphan_rows"))
-        parent = tables[fk.parent].selectExpr("id AS _ref")
-        parts.append(((fk.table, f"{fk.column} -> {fk.parent}"), used.join(parent, "_ref", "left_anti")))
-    return _tally(parts, ("table_name", "reference"), ["orphan_rows"])
+    for name in dict.fromkeys(fk.table for fk in links):
+        values = []
+        for fk in (fk for fk in links if fk.table == name):
+            value = _text(fk.column)
+            if (fk.table, fk.column) == ("moderation_logs", "moderator_id"):
+                value = F.when(F.col(fk.column) != SYSTEM_ACTOR, value)  # reserved actor, never a row
+            label = F.lit(f"{fk.column} -> {fk.parent}").alias("reference")
+            values.append(F.struct(label, F.lit(fk.parent).alias("_parent"), value.alias("_ref")))
+        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
+    used = _union(parts).where(F.col("_ref").isNotNull())
+    used = used.groupBy("table_name", "reference", "_parent", "_ref").agg(F.count(F.lit(1)).alias("orphan_rows"))
+    parents = _union(
+        tables[name].select(F.lit(name).alias("_parent"), _text("id").alias("_ref")) for name in dict.fromkeys(fk.parent for fk in links)
+    )
+    found = used.join(parents, ["_parent", "_ref"], "left_anti").select("table_name", "reference", "orphan_rows")
+    labels = {"table_name": [fk.table for fk in links], "reference": [f"{fk.column} -> {fk.parent}" for fk in links]}
+    return _tally(found, labels, ["orphan_rows"])
 
 
 def audit_checks(tables: Tables) -> DataFrame:

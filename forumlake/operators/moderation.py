@@ -217,9 +217,10 @@ def _admissible(
 
 
 def hide_reported_posts(
-    tables: Tables, reports: DataFrame, as_of: datetime | str, threshold: int = M.DEFAULT_REPORT_THRESHOLD
+    tables: Tables, reports: DataFrame, as_of: datetime | str, threshold: int | None = None
 ) -> Outcome:
-    """New post reports (id, post_id, user_id, reason, created_at) against the threshold.
+    """New post reports (id, post_id, user_id, reason, created_at) against the threshold,
+    which is looked up in the settings unless it is given.
 
     In (created_at, id) order a report is accepted while the running count stays
     below the threshold; on an active post the one that reaches it is accepted too
@@ -227,6 +228,8 @@ def hide_reported_posts(
     active. Only the first `threshold` reports per post need a rank, so a post with
     most of the reports is cut down before the shuffle.
     """
+    if threshold is None:
+        threshold = report_threshold(tables["system_settings"], M.POST_THRESHOLD_KEY)
     judged, existing = _admissible(tables, reports, "post_reports", "post_id", ["status"])
     order = F.struct("created_at", "id")
     firsts = (
@@ -288,13 +291,16 @@ def delete_reported_comments(
     tables: Tables,
     reports: DataFrame,
     as_of: datetime | str,
-    threshold: int = M.DEFAULT_REPORT_THRESHOLD,
+    threshold: int | None = None,
     prefix: str = M.DELETED_COMMENT_PREFIX,
 ) -> Outcome:
-    """New comment reports against the threshold. All admissible ones are accepted;
-    a comment whose count reaches the threshold is deleted by the system once.
+    """New comment reports against the threshold, which is looked up in the settings
+    unless it is given. All admissible ones are accepted; a comment whose count reaches
+    the threshold is deleted by the system once.
     """
-    judged, existing = _admissible(tables, reports, "comment_reports", "comment_id", ["deleted_at", "post_id"])
+    if threshold is None:
+        threshold = report_threshold(tables["system_settings"], M.COMMENT_THRESHOLD_KEY)
+    judged, existing = _admissible(tables, reports, "comment_reports", "comment_id", [])
     firsts = (
         judged.where(F.col("reason").isNull())
         .groupBy("comment_id", "user_id")
@@ -305,14 +311,16 @@ def delete_reported_comments(
     repeat = F.when(F.col("_first_id").isNull(), F.lit(M.DUPLICATE_VALUE.format("comment_id, user_id")))
     decided = decide(
         joined.select(
-            "id", "comment_id", "user_id", "report_reason", "created_at", "_deleted_at",
+            "id", "comment_id", "user_id", "report_reason", "created_at",
             F.coalesce("reason", repeat).alias("reason"),
         )
     )
 
     def build(outcome: Outcome):
         rows = outcome.applied
-        added = rows.where(F.col("_deleted_at").isNull()).groupBy("comment_id").agg(F.count(F.lit(1)).alias("_added"))
+        added = rows.groupBy("comment_id").agg(F.count(F.lit(1)).alias("_added"))
+        live = tables["comments"].where(F.col("deleted_at").isNull()).select(F.col("id").alias("comment_id"))
+        added = added.join(live, "comment_id", "left_semi")
         totals = added.join(existing, added["comment_id"] == existing["_target"], "left")
         over = totals.where(F.col("_added") + F.coalesce("_existing", F.lit(0)) >= threshold).select("comment_id")
         delta = over.select(

@@ -391,12 +391,22 @@ CHECKS["q_append_logins"] = _sql("login_requests users user_logins", f"""
     SELECT (SELECT max(id) FROM user_logins) + {_BY_ARRIVAL} AS id, user_id, ip_address, platform,
            requested_at AS logged_in_at
     FROM login_requests WHERE user_id IN (SELECT id FROM users)""")
+CHECKS["q_append_stored"] = _sql("login_requests users user_logins", f"""
+    SELECT (SELECT max(id) FROM user_logins) + {_BY_ARRIVAL} AS id, user_id, requested_at AS logged_in_at,
+           CAST(requested_at AS DATE) AS day FROM login_requests WHERE user_id IN (SELECT id FROM users)""")
 CHECKS["q_dim_defaults"] = _sql("alias_seed", f"""
     SELECT id, CAST(NULL AS VARCHAR) AS icon_image_id, display_name, coalesce(next_user_index, 1) AS next_user_index,
            {NOW} AS created_at FROM alias_seed""")
 CHECKS["q_stamp"] = _sql("setting_rows", f"""
     SELECT key, CASE WHEN length(value) > 1 THEN value || '0' ELSE value END AS value,
            CASE WHEN length(value) > 1 THEN {NOW} ELSE updated_at END AS updated_at FROM setting_rows""")
+CHECKS["q_seed_aliases"] = _sql("alias_seed", """
+    SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)
+           AS id, display_name, CAST(1 AS BIGINT) AS next_user_index
+    FROM (SELECT *, sha256(display_name) AS h FROM alias_seed) x""")
+CHECKS["q_seed_topics"] = _sql("topics", """
+    SELECT 100 + row_number() OVER (ORDER BY category, value, label) AS id, category, value, false AS is_hidden,
+           CAST(0 AS INT) AS display_order FROM topics""")
 
 # ---------------------------------------------------------------- moderation
 
@@ -431,6 +441,7 @@ CHECKS["q_apply_delta"] = _sql(_DEL, f"""
     SELECT p.id, CASE WHEN x.code IS NULL THEN p.status ELSE 'deleted' END AS status, x.code AS deleted_reason,
            CASE WHEN x.code IS NULL THEN p.deleted_at ELSE {LATER} END AS deleted_at, p.updated_at
     FROM posts p LEFT JOIN (SELECT * FROM ranked WHERE ord = first_ord) x ON x.post_id = p.id""", **_DELETE)
+CHECKS["q_update_stored"] = CHECKS["q_apply_delta"]
 _HIDE = dict(
     checked=f"""
     SELECT r.*, {_case(
@@ -447,6 +458,10 @@ CHECKS["q_hidden_posts"] = _sql(_DEL, """
     SELECT p.id, CASE WHEN x.post_id IS NULL THEN p.status ELSE 'hidden' END AS status,
            x.reason_category AS hidden_reason, p.deleted_at
     FROM posts p LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) x ON x.post_id = p.id""", **_HIDE)
+CHECKS["q_hide_posts_log"] = _sql(_DEL, f"""
+    SELECT {_BY_ARRIVAL} AS id, requesting_user_id AS moderator_id, 'HIDE_POST' AS action,
+           CAST(post_id AS VARCHAR) AS target_id, 'post' AS target_type, detailed_reason AS reason
+    FROM judged WHERE reason IS NULL""", **_HIDE)
 _COMMENT_DELETE = _moderated(
     "comment_moderation_requests",
     """c.id IS NOT NULL AND p.id IS NOT NULL AND c.deleted_at IS NULL AS open FROM comment_moderation_requests r
@@ -465,6 +480,10 @@ CHECKS["q_deleted_comments"] = _sql(_CDEL, f"""
     SELECT c.id, CASE WHEN x.code IS NULL THEN c.content ELSE {_quoted(M.DELETED_COMMENT_PREFIX)} || x.code END AS content,
            CASE WHEN x.code IS NULL THEN c.deleted_at ELSE {LATER} END AS deleted_at
     FROM comments c LEFT JOIN (SELECT * FROM ranked WHERE ord = first_ord) x ON x.comment_id = c.id""", **_COMMENT_DELETE)
+CHECKS["q_delete_comments_log"] = _sql(_CDEL, f"""
+    SELECT {_BY_ARRIVAL} AS id, requesting_user_id AS moderator_id, 'DELETE_COMMENT' AS action,
+           CAST(comment_id AS VARCHAR) AS target_id, 'comment' AS target_type, reason
+    FROM ranked WHERE ord = first_ord AND code <> 'DELETED_BY_OWNER'""", **_COMMENT_DELETE)
 
 
 def _reported(new: str, stored: str | None, target: str, parent: str, extra: str) -> dict[str, str]:
@@ -484,7 +503,7 @@ def _reported(new: str, stored: str | None, target: str, parent: str, extra: str
     )
 
 
-def _post_reports(new: str, stored: str | None) -> dict[str, str]:
+def _post_reports(new: str, stored: str | None, threshold: int | str = POST_THRESHOLD) -> dict[str, str]:
     duplicate, inactive = _quoted(M.DUPLICATE_VALUE.format("post_id, user_id")), _quoted(M.POST_NOT_ACTIVE)
     return dict(
         **_reported(new, stored, "post_id", "posts", "p.status AS post_status"),
@@ -492,9 +511,9 @@ def _post_reports(new: str, stored: str | None) -> dict[str, str]:
     SELECT *, existing + CASE WHEN nth = 1 THEN row_number() OVER (PARTITION BY post_id, nth ORDER BY created_at, id) END
         AS n FROM repeated""",
         passed=f"""
-    SELECT *, CASE WHEN nth <> 1 THEN NULL WHEN n < {POST_THRESHOLD} THEN true
+    SELECT *, CASE WHEN nth <> 1 THEN NULL WHEN n < {threshold} THEN true
                    WHEN post_status <> 'active' THEN false
-                   ELSE n = greatest({POST_THRESHOLD}, existing + 1) END AS ok FROM counted""",
+                   ELSE n = greatest({threshold}, existing + 1) END AS ok FROM counted""",
         judged=f"""
     SELECT a.*, coalesce(a.bad, CASE WHEN a.ok THEN NULL
                WHEN a.nth > 1 AND b.ok THEN {duplicate} ELSE {inactive} END) AS reason
@@ -509,14 +528,18 @@ _REPORT_RESULT = f"""
     SELECT id, post_id, {_VERDICT}, reason, CASE WHEN reason IS NULL THEN CAST(n AS BIGINT) END AS running,
            reason IS NULL AND post_status = 'active' AND n >= {POST_THRESHOLD} AS hides FROM judged"""
 CHECKS["q_report_hide"] = _sql("post_reports posts users", _REPORT_RESULT, **_post_reports(_RENAMED_STORED, None))
+_SETTING = f"(SELECT CAST(value AS INT) FROM system_settings WHERE key = '{M.POST_THRESHOLD_KEY}')"
+CHECKS["q_report_hide_setting"] = _sql(
+    "post_reports posts users system_settings", _REPORT_RESULT.replace(f">= {POST_THRESHOLD}", f">= {_SETTING}"),
+    **_post_reports(_RENAMED_STORED, None, _SETTING))
 CHECKS["q_report_hide_stored"] = _sql(
     "event_reports post_reports posts users", _REPORT_RESULT, **_post_reports(_RENAMED, "post_reports"))
-CHECKS["q_report_hide_log"] = _sql("post_reports posts users", f"""
+_HIDE_LOG = f"""
     SELECT row_number() OVER (ORDER BY created_at, id) AS id, 'system' AS moderator_id, 'HIDE_POST' AS action,
            CAST(post_id AS VARCHAR) AS target_id,
            '{M.AUTO_HIDE_PREFIX}' || CAST(n AS VARCHAR) || '/{POST_THRESHOLD}{M.AUTO_HIDE_SUFFIX}' AS reason
-    FROM judged WHERE reason IS NULL AND post_status = 'active' AND n >= {POST_THRESHOLD}""",
-    **_post_reports(_RENAMED_STORED, None))
+    FROM judged WHERE reason IS NULL AND post_status = 'active' AND n >= {POST_THRESHOLD}"""
+CHECKS["q_report_hide_log"] = _sql("post_reports posts users", _HIDE_LOG, **_post_reports(_RENAMED_STORED, None))
 _COMMENT_REPORTED = _reported(_RENAMED_COMMENT, "comment_reports", "comment_id", "comments", "p.deleted_at")
 CHECKS["q_comment_autodelete"] = _sql("event_comment_reports comment_reports comments users", f"""
     SELECT id, comment_id, {_VERDICT}, reason FROM (SELECT id, comment_id, coalesce(bad, CASE WHEN nth > 1
@@ -528,6 +551,11 @@ CHECKS["q_autodeleted_comments"] = _sql("comment_reports comments", f"""
            CASE WHEN hit THEN {LATER} ELSE deleted_at END AS deleted_at
     FROM (SELECT *, deleted_at IS NULL AND (SELECT count(*) FROM comment_reports r WHERE r.comment_id = comments.id)
           >= {COMMENT_THRESHOLD} AS hit FROM comments) c""")
+CHECKS["q_comment_autodelete_log"] = _sql("comment_reports comments", f"""
+    SELECT row_number() OVER (ORDER BY id) AS id, 'system' AS moderator_id, 'DELETE_COMMENT' AS action,
+           CAST(id AS VARCHAR) AS target_id, {_quoted(M.AUTO_DELETE_REASON)} AS reason
+    FROM comments WHERE deleted_at IS NULL
+        AND (SELECT count(*) FROM comment_reports r WHERE r.comment_id = comments.id) >= {COMMENT_THRESHOLD}""")
 
 # ---------------------------------------------------------------- integrity
 
@@ -546,12 +574,26 @@ _RAW_COLUMNS = {
     "comment_reports": ["id", "comment_id", "user_id", "reason", "created_at"],
 }
 _RAW_SOURCES = "user_requests post_requests event_reports event_comment_reports"
+# columns that the benchmark data has no source for: empty or filled with their default
+_NO_SOURCE = {
+    "system_settings": "deleted_at", "images": "created_at", "schools": "created_at updated_at", "aliases": "created_at updated_at",
+    "users": "password_hash banned_reason deleted_reason updated_alias_at updated_user_name_at deleted_at",
+    "user_logins": "ip_address user_agent device_id platform location", "topics": "is_hidden display_order created_at updated_at",
+    "posts": "hidden_reason deleted_reason", "post_topics": "score created_at", "post_images": "created_at",
+    "post_views": "device_id", "notifications": "data",
+}
+_NO_ROWS = ["user_blocks", "post_shares", "post_saves", "moderation_logs", "comment_likes", "comment_dislikes", "email_logs"]
+_AUDITED = _RAW_SOURCES + " " + " ".join(n for n in TABLES if n not in _NO_ROWS)
+
+
+def _raw_name(table: str) -> str:
+    return f"raw_{table}" if table in _RAW_COLUMNS else table
 
 
 def _domain_checks() -> str:
     parts = []
-    for table, present in _RAW_COLUMNS.items():
-        for c in (c for c in TABLES[table] if c.name in present):
+    for table, columns in TABLES.items():
+        for c in (c for c in columns if table not in _RAW_COLUMNS or c.name in _RAW_COLUMNS[table]):
             conditions = []
             if c.required:
                 conditions.append((f"{c.name} not null", f"{c.name} IS NULL"))
@@ -560,44 +602,43 @@ def _domain_checks() -> str:
             if c.enum:
                 domain = ", ".join(map(_quoted, ENUMS[c.enum]))
                 conditions.append((f"{c.name} in {c.enum}", f"{c.name} NOT IN ({domain})"))
+            nothing = table in _NO_ROWS or table not in _RAW_COLUMNS and c.name in _NO_SOURCE.get(table, "").split()
             for rule, condition in conditions:
-                parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(*) AS violations "
-                             f"FROM raw_{table} WHERE {condition}")
+                found = "CAST(0 AS BIGINT) AS violations" if nothing else f"count(*) AS violations FROM {_raw_name(table)} WHERE {condition}"
+                parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, {found}")
     return "\nUNION ALL ".join(parts)
 
 
 def _unique_checks() -> str:
     parts = []
-    for table in [*_RAW_COLUMNS, "post_likes"]:
-        source = table if table == "post_likes" else f"raw_{table}"
-        for key in [("id",)] + ([UNIQUE_KEYS[table]] if table in UNIQUE_KEYS else []):
+    for table, columns in TABLES.items():
+        for key in [(columns[0].name,)] + ([UNIQUE_KEYS[table]] if table in UNIQUE_KEYS else []):
             names = ", ".join(key)
             present = " AND ".join(f"{k} IS NOT NULL" for k in key)
+            groups = f"SELECT count(*) AS n FROM {_raw_name(table)} WHERE {present} GROUP BY {names} HAVING count(*) > 1"
+            if table in _NO_ROWS:
+                groups = "SELECT 0 AS n WHERE false"
             parts.append(f"""SELECT '{table}' AS table_name, '{names}' AS key, count(*) AS repeated_keys,
-                CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus_rows
-                FROM (SELECT count(*) AS n FROM {source} WHERE {present} GROUP BY {names} HAVING count(*) > 1) g""")
+                CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus_rows FROM ({groups}) g""")
+    return "\nUNION ALL ".join(parts)
+
+
+def _reference_checks() -> str:
+    parts = []
+    for table, columns in TABLES.items():
+        source = _raw_name(table) if table in ("post_reports", "comment_reports") else table
+        for c in (c for c in columns if c.ref):
+            orphans = (f"count(*) AS orphan_rows FROM {source} c WHERE c.{c.name} IS NOT NULL "
+                       f"AND NOT EXISTS (SELECT 1 FROM {c.ref} p WHERE p.id = c.{c.name})")
+            if table in _NO_ROWS:
+                orphans = "CAST(0 AS BIGINT) AS orphan_rows"
+            parts.append(f"SELECT '{table}' AS table_name, '{c.name} -> {c.ref}' AS reference, {orphans}")
     return "\nUNION ALL ".join(parts)
 
 
-_LINKS = [
-    ("users", "school_id", "schools"), ("users", "alias_id", "aliases"),
-    ("posts", "user_id", "users"), ("posts", "school_id", "schools"),
-    ("comments", "post_id", "posts"), ("comments", "user_id", "users"), ("comments", "parent_comment_id", "comments"),
-    ("post_reports", "post_id", "posts"), ("post_reports", "user_id", "users"),
-    ("comment_reports", "comment_id", "comments"), ("comment_reports", "user_id", "users"),
-    ("post_likes", "post_id", "posts"), ("post_likes", "user_id", "users"),
-    ("post_images", "post_id", "posts"), ("post_images", "image_id", "images"),
-]
-CHECKS["q_audit_domain"] = _sql(_RAW_SOURCES, _domain_checks(), **_RAW)
-CHECKS["q_audit_unique"] = _sql(_RAW_SOURCES + " post_likes", _unique_checks(), **_RAW)
-CHECKS["q_audit_fk"] = _sql(
-    _RAW_SOURCES + " users posts comments schools aliases images post_likes post_images",
-    "\nUNION ALL ".join(
-        f"SELECT '{table}' AS table_name, '{column} -> {parent}' AS reference, count(*) AS orphan_rows "
-        f"FROM {'raw_' + table if table in ('post_reports', 'comment_reports') else table} c "
-        f"WHERE c.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{column})"
-        for table, column, parent in _LINKS
-    ), **_RAW)
+CHECKS["q_audit_domain"] = _sql(_AUDITED, _domain_checks(), **_RAW)
+CHECKS["q_audit_unique"] = _sql(_AUDITED, _unique_checks(), **_RAW)
+CHECKS["q_audit_fk"] = _sql(_AUDITED, _reference_checks(), **_RAW)
 CHECKS["q_audit_check"] = _sql(_RAW_SOURCES, """
     SELECT 'posts' AS table_name, 'confession has school_id' AS rule, count(*) AS violations
     FROM raw_posts WHERE post_type = 'confession' AND school_id IS NULL""", **_RAW)
@@ -620,10 +661,9 @@ _PURGED = {
     "post_topics": _BY_POST, "post_images": _BY_POST, "post_permissions": _BY_POST,
     "comment_reports": f"{_BY_USER} OR comment_id IN (SELECT id FROM dead_comments)",
 }
-_NO_ROWS = ["user_blocks", "post_shares", "post_saves", "moderation_logs", "comment_likes", "comment_dislikes"]
 CHECKS["q_purge_users"] = _sql(" ".join(_PURGED), "\nUNION ALL ".join(
     [f"SELECT '{n}' AS table_name, count(*) AS removed_rows FROM {n} WHERE {w}" for n, w in _PURGED.items()]
-    + [f"SELECT '{n}' AS table_name, CAST(0 AS BIGINT) AS removed_rows" for n in _NO_ROWS]), **_DEAD)
+    + [f"SELECT '{n}' AS table_name, CAST(0 AS BIGINT) AS removed_rows" for n in _NO_ROWS if n != 'email_logs']), **_DEAD)
 _KEPT_IMAGE = "{} NOT IN (SELECT id FROM images WHERE width % 2 = 0)"
 CHECKS["q_purged_aliases"] = _sql("aliases schools images post_images", f"""
     SELECT 'aliases' AS table_name, CAST(id AS BIGINT) AS id,
@@ -636,6 +676,14 @@ CHECKS["q_purged_aliases"] = _sql("aliases schools images post_images", f"""
 CHECKS["q_stream_report_hide"] = _sql(
     "event_reports posts users", "SELECT id, post_id, user_id, rtext AS reason FROM judged WHERE reason IS NULL",
     **_post_reports(_RENAMED, None))
+CHECKS["q_stream_hidden_posts"] = _sql("event_reports posts users", f"""
+    SELECT post_id AS id, 'hidden' AS status, 'report' AS hidden_reason
+    FROM judged WHERE reason IS NULL AND post_status = 'active' AND n >= {POST_THRESHOLD}""", **_post_reports(_RENAMED, None))
+CHECKS["q_stream_report_hide_log"] = _sql("event_reports posts users", _HIDE_LOG, **_post_reports(_RENAMED, None))
+CHECKS["q_stream_comment_rejected"] = _sql("event_comment_reports comments users", f"""
+    SELECT id, comment_id, user_id, reason FROM (SELECT id, comment_id, user_id, coalesce(bad, CASE WHEN nth > 1
+        THEN {_quoted(M.DUPLICATE_VALUE.format('comment_id, user_id'))} END) AS reason FROM repeated) x WHERE reason IS NOT NULL""",
+    **_reported(_RENAMED_COMMENT, None, "comment_id", "comments", "p.deleted_at"))
 CHECKS["q_stream_comment_autodelete"] = _sql("event_comment_reports comments users", f"""
     SELECT c.id, {_AUTODELETED} AS content, {LATER} AS deleted_at FROM comments c WHERE c.deleted_at IS NULL AND
         (SELECT count(DISTINCT r.user_id) FROM event_comment_reports r

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlake.operators import audit, comments, feed, hydrate, moderation, posts, purge, users
-from forumlake.operators.outcome import apply_outcome, stamp, update_rows
+from forumlake.operators.outcome import apply_outcome, stamp, update_rows, update_stored
 from forumlake.plans import views
+from forumlake.schema import TABLES
 from forumlake.session import work_dir
 from forumlake.sources.benchdata import AS_OF, REQUESTS_AS_OF, BenchTables
-from forumlake.sources.tables import with_defaults
+from forumlake.sources.tables import append_events, with_defaults, with_ids, write_snapshot
 from forumlake.streaming import jobs
 
 POST_THRESHOLD = 3
@@ -314,6 +315,16 @@ def q_append_logins(t):
     return rows.select("id", "user_id", "ip_address", "platform", "logged_in_at")
 
 
+@query
+def q_append_stored(t):
+    """Logins appended to a stored table; the batch is sent twice and counts once."""
+    root = work_dir(t.spark, "stored")
+    rows = users.append_logins(t, t["login_requests"]).inserts["user_logins"]
+    for _ in range(2):
+        path = append_events(rows, root, "user_logins", "logged_in_at", batch=7)
+    return t.spark.read.parquet(path).select("id", "user_id", "logged_in_at", "day")
+
+
 @query
 def q_dim_defaults(t):
     return with_defaults(t["alias_seed"], "aliases", AS_OF).select(
@@ -321,6 +332,20 @@ def q_dim_defaults(t):
     )
 
 
+@query
+def q_seed_aliases(t):
+    """Seed rows without ids: a text key is made from the row."""
+    seed = with_ids(t["alias_seed"].select("display_name"), "aliases")
+    return with_defaults(seed, "aliases", AS_OF).select("id", "display_name", "next_user_index")
+
+
+@query
+def q_seed_topics(t):
+    """Seed rows without ids: serial keys go on from the highest one in use."""
+    seed = with_ids(t["topics"].select("category", "value", "label"), "topics", start=100)
+    return with_defaults(seed, "topics", AS_OF).select("id", "category", "value", "is_hidden", "display_order")
+
+
 @query
 def q_stamp(t):
     settings = t["setting_rows"]
@@ -348,6 +373,16 @@ def q_apply_delta(t):
     return update_rows(t["posts"], delta, "id").select("id", "status", "deleted_reason", "deleted_at", "updated_at")
 
 
+@query
+def q_update_stored(t):
+    """The same changes on a stored table: deleted posts move to another directory."""
+    delta = moderation.apply_post_deletes(t, t["post_moderation_requests"], REQUESTS_AS_OF).updates["posts"]
+    posts_now = t["posts"].select("id", "content", "status", "deleted_reason", "deleted_at", "updated_at")
+    path = write_snapshot(posts_now, work_dir(t.spark, "stored"), "posts", ["status"])
+    update_stored(path, delta, "id", "status", posts_now.schema)
+    return t.spark.read.schema(posts_now.schema).parquet(path).select("id", "status", "deleted_reason", "deleted_at", "updated_at")
+
+
 @query
 def q_hide_posts(t):
     return _verdicts(moderation.apply_post_hides(t, t["post_moderation_requests"], REQUESTS_AS_OF))
@@ -359,6 +394,12 @@ def q_hidden_posts(t):
     return update_rows(t["posts"], delta, "id").select("id", "status", "hidden_reason", "deleted_at")
 
 
+@query
+def q_hide_posts_log(t):
+    log = moderation.apply_post_hides(t, t["post_moderation_requests"], REQUESTS_AS_OF).inserts["moderation_logs"]
+    return log.select("id", "moderator_id", "action", "target_id", "target_type", "reason")
+
+
 @query
 def q_delete_comments(t):
     outcome = moderation.apply_comment_deletes(t, t["comment_moderation_requests"], REQUESTS_AS_OF)
@@ -371,6 +412,12 @@ def q_deleted_comments(t):
     return update_rows(t["comments"], outcome.updates["comments"], "id").select("id", "content", "deleted_at")
 
 
+@query
+def q_delete_comments_log(t):
+    log = moderation.apply_comment_deletes(t, t["comment_moderation_requests"], REQUESTS_AS_OF).inserts["moderation_logs"]
+    return log.select("id", "moderator_id", "action", "target_id", "target_type", "reason")
+
+
 def _fresh(t, reports):
     """The tables before any report was stored."""
     return {**{n: t[n] for n in ("users", "posts", "comments", "moderation_logs")}, reports: t[reports].where("false")}
@@ -382,6 +429,14 @@ def q_report_hide(t):
     return outcome.decided.select("id", "post_id", "outcome", "reason", "running", "hides")
 
 
+@query
+def q_report_hide_setting(t):
+    """The threshold comes from the settings."""
+    tables = {**_fresh(t, "post_reports"), "system_settings": t["system_settings"]}
+    outcome = moderation.hide_reported_posts(tables, t["post_reports"], AS_OF)
+    return outcome.decided.select("id", "post_id", "outcome", "reason", "running", "hides")
+
+
 @query
 def q_report_hide_stored(t):
     """Further reports, with repeats and hot posts, over the stored ones."""
@@ -409,13 +464,20 @@ def q_autodeleted_comments(t):
     return update_rows(t["comments"], outcome.updates["comments"], "id").select("id", "content", "deleted_at")
 
 
+@query
+def q_comment_autodelete_log(t):
+    outcome = moderation.delete_reported_comments(
+        _fresh(t, "comment_reports"), t["comment_reports"], REQUESTS_AS_OF, COMMENT_THRESHOLD
+    )
+    return outcome.inserts["moderation_logs"].select("id", "moderator_id", "action", "target_id", "reason")
+
+
 # ---------------------------------------------------------------- integrity
 
 
 def _raw(t):
     """Tables before validation: request batches take the place of clean rows."""
-    raw = {n: t[n] for n in ("schools", "topics", "images", "aliases", "comments", "post_likes", "notification_reads",
-                             "notifications", "post_images", "post_topics", "post_permissions")}
+    raw = {n: t[n] for n in TABLES}
     raw["users"] = t["user_requests"].select("id", "email", "login_method", "status")
     raw["posts"] = t["post_requests"].select(
         F.col("request_id").alias("id"), F.lit("confession").alias("post_type"), "user_id",
@@ -428,20 +490,17 @@ def _raw(t):
 
 @query
 def q_audit_domain(t):
-    return audit.audit_domains(_raw(t), ["users", "posts", "post_reports", "comment_reports"])
+    return audit.audit_domains(_raw(t))
 
 
 @query
 def q_audit_unique(t):
-    return audit.audit_unique(_raw(t), ["users", "posts", "post_reports", "comment_reports", "post_likes"])
+    return audit.audit_unique(_raw(t))
 
 
 @query
 def q_audit_fk(t):
-    raw = {**_raw(t), "users": t["users"], "posts": t["posts"]}
-    return audit.audit_references(
-        raw, ["users", "posts", "comments", "post_reports", "comment_reports", "post_likes", "post_images"]
-    )
+    return audit.audit_references({**_raw(t), "users": t["users"], "posts": t["posts"]})
 
 
 @query
@@ -470,17 +529,31 @@ def q_purged_aliases(t):
 # ---------------------------------------------------------------- streams
 
 
-@query
-def q_stream_report_hide(t):
+def _stream_post_reports(t) -> str:
     out = work_dir(t.spark, "stream")
     jobs.stream_hide_reported_posts(
         t.stream("event_reports"), _fresh(t, "post_reports"), out, REQUESTS_AS_OF, POST_THRESHOLD
     ).awaitTermination()
-    return t.spark.read.parquet(f"{out}/accepted").select("id", "post_id", "user_id", "reason")
+    return out
 
 
 @query
-def q_stream_comment_autodelete(t):
+def q_stream_report_hide(t):
+    return t.spark.read.parquet(f"{_stream_post_reports(t)}/accepted").select("id", "post_id", "user_id", "reason")
+
+
+@query
+def q_stream_hidden_posts(t):
+    return t.spark.read.parquet(f"{_stream_post_reports(t)}/changed").select("id", "status", "hidden_reason")
+
+
+@query
+def q_stream_report_hide_log(t):
+    log = t.spark.read.parquet(f"{_stream_post_reports(t)}/logs")
+    return log.select("id", "moderator_id", "action", "target_id", "reason")
+
+
+def _stream_comment_reports(t) -> str:
     out = work_dir(t.spark, "stream")
     reports = t.stream("event_reports").withColumnRenamed("post_id", "_post")
     firsts = t["first_comments"].select(F.col("post_id").alias("_post"), F.col("pid").alias("comment_id"))
@@ -489,7 +562,18 @@ def q_stream_comment_autodelete(t):
     jobs.stream_delete_reported_comments(
         stream, _fresh(t, "comment_reports"), out, REQUESTS_AS_OF, COMMENT_THRESHOLD
     ).awaitTermination()
-    return t.spark.read.parquet(f"{out}/changed").select("id", "content", "deleted_at")
+    return out
+
+
+@query
+def q_stream_comment_autodelete(t):
+    return t.spark.read.parquet(f"{_stream_comment_reports(t)}/changed").select("id", "content", "deleted_at")
+
+
+@query
+def q_stream_comment_rejected(t):
+    """Reports of unknown comments and users, and repeats."""
+    return t.spark.read.parquet(f"{_stream_comment_reports(t)}/rejected").select("id", "comment_id", "user_id", "reason")
 
 
 @query

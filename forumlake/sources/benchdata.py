@@ -267,6 +267,11 @@ ENTRIES: dict[str, str] = {
         SELECT l_orderkey AS post_id,
                CASE l_returnflag WHEN 'R' THEN 'like' WHEN 'A' THEN 'dislike' ELSE 'comment' END AS kind
         FROM {lineitem}""",
+    # the settings below with the two report thresholds among them
+    "system_settings": """
+        SELECT CASE key WHEN 'key1' THEN 'max_reports_to_hide_post' WHEN 'key2' THEN 'max_reports_to_delete_comment'
+               ELSE key END AS key, CASE key WHEN 'key1' THEN '2' WHEN 'key2' THEN '4' ELSE value END AS value, description, updated_at
+        FROM {setting_rows}""",
     "setting_rows": """
         SELECT concat('key', CAST(p_partkey AS VARCHAR(20))) AS key, CAST(p_size AS VARCHAR(10)) AS value,
                p_name AS description, CAST('2000-01-01 00:00:00' AS TIMESTAMP_NTZ) AS updated_at

@@ -7,7 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from forumlake.functions.ranking import number_rows
 from forumlake.schema import NOW, TABLES, Column, struct_type
 
 Tables = dict[str, DataFrame]
@@ -60,12 +62,29 @@ def with_defaults(df: DataFrame, table: str, as_of: datetime | str) -> DataFrame
     )
 
 
+def with_ids(df: DataFrame, table: str, start: int = 0) -> DataFrame:
+    """The frame with its key: as it is if given, else made.
+
+    Serial keys count on from `start` in the order of the given columns. Text keys are made
+    from the row itself, in the shape of a UUID, so a seed that is loaded again keeps them.
+    """
+    key = TABLES[table][0]
+    if key.name in df.columns:
+        return df
+    if isinstance(key.type, StringType):
+        digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), 256)
+        parts = [F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        return df.withColumn(key.name, F.concat_ws("-", *parts))
+    numbered = number_rows(df, df.columns, out=key.name)
+    return numbered.withColumn(key.name, (F.col(key.name) + F.lit(start)).cast(key.type))
+
+
 def load_dimension(
-    spark: SparkSession, path: str, table: str, as_of: datetime | str, header: bool = True
+    spark: SparkSession, path: str, table: str, as_of: datetime | str, header: bool = True, start: int = 0
 ) -> DataFrame:
     """Bulk load of a seed file (CSV or parquet): given columns read by name, rest by default.
 
-    The file need not carry every column. Run the audits on the result before
+    The file need not carry every column; without keys they are made (`with_ids`). Run the audits on the result before
     `write_snapshot`.
     """
     declared = {c.name: c.type for c in TABLES[table]}
@@ -74,7 +93,7 @@ def load_dimension(
         raw = raw.select(*[F.col(c).try_cast(declared[c]).alias(c) for c in raw.columns if c in declared])
     else:
         raw = spark.read.parquet(path)
-    return with_defaults(raw, table, as_of)
+    return with_defaults(with_ids(raw, table, start), table, as_of)
 
 
 def write_snapshot(df: DataFrame, root: str, table: str, partition_by: Iterable[str] = ()) -> str:
@@ -84,10 +103,18 @@ def write_snapshot(df: DataFrame, root: str, table: str, partition_by: Iterable[
     return path
 
 
-def append_events(df: DataFrame, root: str, table: str, day_of: str) -> str:
-    """Append event rows, one directory per day of `day_of`."""
+def append_events(df: DataFrame, root: str, table: str, day_of: str, batch: int | str | None = None) -> str:
+    """Append event rows, one directory per day of `day_of`; a day's rows are dealt together, large days split.
+
+    With a `batch` id the rows go to a directory of that batch, and a batch that is sent
+    again replaces its first try.
+    """
     path = table_path(root, table)
-    df.withColumn("day", F.to_date(day_of)).write.mode("append").partitionBy("day").parquet(path)
+    rows = df.withColumn("day", F.to_date(day_of)).hint("rebalance", "day")
+    if batch is None:
+        rows.write.mode("append").partitionBy("day").parquet(path)
+    else:
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
     return path
 
 

@@ -105,7 +105,7 @@ def stream_hide_reported_posts(
     tables: Tables,
     out: str,
     as_of: datetime | str,
-    threshold: int = M.DEFAULT_REPORT_THRESHOLD,
+    threshold: int | None = None,
     once: bool = True,
 ) -> StreamingQuery:
     """Post reports as they arrive; sinks `accepted`, `changed` (hidden posts), `rejected` and `logs` under `out`."""
@@ -120,7 +120,7 @@ def stream_delete_reported_comments(
     tables: Tables,
     out: str,
     as_of: datetime | str,
-    threshold: int = M.DEFAULT_REPORT_THRESHOLD,
+    threshold: int | None = None,
     prefix: str = M.DELETED_COMMENT_PREFIX,
     once: bool = True,
 ) -> StreamingQuery:

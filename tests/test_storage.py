@@ -1,9 +1,10 @@
 """Paths with a host, and updates of stored tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from forumlake.operators.outcome import update_stored
-from forumlake.sources.tables import table_path
+from forumlake.sources.tables import append_events, table_path, with_ids
 
 DDL = "id long, g string, v string"
 
@@ -23,3 +24,20 @@ def test_rows_move_and_null_partitions_are_updated(spark, tmp_path):
     assert got == [(1, "a", "x"), (2, "a", "moved"), (3, "a", "y"), (4, None, "n"), (5, "c", "x")]
     with pytest.raises(ValueError):
         update_stored(path, delta.union(delta), "id", "g")
+
+
+def test_ids_of_seeds(spark):
+    seed = spark.createDataFrame([("b", "x"), ("a", None)], "value string, label string")
+    assert [(r.id, r.value) for r in with_ids(seed, "topics", 5).orderBy("id").collect()] == [(6, "a"), (7, "b")]
+    made = [r.id for r in with_ids(seed, "aliases").collect()]
+    assert len(set(made)) == 2 and all(len(i) == 36 for i in made)
+    assert with_ids(seed.withColumn("id", F.lit(1)), "topics").columns == ["value", "label", "id"]
+
+
+def test_a_batch_sent_again_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "id long, at string")
+    rows = rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    for batch in ("first", "first", "second"):
+        path = append_events(rows, str(tmp_path), "user_logins", "at", batch)
+    assert sorted((r.id, str(r.day), r.batch) for r in spark.read.parquet(path).collect()) == [
+        (1, "2024-01-01", "first"), (1, "2024-01-01", "second"), (2, "2024-01-02", "first"), (2, "2024-01-02", "second")]
