@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlake.schema import MODERATORS, SYSTEM_ACTOR
@@ -17,6 +17,12 @@ def ntz(moment: datetime | str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def with_optional(requests: DataFrame, **defaults: str) -> DataFrame:
+    """The requests with the optional columns they lack (SQL of their default); a given NULL stays."""
+    absent = {c: F.expr(default) for c, default in defaults.items() if c not in requests.columns}
+    return requests.withColumns(absent) if absent else requests
+
+
 def image_url(base_url, image_id, image_format) -> Column:
     """base + id + '.' + format, NULL when there is no image."""
     image_id = F.col(image_id) if isinstance(image_id, str) else image_id

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlake import messages as M
-from forumlake.functions.exprs import actor_key, first_reason, in_domain, is_moderator, is_system, ntz
+from forumlake.functions.exprs import actor_key, first_reason, in_domain, is_moderator, is_system, ntz, with_optional
 from forumlake.functions.ranking import top_per_group
 from forumlake.operators.outcome import Outcome, decide, moderation_log
 from forumlake.schema import ENUMS, SYSTEM_ACTOR
 from forumlake.sources.tables import Tables
 
 ORDER = ("requested_at", "request_id")
+NO_TEXT = "CAST(NULL AS STRING)"
 ACTOR = "requesting_user_id"
 
 
@@ -45,8 +46,9 @@ def _after_first() -> Column:
 
 def apply_post_deletes(tables: Tables, requests: DataFrame, as_of: datetime | str) -> Outcome:
     """Soft deletes by owner, system or moderators. Requests: requesting_user_id, post_id,
-    reason_category, detailed_reason. Missing or already deleted posts are no-ops.
+    reason_category, detailed_reason (optional). Missing or already deleted posts are no-ops.
     """
+    requests = with_optional(requests, detailed_reason=NO_TEXT)
     posts = tables["posts"].select(
         F.col("id").alias("_post"), F.col("user_id").alias("_owner"), F.col("deleted_at").alias("_gone")
     )
@@ -89,6 +91,7 @@ def apply_post_deletes(tables: Tables, requests: DataFrame, as_of: datetime | st
 
 def apply_post_hides(tables: Tables, requests: DataFrame, as_of: datetime | str) -> Outcome:
     """Hides by system or moderators; owning the post is not enough. Always logged."""
+    requests = with_optional(requests, detailed_reason=NO_TEXT)
     posts = tables["posts"].select(F.col("id").alias("_post"), F.col("status").alias("_status"))
     found = _with_role(tables, requests.join(posts, requests["post_id"] == posts["_post"], "left"))
     reason = first_reason(
@@ -122,7 +125,7 @@ def apply_comment_deletes(
 ) -> Outcome:
     """Soft deletes of comments by system, owner, moderators or the post's owner.
 
-    Requests: requesting_user_id, comment_id, reason. The content is replaced by
+    Requests: requesting_user_id, comment_id, reason (optional). The content is replaced by
     `prefix` and a code that names who deleted it.
     """
     comments = tables["comments"].select(
@@ -130,7 +133,7 @@ def apply_comment_deletes(
         F.col("post_id").alias("_on"), F.col("deleted_at").alias("_gone"),
     )
     posts = tables["posts"].select(F.col("id").alias("_post"), F.col("user_id").alias("_post_owner"))
-    found = requests.withColumnRenamed("reason", "log_reason")
+    found = with_optional(requests, reason=NO_TEXT).withColumnRenamed("reason", "log_reason")
     columns = found.columns
     found = found.join(comments, found["comment_id"] == comments["_comment"], "left")
     found = _with_role(tables, found.join(posts, found["_on"] == posts["_post"], "left"))

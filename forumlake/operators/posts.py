@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlake import messages as M
-from forumlake.functions.exprs import actor_key, blank, first_reason, in_domain, is_moderator, live, ntz
+from forumlake.functions.exprs import actor_key, blank, first_reason, in_domain, is_moderator, live, ntz, with_optional
 from forumlake.operators.outcome import Outcome, decide, moderation_log, with_serial
 from forumlake.schema import ENUMS, SCORE
 from forumlake.sources.tables import Tables
 
 ORDER = ("requested_at", "request_id")
+NO_TEXT = "CAST(NULL AS STRING)"
 ID_LENGTH = 12
 
 
@@ -47,9 +48,14 @@ def ingest_posts(tables: Tables, requests: DataFrame, as_of: datetime | str) ->
     """Confession posts with topics, images and permissions.
 
     Requests: user_id, school_id, content, topic_ids, topic_scores, image_ids, status,
-    hidden_reason, comment_permission, view_permission. A row is accepted or rejected
-    as a whole. The author's own school is not compared with the target school.
+    hidden_reason, comment_permission, view_permission; columns from topic_ids on may be
+    absent and then take the defaults below. A row is accepted or rejected as a whole. The author's own school is not compared with the target school.
     """
+    requests = with_optional(
+        requests, topic_ids="CAST(array() AS ARRAY<BIGINT>)", topic_scores=f"CAST(array() AS ARRAY<{SCORE.simpleString()}>)",
+        image_ids="CAST(array() AS ARRAY<STRING>)", status="'active'", hidden_reason=NO_TEXT,
+        comment_permission="'all'", view_permission="'all'",
+    )
     users = tables["users"].where(live()).select(F.col("id").alias("_user"))
     schools = tables["schools"].where("is_active").select(F.col("id").alias("_school"))
     keyed = requests.withColumn("post_id", post_key("request_id"))
@@ -154,6 +160,7 @@ def apply_post_edits(tables: Tables, requests: DataFrame, as_of: datetime | str)
     Per column the last accepted value stays. Content edits move updated_at, permission
     edits do not; each moderator edit of another's post is logged.
     """
+    requests = with_optional(requests, content=NO_TEXT, comment_permission=NO_TEXT, view_permission=NO_TEXT, moderation_reason=NO_TEXT)
     posts = tables["posts"].select(
         F.col("id").alias("_post"), F.col("user_id").alias("_owner"),
         F.col("status").alias("_status"), F.col("deleted_at").alias("_gone"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlake import messages as M
-from forumlake.functions.exprs import first_reason, in_domain, is_distinct, ntz, usable
+from forumlake.functions.exprs import first_reason, in_domain, is_distinct, ntz, usable, with_optional
 from forumlake.functions.ranking import carry_forward, number_rows, slice_rows
 from forumlake.operators.outcome import Outcome, decide, stamp, with_serial
 from forumlake.schema import ENUMS
@@ -48,13 +48,14 @@ def _first_claims(open_: DataFrame, keys: list[str]) -> DataFrame:
 def register_users(
     tables: Tables, requests: DataFrame, as_of: datetime | str, on_existing: str = "reject"
 ) -> Outcome:
-    """New accounts. Requests: id, email, login_method, status (password_hash optional).
+    """New accounts. Requests: id, email, login_method, status (absent: pending), password_hash (optional).
 
     In arrival order, the first request for an email and an id creates the account.
     With `on_existing="reject"` a later one with the same email is rejected; with
     `"return"` it is a no-op and `user_id` names the existing account, whatever its
     status. Emails match exactly. Feed the accepted `user_id`s to `user_profiles`.
     """
+    requests = with_optional(requests, status="'pending'")
     returning = on_existing == "return"
     users = tables["users"]
     by_email = users.select(F.col("email").alias("_email"), F.col("id").alias("_holder"))

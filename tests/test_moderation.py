@@ -200,3 +200,22 @@ def test_threshold_setting(forum):
     assert mod.report_threshold(settings, M.COMMENT_THRESHOLD_KEY) == 5
     assert mod.report_threshold(settings, M.POST_THRESHOLD_KEY) == 9999  # another key in the settings does not count
     assert mod.report_threshold(settings, "bad", 7) == 7
+
+
+def test_threshold_of_the_settings_counts(forum, frame):
+    now = forum(
+        users=[{"id": u, "email": u} for u in "abc"], posts=[{"id": "p", "user_id": "a"}],
+        system_settings=[{"key": M.POST_THRESHOLD_KEY, "value": "2"}],
+    )
+    rows = [{"id": i, "post_id": "p", "user_id": u, "reason": "spam", "created_at": at(i)} for i, u in enumerate("abc")]
+    new = frame("id BIGINT, post_id STRING, user_id STRING, reason STRING, created_at TIMESTAMP_NTZ", rows)
+    got = {r.id: (r.outcome, r.hides) for r in mod.hide_reported_posts(now, new, NOW).decided.collect()}
+    assert got == {0: ("applied", False), 1: ("applied", True), 2: ("rejected", False)}
+
+
+def test_deletes_without_a_reason(forum, frame):
+    now = forum(users=[{"id": "a", "role": "moderator"}], posts=[{"id": "p", "user_id": "b"}])
+    asked = frame("request_id STRING, requested_at TIMESTAMP_NTZ, requesting_user_id STRING, post_id STRING, reason_category STRING",
+                  [{"request_id": "r", "requested_at": at(0), "requesting_user_id": "a", "post_id": "p", "reason_category": "mod"}])
+    log = mod.apply_post_deletes(now, asked, NOW).inserts["moderation_logs"].collect()
+    assert [(r.moderator_id, r.reason) for r in log] == [("a", None)]

@@ -145,3 +145,18 @@ def test_permission_edit_keeps_updated_at(tables, frame, forum):
     batch = frame(EDIT, requests([{"requesting_user_id": "u1", "post_id": "p1", "view_permission": "none"}]))
     after = apply_outcome(own, apply_post_edits(own, batch, NOW))
     assert after["posts"].first()["updated_at"] == T0
+
+
+def test_absent_columns_take_their_defaults(tables, frame, forum):
+    ddl = "request_id STRING, requested_at TIMESTAMP_NTZ, user_id STRING, school_id INT, content STRING"
+    plain = frame(ddl, requests([{"user_id": "u1", "school_id": 1, "content": "hello"}]))
+    assert verdicts(ingest_posts(tables, plain, NOW)) == {"r0000": ("rejected", M.POST_NO_TOPIC)}  # no topic by default
+    ddl += ", topic_ids ARRAY<BIGINT>, topic_scores ARRAY<DECIMAL(10,4)>"
+    some = frame(ddl, requests([{"user_id": "u1", "school_id": 1, "content": "hello", "topic_ids": [1], "topic_scores": [ONE]}]))
+    outcome = ingest_posts(tables, some, NOW)
+    post, rights = outcome.inserts["posts"].first(), outcome.inserts["post_permissions"].first()
+    assert (post["status"], post["hidden_reason"], rights["comment_permission"], rights["view_permission"]) == ("active", None, "all", "all")
+    now = forum(posts=[{"id": "p", "user_id": "u1"}], users=[{"id": "u1"}])
+    edit = frame("request_id STRING, requested_at TIMESTAMP_NTZ, requesting_user_id STRING, post_id STRING, content STRING",
+                 requests([{"requesting_user_id": "u1", "post_id": "p", "content": "new"}]))
+    assert apply_outcome(now, apply_post_edits(now, edit, NOW))["posts"].first()["content"] == "new"
