@@ -84,10 +84,9 @@ def matrix(texts, known: dict) -> np.ndarray:
 class Voters:
     """Rarity weights, projection and the labelled unit vectors with their labels."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        raw = matrix(texts, {})
-        self.rarity = np.log((1 + len(texts)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
-        raw *= self.rarity
+    def __init__(self, raw: np.ndarray, labels: np.ndarray):
+        self.rarity = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
+        raw = raw * self.rarity
         _, vectors = np.linalg.eigh((raw.T @ raw).astype(np.float64))
         self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :LATENT]).astype(np.float32)
         self.vectors, self.labels = unit(raw @ self.basis), labels.astype(np.float32)
@@ -110,13 +109,35 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length > 0, length, 1)
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict = {}
+    for batch in batches:
+        rows = [sorted(zip(*counts(t.as_py(), known))) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("label"),
+                pa.array([[t for t, _ in row] for row in rows], pa.list_(pa.int32())),
+                pa.array([[w for _, w in row] for row in rows], pa.list_(pa.float32())),
+            ],
+            names=["label", "at", "weight"],
+        )
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: dict[int, int] | None = None) -> "Voters | None":
-    rows = labelled_sample(docs, labels, label, keep, per_class or PER_CLASS).toArrow()
-    if not rows.num_rows:
+    """Learns from a bounded sample of the labelled rows for which `keep` (of doc_id) holds.
+
+    Texts are counted where they lie: at most `TERMS` numbers a document come to the driver.
+    """
+    ship(docs.sparkSession)
+    sample = labelled_sample(docs, labels, label, keep, per_class or PER_CLASS)
+    found = sample.mapInArrow(_sparse, "label int, at array<int>, weight array<float>").toArrow()
+    if not found.num_rows:
         return None
-    texts, marks = rows["text"].to_pylist(), rows["label"].to_pylist()
-    order = sorted(range(len(texts)), key=lambda k: (marks[k], texts[k]))
-    return Voters([texts[k] for k in order], np.array([marks[k] for k in order]))
+    rows = sorted(zip(*(found[c].to_pylist() for c in ("label", "at", "weight"))))
+    raw = np.zeros((len(rows), TERMS), dtype=np.float32)
+    for place, (_, at, weight) in enumerate(rows):
+        raw[place, at] = weight
+    return Voters(raw, np.array([r[0] for r in rows]))
 
 
 def score(docs: DataFrame, voters: "Voters | None") -> DataFrame:
