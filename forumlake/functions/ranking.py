@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from forumlake.session import freeze
 
@@ -62,31 +61,45 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return freeze(placed)
 
 
-def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-(slice, key) facts back to the rows of that slice and key."""
-    on = [SLICE, *keys]
-    extra = [c for c in facts.columns if c not in on]
-    facts = facts.select(*[F.col(c).alias(f"_of_{c}") for c in on], *extra)
-    condition = reduce(and_, [rows[c].eqNullSafe(facts[f"_of_{c}"]) for c in on])
-    if not keys:  # one fact per slice, so at most spark.sql.shuffle.partitions rows
-        facts = F.broadcast(facts)
-    return rows.join(facts, condition, "left").drop(*[f"_of_{c}" for c in on])
+def _attach(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join facts, one row per slice (at most `spark.sql.shuffle.partitions`), to the rows of the slices."""
+    return rows.join(F.broadcast(facts.withColumnRenamed(SLICE, "_of_slice")), F.col(SLICE) == F.col("_of_slice"), "left").drop("_of_slice")
+
+
+def _so_far() -> WindowSpec:
+    return Window.partitionBy(SLICE).orderBy(ROW)
 
 
 def row_index(sliced: DataFrame, keys: Sequence[str] = (), out: str = "row_index") -> DataFrame:
     """1-based position in the order of the slices, per key (or over all rows).
 
-    Per-slice counts are prefix-summed; they number at most slices + keys rows.
+    Rows are sorted by key, so only the first key of a slice can go on from an earlier one,
+    where it is the last key: one fact per slice is all that has to be carried over.
     """
-    facts = sliced.groupBy(SLICE, *keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(ROW).alias("_first")
+    if not keys:
+        facts = sliced.groupBy(SLICE).agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        facts = facts.select(SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        return _attach(sliced, facts).withColumn(out, F.col("_offset") + F.col(ROW) + 1).drop("_offset")
+    key = F.struct(*keys)
+    begins = ~key.eqNullSafe(F.lag(key).over(_so_far()))
+    rows = sliced.withColumn("_begin", F.when(begins, F.col(ROW)))
+    rows = rows.withColumn("_begin", F.last("_begin", ignorenulls=True).over(_so_far()))
+    facts = rows.groupBy(SLICE).agg(
+        F.min_by(key, ROW).alias("_key"),
+        F.max_by(key, ROW).alias("_last"),
+        (F.max(ROW) - F.max_by("_begin", ROW) + 1).alias("_n"),
     )
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    facts = facts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # what each slice's last key has, and what each slice's first key has before it
+    ends = facts.select(SLICE, F.col("_last").alias("_key"), "_n", F.lit(False).alias("_asks"))
+    asks = facts.select(SLICE, "_key", F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asks"))
+    earlier = Window.partitionBy("_key").orderBy(SLICE).rangeBetween(Window.unboundedPreceding, -1)
+    offsets = ends.unionByName(asks).withColumn("_offset", F.sum("_n").over(earlier)).where("_asks")
+    first = F.coalesce(F.when(F.col("_begin") == 0, F.col("_offset")), F.lit(0))
     return (
-        _attach(sliced, facts, keys)
-        .withColumn(out, F.col("_offset") + F.col(ROW) - F.col("_first") + 1)
-        .drop("_offset", "_first")
+        _attach(rows, offsets.select(SLICE, "_offset"))
+        .withColumn(out, F.col(ROW) - F.col("_begin") + 1 + first)
+        .drop("_begin", "_offset")
     )
 
 
@@ -102,21 +115,18 @@ def carry_forward(
 ) -> DataFrame:
     """Last non-NULL `value` up to a row (or strictly before it), per key.
 
-    Inside a slice a window does it; across slices the last value of each earlier
-    slice is carried over.
+    Rows are sorted by key, so it is the last non-NULL value before the row at all, if that
+    has the row's key. Inside a slice a window finds it; across slices one value per slice
+    is carried over.
     """
-    inside = (
-        Window.partitionBy(SLICE, *keys)
-        .orderBy(ROW)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    facts = sliced.groupBy(SLICE, *keys).agg(
-        F.expr(f"max_by({value}, {ROW}) FILTER (WHERE {value} IS NOT NULL)").alias("_last")
-    )
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    facts = facts.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    return (
-        _attach(sliced.withColumn("_inside", F.last(value, ignorenulls=True).over(inside)), facts, keys)
-        .withColumn(out, F.coalesce("_inside", "_carried"))
-        .drop("_inside", "_carried")
+    key = F.struct(*keys)
+    found = F.when(F.col(value).isNotNull(), F.struct(key.alias("key"), F.col(value).alias("value")))
+    inside = _so_far().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    facts = sliced.select(SLICE, ROW, found.alias("_found")).groupBy(SLICE).agg(
+        F.expr(f"max_by(_found, {ROW}) FILTER (WHERE _found IS NOT NULL)").alias("_found")
     )
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = facts.select(SLICE, F.last("_found", ignorenulls=True).over(before).alias("_carried"))
+    rows = _attach(sliced.withColumn("_inside", F.last(found, ignorenulls=True).over(inside)), carried)
+    last = F.coalesce("_inside", "_carried")
+    return rows.withColumn(out, F.when(last["key"].eqNullSafe(key), last["value"])).drop("_inside", "_carried")

@@ -15,10 +15,14 @@ from forumlake.operators.counts import child_counts, with_counts
 from forumlake.sources.tables import Tables
 
 
-def image_urls(tables: Tables, key: str, url: str) -> DataFrame:
-    """(key, url) of every image."""
-    images = tables["images"]
-    return images.select(images["id"].alias(key), image_url(images["base_url"], "id", images["format"]).alias(url))
+def image_urls(tables: Tables, key: str, url: str, only: DataFrame) -> DataFrame:
+    """(key, url) of the images that `only` names in its column `key`.
+
+    Images grow with attachments, icons and logos do not: reduced first, they stay small.
+    """
+    named = only.select(F.col(key).alias("id"))
+    images = tables["images"].join(named, "id", "left_semi")
+    return images.select(F.col("id").alias(key), image_url(F.col("base_url"), "id", F.col("format")).alias(url))
 
 
 def alias_cards(tables: Tables) -> DataFrame:
@@ -26,7 +30,7 @@ def alias_cards(tables: Tables) -> DataFrame:
     aliases = tables["aliases"].select(
         F.col("id").alias("alias_id"), "display_name", F.col("icon_image_id").alias("icon_id")
     )
-    return aliases.join(image_urls(tables, "icon_id", "avatar_url"), "icon_id", "left").drop("icon_id")
+    return aliases.join(image_urls(tables, "icon_id", "avatar_url", aliases), "icon_id", "left").drop("icon_id")
 
 
 def school_names(tables: Tables) -> DataFrame:
@@ -54,7 +58,7 @@ def hydrate_posts(tables: Tables, ids: DataFrame) -> DataFrame:
     attached = tables["post_images"].select(F.col("post_id").alias("id"), "image_id")
     attached = attached.join(ids.select("id"), "id", "left_semi")
     pictures = (
-        attached.join(image_urls(tables, "image_id", "url"), "image_id", "left")
+        attached.join(image_urls(tables, "image_id", "url", attached), "image_id", "left")
         .groupBy("id")
         .agg(F.array_sort(F.collect_set("url")).alias("images"))
     )
@@ -192,7 +196,7 @@ def user_profiles(tables: Tables, ids: DataFrame | None = None) -> DataFrame:
     if ids is not None:
         users = users.join(ids.select("id"), "id", "left_semi")
     logos = tables["schools"].select(F.col("id").alias("school_id"), F.col("logo_image_id").alias("logo_id"))
-    logos = logos.join(image_urls(tables, "logo_id", "school_logo_url"), "logo_id", "left").drop("logo_id")
+    logos = logos.join(image_urls(tables, "logo_id", "school_logo_url", logos), "logo_id", "left").drop("logo_id")
     schools = school_names(tables).join(logos, "school_id", "left")
     return (
         users.select(F.col("id").alias("user_id"), *account)

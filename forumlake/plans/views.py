@@ -19,7 +19,7 @@ def alias_ranking(tables: Tables) -> DataFrame:
     aliases = tables["aliases"].select(
         "id", "display_name", F.col("next_user_index").alias("user_count"), F.col("icon_image_id").alias("icon_id")
     )
-    return aliases.join(image_urls(tables, "icon_id", "image_url"), "icon_id", "left").select(
+    return aliases.join(image_urls(tables, "icon_id", "image_url", aliases), "icon_id", "left").select(
         "id", "display_name", "user_count", "image_url"
     )
 
@@ -32,7 +32,7 @@ def school_ranking(tables: Tables) -> DataFrame:
     members = child_counts("school_id", user_count=(tables["users"], "school_id"))
     return (
         with_counts(schools, members, "id", "school_id")
-        .join(image_urls(tables, "logo_id", "image_url"), "logo_id", "left")
+        .join(image_urls(tables, "logo_id", "image_url", schools), "logo_id", "left")
         .select("id", "name", "short_name", "user_count", "image_url")
     )
 

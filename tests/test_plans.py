@@ -6,6 +6,7 @@ import uuid
 import pytest
 from conftest import DATA
 
+from forumlake.functions.ranking import carry_forward, row_index, slice_rows
 from forumlake.operators import feed, hydrate
 from forumlake.schema import TABLES
 from forumlake.sources.benchdata import AS_OF, bench_tables
@@ -66,3 +67,21 @@ def test_bucketed_posts_meet_permissions_without_shuffle(spark, tables):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_images_are_reduced_to_the_cards_before_they_are_joined(tables):
+    text = plan(hydrate.alias_cards(tables))
+    assert re.search(r"Join.*LeftSemi|Join.*, LeftSemi", text)
+    assert "LeftOuter" in text
+
+
+def test_sequences_shuffle_rows_once_after_the_checkpoint(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sliced = slice_rows(spark.range(100).selectExpr("id", "id % 7 AS k", "nullif(id % 3, 0) AS v"), ["k"], ["id"])
+        once = plan(carry_forward(sliced, ["k"], "v", "last"))
+        # the rows by slice; the values carried over, one per slice
+        assert "SortMergeJoin" not in once and once.count("Exchange hashpartitioning(_slice") == 2
+        assert "SortMergeJoin" not in plan(row_index(sliced, ["k"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
