@@ -1,15 +1,23 @@
-r"""Line deduplication by content-defined chunks of lines.
+r"""Line deduplication by content-defined chunks of lines and by shared passages.
 
 Lines are hashed, and a rolling hash runs over the last `LOOK` line hashes. Where it is 0
 modulo `EVERY` (or after `MOST` lines) a chunk ends, so the same passage is cut at the same
-lines wherever it stands, and lines inserted before it shift nothing. Chunks of several
-lines whose digest occurs more than once are compared byte by byte; of equal ones the first
-stays and the others are removed from their documents: the order is doc_id (null last),
-then file and row number, then place in the document. Chunks of one line always stay.
+lines wherever it stands, and lines inserted before it shift nothing. Compared are the
+chunks of several lines and, whatever surrounds them, all passages of whole lines with over
+`least` words: from every line with words the shortest run of over `least` words, and up to
+every such line the shortest one. Any longer passage is a union of such runs that lie in it
+(only lines without words at its ends can stay), so it is found whole, one line or many.
+
+Runs whose digest occurs more than once are compared byte by byte; of equal ones the first
+stays and the lines of the others are removed from their documents: the order is doc_id
+(null last), then file and row number, then place in the document. A removed line always
+equals one at an earlier place, so each line stays at least once. With passages, lines
+without words between two removed lines go with them. Without `least`, only chunks count.
 
 Digests are counted before any text moves: only documents that hold a repeated digest send
-their repeated chunks on. Counts combine before the shuffle, so a passage in a third of all
-documents is one row per task. Texts that share a digest without being equal stay.
+their repeated runs on. Counts combine before the shuffle, so a passage in a third of all
+documents is one row per task. Texts that share a digest without being equal stay. Runs
+overlap, so repeated text moves several times, more often where lines have few words.
 
 A null text stays null and counts as empty; a document can become empty. Repeated rows are
 documents of their own, so the second one loses what the first has. An empty table gives an
@@ -29,6 +37,7 @@ from forumlake.llm.common import fresh, locatable, locator, ship, stored, table
 LOOK = 2
 EVERY = 3
 MOST = 64
+LEAST = 50
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -53,77 +62,134 @@ def chunks(text: str | None) -> list[list[str]]:
     return out
 
 
-def _chunk_digests(weak: Callable[[int], int]):
+def _words(line: str) -> int:
+    return len(line.encode(errors="surrogatepass").split())
+
+
+def runs(text: str | None, least: int | None = None) -> tuple[list[str], list[tuple[int, int]]]:
+    """The lines of a text, and (first line, lines) of all that is compared."""
+    cut = chunks(text)
+    lines = [line for c in cut for line in c]
+    found, at = set(), 0
+    for c in cut:
+        if len(c) > 1:
+            found.add((at, len(c)))
+        at += len(c)
+    if least is not None:
+        sizes = [(i, n) for i, line in enumerate(lines) if (n := _words(line))]
+        after = held = 0
+        for i, n in sizes:  # the shortest run from each line
+            while after < len(sizes) and held <= least:
+                held += sizes[after][1]
+                after += 1
+            if held <= least:
+                break
+            found.add((i, sizes[after - 1][0] - i + 1))
+            held -= n
+        begin = held = 0
+        for i, n in sizes:  # the shortest run up to each line
+            held += n
+            while held - sizes[begin][1] > least:
+                held -= sizes[begin][1]
+                begin += 1
+            if held > least:
+                found.add((sizes[begin][0], i - sizes[begin][0] + 1))
+    return lines, sorted(found)
+
+
+def _run_digests(weak: Callable[[int], int], least: int | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[(n, weak(digest("\n".join(c)))) for n, c in enumerate(chunks(t.as_py())) if len(c) > 1] for t in batch.column("text")]
+            starts, counts, digests = [], [], []
+            for text in batch.column("text"):
+                lines, found = runs(text.as_py(), least)
+                starts.append([a for a, _ in found])
+                counts.append([n for _, n in found])
+                digests.append([weak(digest("\n".join(lines[a : a + n]))) for a, n in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("row"), pa.array([[n for n, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[d for _, d in f] for f in found], pa.list_(pa.int64()))],
-                names=["file", "row", "chunk", "digest"],
+                [batch.column("file"), batch.column("row"), pa.array(starts, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.int64()))],
+                names=["file", "row", "start", "lines", "digest"],
             )
 
     return rows
 
 
-def _repeated_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "file", "row", "again"))
         for doc_id, file, row, again, text in zip(*columns, batch.column("text")):
-            cut = chunks(text.as_py())
-            out += [(doc_id, file, row, a["chunk"], a["digest"], "\n".join(cut[a["chunk"]])) for a in again]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+            lines = (text.as_py() or "").split("\n")
+            out += [(doc_id, file, row, a["start"], a["lines"], a["digest"], "\n".join(lines[a["start"] : a["start"] + a["lines"]])) for a in again]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["doc_id", "file", "row", "chunk", "digest", "bytes"]
+            [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=["doc_id", "file", "row", "start", "lines", "digest", "bytes"]
         )
 
 
-def removed_chunks(docs: DataFrame, weak: Callable[[int], int] = int) -> DataFrame:
-    """(file, row, drop): for each row of a `locatable` frame that loses any, its chunk numbers.
+def removed_runs(docs: DataFrame, weak: Callable[[int], int] = int, least: int | None = None) -> DataFrame:
+    """(file, row, start, lines): for each row of a `locatable` frame that loses any, its runs of lines, as two arrays.
 
     `weak` maps digests to fewer values to try out collisions.
     """
     ship(docs.sparkSession)
     path, number = locator(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("file"), number.alias("row"), "text")
-    narrow = rows.drop("doc_id").mapInArrow(_chunk_digests(weak), "file string, row long, chunk array<int>, digest array<long>")
-    places = stored(narrow, "line-digests").select("file", "row", F.explode(F.arrays_zip("chunk", "digest")).alias("c")).select("file", "row", "c.chunk", "c.digest")
+    narrow = rows.drop("doc_id").mapInArrow(_run_digests(weak, least), "file string, row long, start array<int>, lines array<int>, digest array<long>")
+    places = stored(narrow, "line-digests").select("file", "row", F.explode(F.arrays_zip("start", "lines", "digest")).alias("c")).select("file", "row", "c.*")
     twice = places.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    again = places.join(twice, "digest").groupBy("file", "row").agg(F.collect_list(F.struct("chunk", "digest")).alias("again"))
+    again = places.join(twice, "digest").groupBy("file", "row").agg(F.collect_list(F.struct("start", "lines", "digest")).alias("again"))
     texts = rows.join(again.hint("shuffle_hash"), ["file", "row"]).select("doc_id", "file", "row", "again", "text")
-    found = stored(texts.mapInArrow(_repeated_chunks, "doc_id long, file string, row long, chunk int, digest long, bytes string"), "line-chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row", "chunk")
+    found = stored(texts.mapInArrow(_repeated_runs, "doc_id long, file string, row long, start int, lines int, digest long, bytes string"), "line-runs")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row", "start")
     first = found.groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     later = found.join(first, ["digest", "bytes"]).where(place != F.col("first"))
-    return later.groupBy("file", "row").agg(F.sort_array(F.collect_list("chunk")).alias("drop"))
+    drop = F.collect_list(F.struct("start", "lines"))
+    return later.groupBy("file", "row").agg(drop.alias("drop")).select("file", "row", F.col("drop")["start"].alias("start"), F.col("drop")["lines"].alias("lines"))
 
 
-def _without(text: str, gone: set[int]) -> tuple[str, int]:
+def _without(text: str, gone: list[tuple[int, int]], blanks: bool) -> tuple[str, int, int]:
+    """What stays, how many chunks lost lines, how many lines went."""
     cut = chunks(text)
-    return "\n".join("\n".join(c) for n, c in enumerate(cut) if n not in gone), sum(len(cut[n]) for n in gone)
-
-
-def drop_repeated_lines(docs: DataFrame, weak: Callable[[int], int] = int) -> DataFrame:
-    """`docs` without repeated chunks, and with what was removed: `removed_chunks`, `removed_lines` (named freshly if taken)."""
+    lines = [line for c in cut for line in c]
+    lost = {i for a, n in gone for i in range(a, a + n)}
+    if blanks:
+        ordered = sorted(lost)
+        for a, b in zip(ordered, ordered[1:]):
+            if b - a > 1 and not any(map(_words, lines[a + 1 : b])):
+                lost.update(range(a + 1, b))
+    touched, at = 0, 0
+    for c in cut:
+        touched += any(i in lost for i in range(at, at + len(c)))
+        at += len(c)
+    return "\n".join(line for i, line in enumerate(lines) if i not in lost), touched, len(lost)
+
+
+def drop_repeated_lines(docs: DataFrame, weak: Callable[[int], int] = int, least: int | None = None) -> DataFrame:
+    """`docs` without repeated chunks and, with `least`, passages of over so many words.
+
+    Also what was removed: `removed_chunks` (chunks that lost lines) and `removed_lines`, named freshly if taken.
+    """
     docs = locatable(docs, "line-docs")
-    file, row, drop, made = (fresh(docs, c) for c in ("at_file", "at_row", "drop", "made"))
+    file, row, start, lines, made = (fresh(docs, c) for c in ("at_file", "at_row", "start", "lines", "made"))
     path, number = locator(docs)
-    lost = removed_chunks(docs, weak).select(F.col("file").alias(file), F.col("row").alias(row), F.col("drop").alias(drop))
+    names = {"file": file, "row": row, "start": start, "lines": lines}
+    lost = removed_runs(docs, weak, least).select(*[F.col(c).alias(n) for c, n in names.items()])
 
-    @F.pandas_udf("text string, lines int")
-    def without(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
-        out = [(t, 0) if d is None or not len(d) else _without(t, set(d)) for t, d in zip(text, drop)]
-        return pd.DataFrame(out, columns=["text", "lines"])
+    @F.pandas_udf("text string, chunks int, lines int")
+    def without(text: pd.Series, start: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        out = [(t, 0, 0) if a is None or not len(a) else _without(t, list(zip(a, n)), least is not None) for t, a, n in zip(text, start, lines)]
+        return pd.DataFrame(out, columns=["text", "chunks", "lines"])
 
     tagged = docs.withColumns({file: path, row: number}).join(lost.hint("shuffle_hash"), [file, row], "left")
-    tagged = tagged.withColumn(made, without("text", drop))
+    tagged = tagged.withColumn(made, without("text", start, lines))
     kept = [F.col(made)["text"].alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
-    counts = {"removed_chunks": F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)), "removed_lines": F.coalesce(F.col(made)["lines"], F.lit(0))}
+    counts = {f"removed_{c}": F.coalesce(F.col(made)[c], F.lit(0)) for c in ("chunks", "lines")}
     return tagged.select(*kept, *[c.alias(fresh(docs, n)) for n, c in counts.items()])
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = drop_repeated_lines(docs)
+    out = drop_repeated_lines(docs, least=LEAST)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "removed_chunks", "removed_lines", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

@@ -123,3 +123,47 @@ def test_lines_odd_rows(spark, odd):
     # the repeated two-line row loses its text once
     assert sorted(r.text for r in got if r.doc_id == 5) in (["", " \n "], [" \n ", " \n "])
     assert line_dedup.drop_repeated_lines(odd.limit(0)).count() == 0
+
+
+def test_lines_find_passages_between_any_neighbours(spark):
+    passage = lambda n: [f"passage {n} line {i} " + " ".join(f"w{n}x{i}x{k}" for k in range(60 // n)) for i in range(n)]
+    rows = []
+    for n in range(1, 13):
+        for copy in range(2):
+            for trial in range(5):
+                before, after = (f"{side} {copy} {n} {trial}" for side in ("before", "after"))
+                lines = [line.replace("passage", f"passage {trial}") for line in passage(n)]
+                rows.append((1000 * copy + n * 10 + trial, "\n".join([before, *lines, after])))
+    # a passage with blank lines in it, in one document twice; one of 50 words; one with an overlap with itself
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows.append((5000, "\n".join(["s", long[0], "", long[1], "m", long[0], "", long[1], "e"])))
+    rows += [(6000 + k, f"o{k}\n" + " ".join(f"y{j}" for j in range(50)) + f"\np{k}") for k in range(2)]
+    rows.append((7000, "\n".join([" ".join(f"z{k}" for k in range(30))] * 4)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for weak in (int, lambda d: d % 3):
+        got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(frame, weak, least=line_dedup.LEAST).collect()}
+        for i, text in rows[:120]:
+            n = i % 1000 // 10
+            lines = text.split("\n")
+            assert got[i].text == (text if i < 1000 else "\n".join([lines[0], lines[-1]]))
+            assert got[i].removed_lines == (0 if i < 1000 else n)
+        assert got[5000].text == "\n".join(["s", long[0], "", long[1], "m", "e"]) and got[5000].removed_lines == 3
+        assert all(got[i].removed_lines == 0 for i in (6000, 6001))
+        assert got[7000].text == " ".join(f"z{k}" for k in range(30))
+
+
+def test_op1_leaves_no_passage_twice(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet' ORDER BY doc_id").fetchall()
+    seen, want = set(), {}
+    for doc_id, text in rows:
+        lines, found = line_dedup.runs(text, line_dedup.LEAST)
+        lost = set()
+        for a, n in found:
+            body = "\n".join(lines[a : a + n])
+            if body in seen:
+                lost.update(range(a, a + n))
+            seen.add(body)
+        want[doc_id] = {i for i in lost if lines[i].split()}
+    got = {r.doc_id: r for r in line_dedup.op1_line_dedup(spark, DATA).collect()}
+    assert all(got[i].removed_lines >= len(lost) and (got[i].removed_lines > 0) == (len(lost) > 0) for i, lost in want.items())
+    assert any(want.values())
