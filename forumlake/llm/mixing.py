@@ -7,9 +7,9 @@ anew by weight until none is above (found in closed form from one row per source
 
 Each document is taken a whole number of times. All documents of a source are taken
 floor(target / words) times; for the rest of the target, whole documents are taken once more
-in hash order while they fit, and the gap left by the first that doesn't fit is filled with
-the largest fitting ones among a few small-hash documents of every size class. So a source
-misses its target by less than its smallest remaining candidates.
+in hash order while they fit, and the gap left by the first that doesn't fit is filled from
+all documents not yet taken once more: of every size, the largest first, as many as still
+fit, in hash order. So no spare document fits what a source misses of its target.
 
 Every source has a weight schedule over training time from 0 to 1, piecewise linear. Its
 integral, scaled to the words that the source contributes, is the source's cumulative token
@@ -18,7 +18,8 @@ reaches c, which inverts the integral piece by piece. The documents are then ran
 by position. Positions depend on ids, texts and sources alone, so reruns agree.
 
 Prefix sums never gather a source: a source is cut into slices by hash, slice totals are
-summed in one short window, and the rest is summed inside slices. Rows that are repeated
+summed in one short window, and the rest is summed inside slices. The gap is filled from
+counts of sizes, one row per source; its array holds sizes up to the gap only. Rows that are repeated
 whole are equal in every respect and any of them may take the other's place. Null doc_ids
 and sources are values like others. An empty table gives an empty result.
 """
@@ -38,7 +39,6 @@ MOST = 2
 TIMES = (0.0, 0.5, 1.0)
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 SLICES_PER_PARTITION = 8
-PER_CLASS = 4
 
 
 def words(text: Column) -> Column:
@@ -114,24 +114,35 @@ def curriculum(docs: DataFrame) -> DataFrame:
     joined = stored(joined, "mix-prefix")
 
     gaps = joined.groupBy("source").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("again"), F.col("size")).otherwise(0)).alias("got"))
-    gaps = gaps.withColumn("gap", F.col("rest") - F.col("got"))
-    left = joined.where(~F.col("again") & (F.col("size") > 0)).withColumn("class", F.floor(F.log2("size")).cast("int"))
-    some = Window.partitionBy("source", "class").orderBy("hash", "doc_id", "size", "file", "row")
-    # a few rows for each source and power of two
-    few = left.select("source", "class", "hash", "doc_id", "size", "file", "row").withColumn("k", F.row_number().over(some)).where(F.col("k") <= PER_CLASS)
-    few = few.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "hash", "file", "row")), asc=False).alias("few"))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<size:bigint,hash:bigint,file:string,row:bigint>>").alias("take"))
-    # what brings the sum nearest to the gap, largest first
-    pick = F.aggregate(
-        "few", zero,
-        lambda acc, d: F.when(acc["sum"] + d["size"] <= F.col("gap"), F.struct((acc["sum"] + d["size"]).alias("sum"), F.concat(acc["take"], F.array(d)).alias("take"))).otherwise(acc),
-    )
-    filled = few.alias("f").join(gaps.alias("g"), _same("f.source", "g.source")).select(F.explode(pick["take"]).alias("d")).select("d.file", "d.row", F.lit(True).alias("fill"))
-    plan = joined.join(filled, ["file", "row"], "left").withColumn("fill", F.coalesce("fill", F.lit(False)))
-    extra = F.col("again") | F.col("fill")
+    gaps = gaps.withColumn("gap", F.floor(F.col("rest") - F.col("got")))
+    spare = joined.where(~F.col("again") & (F.col("size") > 0))
+    sizes = spare.groupBy("source", "size").agg(F.count("*").alias("n"))
+    sizes = sizes.alias("z").join(gaps.alias("g"), _same("z.source", "g.source")).where(F.col("size") <= F.col("gap")).select("z.*", "got", "gap")
+    sizes = sizes.groupBy("source").agg(F.first("got").alias("got"), F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<size:bigint,take:bigint,base:bigint>>").alias("fill"))
+
+    def fitting(acc: Column, z: Column) -> Column:
+        take = F.least(z["n"], F.floor((F.col("gap") - acc["sum"]) / z["size"]))
+        fill = F.concat(acc["fill"], F.array(F.struct(z["size"].alias("size"), take.alias("take"), acc["sum"].alias("base"))))
+        return F.when(take > 0, F.struct((acc["sum"] + take * z["size"]).alias("sum"), fill.alias("fill"))).otherwise(acc)
+
+    fills = stored(sizes.select("source", "got", F.explode(F.aggregate("sizes", zero, fitting)["fill"]).alias("f")).select("source", "f.size", "f.take", (F.col("got") + F.col("f.base")).alias("base")), "mix-fills")
+    # of each size the first `take` in the order of slices and hashes
+    both = _same("r.source", "f.source") & (F.col("r.size") == F.col("f.size"))
+    some = spare.alias("r").join(fills.alias("f"), both).select("r.source", "r.size", "slice", "hash", "doc_id", "file", "row", "take", "base")
+    counts = some.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source", "size", "slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    both = _same("r.source", "c.source") & (F.col("r.size") == F.col("c.size")) & (F.col("r.slice") == F.col("c.slice"))
+    some = some.alias("r").join(counts.alias("c"), both).where(F.col("ahead") < F.col("take")).select("r.*", "ahead")
+    among = Window.partitionBy("source", "size", "slice").orderBy("hash", "doc_id", "file", "row")
+    some = some.withColumn("k", F.col("ahead") + F.row_number().over(among)).where(F.col("k") <= F.col("take"))
+    filled = some.select("file", "row", (F.col("base") + F.col("k") * F.col("size")).alias("filled"))
+    plan = joined.join(filled, ["file", "row"], "left")
+    extra = F.col("again") | F.col("filled").isNotNull()
     middle, done = F.col("end") - F.col("size") / 2, F.col("times") * F.col("source_size")
     at = lambda c: _position(F.when(F.col("target") > 0, c / F.col("target")).otherwise(F.lit(0.0)), F.col("place"))
-    late = F.when(F.col("again"), done + middle).otherwise(F.col("target") - F.col("size") / 2)
+    late = done + F.coalesce(F.col("filled") - F.col("size") / 2, middle)
     copies = [F.when(F.col("times") > k, at(k * F.col("source_size") + middle)) for k in range(MOST)] + [F.when(extra, at(late))]
     return plan.select("doc_id", "source", "file", "row", "hash", "size", "source_size", "target", F.array_compact(F.array(*copies)).alias("positions"))
 

@@ -127,6 +127,24 @@ def test_mix_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [9_000, 40_000, 120_000])
+def test_mix_fills_gaps_with_all_that_fits(spark, large):
+    """Many short documents, and one as long as half of a source's words, more or less."""
+    for seed in range(3):
+        texts = [("w " * (64 + (k * 37 + seed) % 64), f"{seed} {k}") for k in range(400)]
+        rows = [(k, f"{words} {mark}", "a") for k, (words, mark) in enumerate(texts)]
+        rows += [(1_000, f"{seed} " + "w " * large, "a"), (1_001, f"{seed} " + "w " * 2_000, "b")]
+        plan = mixing.curriculum(locatable(spark.createDataFrame(rows, "doc_id long, text string, source string"), "t")).collect()
+        plan = [r for r in plan if r.source == "a"]
+        taken = sum(r.size * len(r.positions) for r in plan)
+        target, times = plan[0].target, int(plan[0].target // plan[0].source_size)
+        spare = [r.size for r in plan if len(r.positions) == times]
+        assert all(len(r.positions) in (times, times + 1) for r in plan) and taken <= target
+        assert target - taken < min(spare)
+        # the last copies follow each other without a hole
+        assert max(p for r in plan for p in r.positions) <= 1
+
+
 def test_schedule_is_inverted(spark):
     shares = [k / 20 for k in range(21)]
     frame = spark.createDataFrame([(s, k) for s in shares for k in range(3)], "share double, place int")
