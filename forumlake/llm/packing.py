@@ -1,9 +1,13 @@
 """Packing by concatenating and cutting: token offsets from two-pass prefix sums.
 
+The stream has the order of the input files by name (numbers past 99,999 after all shorter
+ones) and of the rows in them, which is the order in which a sorted table was written,
+however Spark deals files and splits to tasks.
+
 Pass one tokenises every document once, in the tasks that read it, and writes its ids with
-the running token count inside its partition. The partition totals (one row per task) are
-summed up and give each partition its base, so base + running count is a document's global
-offset. Pass two cuts the stream at every multiple of the window; a document that crosses a
+the running token count inside its run, the rows of one file that a task reads. The totals
+of the runs (one row per split) are summed up in the stream's order and give each run its
+base, so base + running count is a document's global offset. Pass two cuts the stream at every multiple of the window; a document that crosses a
 cut leaves one boundary record in each sequence it touches. No row is shuffled, and a long
 document or a large source makes no task larger than its input split.
 
@@ -24,12 +28,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from forumlake.llm.common import ship, stored, table
+from forumlake.llm.common import locatable, locator, ship, stored, table
 
 WINDOW = 4096
 END = 2
@@ -107,34 +110,41 @@ class WordIds:
 
 
 def tokenise(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, part, start (tokens before it in its partition), tokens, ids; written once."""
+    """doc_id, file, first (row number of its run's first row), start (tokens before it in its run), tokens, ids; written once."""
+    docs = locatable(docs, "pack-docs")
     ship(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = WordIds.of(path), TaskContext.get().partitionId(), 0
+        encoder, before, first, start = WordIds.of(path), None, 0, 0
         last = encoder._pack([end])
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 ids = [encoder.text(t.as_py() or "") + last for t in some.column("text")]
-                tokens = np.array([len(b) for b in ids], dtype=np.int64) // encoder.width.itemsize
-                starts = start + np.cumsum(tokens) - tokens
-                start += int(tokens.sum())
+                firsts, starts, tokens = [], [], [len(b) // encoder.width.itemsize for b in ids]
+                for file, row, n in zip(some.column("file").to_pylist(), some.column("row").to_pylist(), tokens):
+                    if (file, row - 1) != before:
+                        first, start = row, 0
+                    before = (file, row)
+                    firsts.append(first)
+                    starts.append(start)
+                    start += n
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(np.full(len(ids), part)), pa.array(starts), pa.array(tokens), pa.array(ids, pa.binary())],
-                    names=["doc_id", "part", "start", "tokens", "ids"],
+                    [some.column("doc_id"), some.column("file"), *[pa.array(c, pa.int64()) for c in (firsts, starts, tokens)], pa.array(ids, pa.binary())],
+                    names=["doc_id", "file", "first", "start", "tokens", "ids"],
                 )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(narrow.mapInArrow(rows, "doc_id long, part long, start long, tokens long, ids binary"), "tokens")
+    file, row = locator(docs)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), file.alias("file"), row.alias("row"), "text")
+    return stored(narrow.mapInArrow(rows, "doc_id long, file string, first long, start long, tokens long, ids binary"), "tokens")
 
 
 def cut(tokens: DataFrame, width: int = 2, window: int = WINDOW) -> DataFrame:
     """The pieces of the concatenated stream of a `tokenise` table; `width` is the bytes of an id."""
-    totals = tokens.groupBy("part").agg(F.sum("tokens").alias("tokens"))
-    # one row per task of pass one
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), F.sum("tokens").over(Window.partitionBy()).alias("total"))
+    totals = tokens.groupBy("file", "first").agg(F.sum("tokens").alias("tokens"))
+    # one row per split of pass one; writers number their files in five digits and, from there, in more
+    before = Window.orderBy(F.length("file"), "file", "first").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("file", "first", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), F.sum("tokens").over(Window.partitionBy()).alias("total"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype(f"<u{width}")
@@ -159,7 +169,7 @@ def cut(tokens: DataFrame, width: int = 2, window: int = WINDOW) -> DataFrame:
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"],
             )
 
-    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "tokens", "total", "ids")
+    placed = tokens.join(F.broadcast(bases), ["file", "first"]).select("doc_id", (F.col("base") + F.col("start")).alias("at"), "tokens", "total", "ids")
     return placed.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long")
 
 

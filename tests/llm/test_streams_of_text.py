@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from forumlake.llm import chat, exact_dedup, mixing, packing, queries, simhash, toxicity, warc
-from forumlake.llm.common import locatable, table
+from forumlake.llm.common import locatable, stored, table
 from corpus_cases import BLANK, ODD, odd  # noqa: F401
 
 PATH = public_tokenizers.path(packing.VOCABULARY)
@@ -92,6 +92,30 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_keeps_the_order_of_a_sorted_table(spark, tmp_path):
+    """Later files are longer, which Spark reads first."""
+    frame = spark.range(600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 1 + id), x -> sha2(concat(id, x), 256))) AS text")
+    frame.repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 100_000).parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for most in ("128m", "300k"):  # several files a task, several tasks a file
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            pieces = packing.pack(docs).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        pieces.sort(key=lambda r: (r.sequence_id, r.offset))
+        assert [r.doc_id for r in pieces if r.start == 0] == list(range(600))
+        assert all(a.sequence_id * 4096 + a.offset + a.length == b.sequence_id * 4096 + b.offset for a, b in zip(pieces, pieces[1:]))
+
+
+def test_curriculum_reaches_the_sequences(spark):
+    docs = table(spark, DATA, "documents")
+    positions = {r.doc_id: min(r.positions) for r in mixing.curriculum(docs).collect() if r.positions}
+    pieces = packing.pack(stored(mixing.mix(docs), "t")).collect()
+    seen = list(dict.fromkeys(r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))))
+    assert len(seen) == len(positions) and [positions[i] for i in seen] == sorted(positions.values())
+
+
 def test_mix_targets_and_rows(spark):
     rows = mixing.op7_mix(spark, DATA).collect()
     source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{DATA}/documents.parquet'").fetchall())
