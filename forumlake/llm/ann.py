@@ -12,14 +12,15 @@ Nearness is the inner product: vectors get one more component that makes all len
 queries on them are cut into blocks of bounded size, so a list that holds a third of all
 vectors is many groups; in each block products are exact and the k best, with all that tie
 within rounding, go on to the ranking of each query. Scores are double precision sums over
-the original components. The number of centroids grows with the vectors up to `MAX_LISTS`;
-centroids and list counts, which are sent to every task, are bounded by it.
+the original components. The number of centroids grows with the vectors up to an eighth of
+`SAMPLE`; centroids and list counts, which are sent to every task, are bounded by it.
 
 Null ids and vectors that are null, empty, zero or hold nulls or non-finite components take
-no part, nor do vectors whose length is not the most frequent one (ties: the shorter). Of
-rows with the same id the one with the greatest vector counts. Ties go to the smaller id.
-Queries without candidates have no rows; an empty table gives an empty result. Other columns
-are not looked at.
+no part. Vectors of one length are searched among themselves: each length with over `BLOCK`
+vectors by an index of its own, all others exactly, block by block. Every row is a candidate
+and, if asked for, a query of its own, whatever rows share its id; only the row itself is
+left out. Ties go to the smaller id. Queries without candidates have no rows; an empty table
+gives an empty result. Other columns are not looked at.
 """
 
 import heapq
@@ -35,12 +36,11 @@ K = 20
 EVERY = 20
 SAMPLE = 20_000
 LIST_SIZE = 200
-MAX_LISTS = 4_096
 NEAR = 1.1
 COPIES = 4
 APART = 0.5
 CANDIDATES = 8
-REACH = 1.13
+REACH = 1.15
 LINKS = 24
 BEAM = 96
 BLOCK = 4_096
@@ -48,13 +48,13 @@ ROUNDS = 12
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the rows that take part, one per id."""
+    """(r, vec_id, embedding array<double>, width) of the rows that take part; `r` numbers them."""
     clean = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(
         F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     )
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(clean, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    rows = rows.select(F.monotonically_increasing_id().alias("r"), F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("width"))
     return stored(rows, "vectors")
 
 
@@ -156,90 +156,118 @@ class Index:
             beam *= 2  # all that was found is within reach: look further
 
 
-def fit(rows: DataFrame) -> "Index | None":
-    """An index of a `usable` table, fitted on at most SAMPLE vectors chosen by a hash of their ids."""
-    widths = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("s"))
-    top = widths.orderBy(F.desc("n"), "d").limit(1).collect()
-    if not top:
-        return None
-    width, n, longest = top[0]["d"], top[0]["n"], float(np.sqrt(top[0]["s"]))
-    sample = rows.where(F.size("embedding") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+def fit(rows: DataFrame, n: int, longest: float) -> Index:
+    """An index of `n` vectors of one length, fitted on at most SAMPLE of them chosen by a hash of their ids."""
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "r").limit(SAMPLE).select("embedding").toArrow()
     points = np.array(sample["embedding"].to_pylist(), dtype=float)
-    index = Index(points, longest, int(np.clip(n // LIST_SIZE, 1, min(MAX_LISTS, max(1, len(points) // 8)))))
-    index.width = width
-    return index
+    return Index(points, longest, int(np.clip(n // LIST_SIZE, 1, max(1, len(points) // 8))))
 
 
 def _numbered(column: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(column), blocks)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each vector for which `queries` holds."""
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = usable(vectors)
-    index = fit(rows)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == index.width).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    model = spark.sparkContext.broadcast(index)
+RESULT = "qr long, query_id long, r long, vec_id long, score double"
 
-    def post(parts):
-        for pdf in parts:
-            if len(pdf):
-                lists = model.value.assign(np.stack(pdf["embedding"].to_numpy()))
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "lists": lists})
-
-    postings = rows.mapInPandas(post, "vec_id long, embedding array<double>, lists array<int>")
-    postings = stored(postings.select("vec_id", "embedding", F.col("lists")[0].alias("home"), F.explode("lists").alias("list")), "postings")
-    # one row per list
-    sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.count(F.when(F.col("home") == F.col("list"), 1)).alias("first")).collect()
-    for r in sizes:
-        index.first[r["list"]] = r["first"]
-    model = spark.sparkContext.broadcast(index)
 
-    def probe(parts):
-        for pdf in parts:
-            if len(pdf):
-                lists = [model.value.probes(np.asarray(v), k) for v in pdf["embedding"]]
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "lists": lists})
-
-    asked = rows.where(queries).mapInPandas(probe, "vec_id long, embedding array<double>, lists array<int>")
-    asked = stored(asked.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("lists").alias("list")), "probes")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    lists = spark.createDataFrame([(r["list"], r["n"]) for r in sizes], "list int, n long").select("list", blocks(F.col("n")).alias("nv"))
-    lists = lists.join(asked.groupBy("list").agg(F.count("*").alias("n")).select("list", blocks(F.col("n")).alias("nq")), "list")
-    lists = F.broadcast(lists)  # at most MAX_LISTS rows
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = postings.join(lists, "list").select("list", _numbered(F.col("vec_id"), F.col("nv")).cast("int").alias("v"), every(F.col("nq")).alias("q"), "vec_id", "embedding")
-    right = asked.join(lists, "list").select("list", every(F.col("nv")).alias("v"), _numbered(F.col("query_id"), F.col("nq")).cast("int").alias("q"), "query_id", "embedding")
+def _best(k: int, longest: float):
+    """The k best of a block of vectors for each of a block of queries, and all that tie with them within rounding."""
 
     def best(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int})]
+        names = ["qr", "query_id", "r", "vec_id", "score"]
+        out = [pd.DataFrame({n: [] for n in names}).astype(dict.fromkeys(names[:-1], "int64"))]
         if len(have) and len(ask):
-            vectors, ids = np.stack(have["embedding"].to_numpy()), have["vec_id"].to_numpy()
+            vectors, ids, rows = np.stack(have["embedding"].to_numpy()), have["vec_id"].to_numpy(), have["r"].to_numpy()
             for at in range(0, len(ask), 256):
                 part = ask.iloc[at : at + 256]
-                points, asking = np.stack(part["embedding"].to_numpy()), part["query_id"].to_numpy()
+                points, asking, own = np.stack(part["embedding"].to_numpy()), part["query_id"].to_numpy(), part["qr"].to_numpy()
                 rough = points @ vectors.T
-                rough[asking[:, None] == ids[None, :]] = -np.inf
+                rough[own[:, None] == rows[None, :]] = -np.inf
                 n = min(k, rough.shape[1])
                 least = np.partition(rough, rough.shape[1] - n, axis=1)[:, -n]
-                slack = 1e-9 * np.linalg.norm(points, axis=1) * index_longest
+                slack = 1e-9 * np.linalg.norm(points, axis=1) * longest
                 q, v = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
                 exact = (vectors[v] * points[q]).sum(axis=1)
-                order = np.lexsort((ids[v], -exact, q))
+                order = np.lexsort((rows[v], ids[v], -exact, q))
                 q, v, exact = q[order], v[order], exact[order]
                 first = np.searchsorted(q, q)  # where each query's rows begin
                 kept = np.arange(len(q)) - first < k
-                out.append(pd.DataFrame({"query_id": asking[q[kept]], "vec_id": ids[v[kept]], "score": exact[kept]}))
+                q, v = q[kept], v[kept]
+                out.append(pd.DataFrame({"qr": own[q], "query_id": asking[q], "r": rows[v], "vec_id": ids[v], "score": exact[kept]}))
         return pd.concat(out)
 
-    index_longest = index.longest
-    found = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(best, "query_id long, vec_id long, score double")
-    found = found.dropDuplicates(["query_id", "vec_id"])  # a vector of several lists has one score
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best
+
+
+def _meet(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str, k: int, longest: float) -> DataFrame:
+    """Products of vectors and queries with one key, in blocks; `sizes` has the blocks of both (key, nv, nq), a bounded number of rows."""
+    sizes = F.broadcast(sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = left.join(sizes, key).select(key, _numbered(F.col("r"), F.col("nv")).cast("int").alias("v"), every(F.col("nq")).alias("q"), "r", "vec_id", "embedding")
+    right = right.join(sizes, key).select(key, every(F.col("nv")).alias("v"), _numbered(F.col("qr"), F.col("nq")).cast("int").alias("q"), "qr", "query_id", "embedding")
+    return left.groupBy(key, "v", "q").cogroup(right.groupBy(key, "v", "q")).applyInPandas(_best(k, longest), RESULT)
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _few(rows: DataFrame, queries: Column, k: int, longest: float) -> DataFrame:
+    """All vectors of each length against all queries of that length."""
+    asked = rows.where(queries).toDF("qr", "query_id", "embedding", "asked_width")
+    # at most BLOCK vectors of a length, so each length is one block
+    return rows.groupBy("width").cogroup(asked.groupBy("asked_width")).applyInPandas(_best(k, longest), RESULT)
+
+
+def _indexed(rows: DataFrame, queries: Column, k: int, n: int, longest: float) -> DataFrame:
+    """Vectors of one length through an index."""
+    spark = rows.sparkSession
+    index = fit(rows, n, longest)
+    model = spark.sparkContext.broadcast(index)
+
+    def post(parts):
+        for pdf in parts:
+            if len(pdf):
+                lists = model.value.assign(np.stack(pdf["embedding"].to_numpy()))
+                yield pd.DataFrame({"r": pdf["r"], "vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "lists": lists})
+
+    postings = rows.select("r", "vec_id", "embedding").mapInPandas(post, "r long, vec_id long, embedding array<double>, lists array<int>")
+    postings = stored(postings.select("r", "vec_id", "embedding", F.col("lists")[0].alias("home"), F.explode("lists").alias("list")), "postings")
+    # one row per list
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.count(F.when(F.col("home") == F.col("list"), 1)).alias("first")).collect()
+    for s in sizes:
+        index.first[s["list"]] = s["first"]
+    model = spark.sparkContext.broadcast(index)
+
+    def probe(parts):
+        for pdf in parts:
+            if len(pdf):
+                lists = [model.value.probes(np.asarray(v), k) for v in pdf["embedding"]]
+                yield pd.DataFrame({"qr": pdf["qr"], "query_id": pdf["query_id"], "embedding": pdf["embedding"], "lists": lists})
+
+    asked = rows.where(queries).select(F.col("r").alias("qr"), F.col("vec_id").alias("query_id"), "embedding")
+    asked = asked.mapInPandas(probe, "qr long, query_id long, embedding array<double>, lists array<int>")
+    asked = stored(asked.select("qr", "query_id", "embedding", F.explode("lists").alias("list")), "probes")
+    lists = spark.createDataFrame([(s["list"], s["n"]) for s in sizes], "list int, n long").select("list", _blocks(F.col("n")).alias("nv"))
+    lists = lists.join(asked.groupBy("list").agg(F.count("*").alias("n")).select("list", _blocks(F.col("n")).alias("nq")), "list")
+    return _meet(postings, asked, lists, "list", k, longest)
+
+
+def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each vector for which `queries` holds."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = usable(vectors)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    widths = rows.groupBy("width").agg(F.count("*").alias("n"), F.max(square).alias("s"))
+    large = widths.where(F.col("n") > BLOCK).orderBy("width").collect()
+    small = rows.join(widths.where(F.col("n") <= BLOCK).select("width"), "width", "left_semi").select("r", "vec_id", "embedding", "width")
+    longest = widths.agg(F.coalesce(F.max("s"), F.lit(0.0))).first()[0] ** 0.5
+    found = _few(small, queries, k, longest)
+    for w in large:
+        found = found.unionByName(_indexed(rows.where(F.col("width") == w["width"]), queries, k, w["n"], w["s"] ** 0.5))
+    found = found.dropDuplicates(["qr", "r"])  # a vector of several lists has one score
+    rank = Window.partitionBy("qr").orderBy(F.desc("score"), "vec_id", "r")
     ranked = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

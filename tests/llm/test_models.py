@@ -65,16 +65,44 @@ def test_recall_and_order(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
-def test_vectors_odd_rows_ties_and_a_hot_vector(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 8)
+@pytest.mark.parametrize("block", [8, 4096])
+def test_vectors_odd_rows_ties_repeated_ids_widths_and_a_hot_vector(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
     same = [(i, [1.0, 2.0]) for i in range(100, 140)]
-    bad = [(20, None), (40, []), (60, [0.0, 0.0]), (80, [1.0, None]), (None, [1.0, 1.0]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (200, [1.0, 2.0, 3.0])]
-    more = [(0, [3.0, 0.5]), (0, [3.0, 0.5]), (1, [-1.0, 4.0]), (2, [0.5, 0.5])]
-    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in same + bad + more], "vec_id long, embedding array<float>, score string, rank int")
-    got = {}
-    for r in ann.search(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
-    rows = [(i, np.array(v)) for i, v in same + more[1:]]
-    assert got == {q: nearest(rows, q) for q in (0, 100, 120)}
+    bad = [(20, None), (40, []), (60, [0.0, 0.0]), (80, [1.0, None]), (None, [1.0, 1.0]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0])]
+    more = [(0, [3.0, 0.5]), (0, [3.0, 0.5]), (1, [5.0, 0.0]), (1, [-9.0, 9.0]), (1, [6.0, -1.0]), (2, [0.5, 0.5]), (200, [1.0, 2.0, 3.0]), (220, [1.0, 1.0, 1.0]), (7, [0.0, 0.0, 9.0]), (240, [4.0])]
+    clean = same + more
+    frame = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in clean + bad], "vec_id long, embedding array<float>, score string, rank int, r int")
+    want = []
+    for at, (q, v) in enumerate(clean):
+        if q % 20 == 0:
+            scores = sorted((-float(np.dot(v, w)), i) for other, (i, w) in enumerate(clean) if other != at and len(w) == len(v))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
+    got = [tuple(r) for r in ann.search(frame, F.col("vec_id") % 20 == 0).collect()]
+    assert sorted(got) == sorted(want)
+    assert {r[0] for r in got} == {0, 100, 120, 200, 220}  # 240 has no other vector of its length
     assert ann.search(frame.limit(0), F.lit(True)).count() == 0
-    assert [(r.query_id, r.vec_id) for r in ann.search(frame.where("vec_id in (0, 1)"), F.lit(True)).orderBy("query_id").collect()] == [(0, 1), (1, 0)]
+
+
+def test_recall_where_most_lists_are_not_read(spark):
+    """Jittered copies of the given vectors: 20,000 rows in 100 lists and more."""
+    base = np.array([v for (v,) in duckdb.sql("SELECT embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()], dtype=float)
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([base] * 10)
+    vectors += rng.normal(scale=0.35 * np.abs(base).mean(), size=vectors.shape)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = {}
+    for r in ann.search(frame, F.col("vec_id") % 100 == 0).collect():
+        asked.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in asked.items():
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(found & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert len(asked) == 200 and hits / (20 * len(asked)) >= 0.9
+    longest = float(np.linalg.norm(vectors, axis=1).max())
+    index = ann.Index(vectors, longest, len(vectors) // ann.LIST_SIZE)
+    for lists in index.assign(vectors):
+        index.first[lists[0]] += 1
+    probed = np.mean([len(index.probes(vectors[q], ann.K)) for q in sorted(asked)[:50]])
+    assert len(index.centres) >= 100 and probed < 0.8 * len(index.centres)
