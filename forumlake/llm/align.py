@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from forumlake.llm.common import ship, stored, table
+from forumlake.llm.common import join_facts, ship, stored, table
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
@@ -197,9 +197,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     # a text with over 1/hot of the rows: fewer than `hot` of them, however large the table
     often = F.col("copies") * hot > F.lit(rows.count())
     shape = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    common, rare = F.broadcast(found.where(often)), found.where(~often)
-    few = rows.join(common.select("digest"), "digest", "left_anti").join(rare, "digest")
-    return rows.join(common, "digest").select(*shape).unionByName(few.select(*shape))
+    return join_facts(rows, found, "digest", often).select(*shape)
 
 
 def op12_align(spark, sf_dir: str) -> DataFrame:

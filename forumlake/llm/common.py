@@ -70,6 +70,18 @@ def keep_rows(df: DataFrame, keys: DataFrame) -> DataFrame:
     return tagged.join(right.hint("shuffle_hash"), [file, row], "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, often: Column) -> DataFrame:
+    """`rows` with the columns of `facts`, which has one row per key; both are read twice.
+
+    `often` marks the facts of keys with a large share of all rows. As shares add up to one
+    there are few of them whatever the size of the table, so they are broadcast and a hot
+    key's rows stay where they are.
+    """
+    hot = F.broadcast(facts.where(often))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~often), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: dict[int, int]) -> DataFrame:
     """At most `per_class[v]` documents for each label value: (text, label), one per doc_id.
 
