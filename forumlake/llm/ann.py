@@ -11,7 +11,9 @@ Nearness is the inner product: vectors get one more component that makes all len
 (queries get 0), which turns the largest product into the smallest distance. Lists and the
 queries on them are cut into blocks of bounded size, so a list that holds a third of all
 vectors is many groups; in each block products are exact and the k best, with all that tie
-within rounding, go on to the ranking of each query. Scores are double precision sums over
+within rounding, go on to the ranking of each query. A query's nearest lists, with `EARLY`
+vectors together, are read first; of all further lists only vectors that reach the k-th best
+score found there go on. Scores are double precision sums over
 the original components. The number of centroids grows with the vectors up to an eighth of
 `SAMPLE`; centroids and list counts, which are sent to every task, are bounded by it.
 
@@ -43,7 +45,8 @@ CANDIDATES = 8
 REACH = 1.15
 LINKS = 24
 BEAM = 96
-BLOCK = 4_096
+EARLY = 1_000
+BLOCK = 2_048
 ROUNDS = 12
 
 
@@ -142,6 +145,10 @@ class Index:
                         heapq.heappop(best)
         return sorted((-d, c) for d, c in best)
 
+    def early(self, lists: list[int]) -> int:
+        """How many of a query's lists, nearest first, hold `EARLY` vectors together."""
+        return int(np.searchsorted(np.cumsum(self.first[lists]), EARLY)) + 1
+
     def probes(self, query: np.ndarray, k: int) -> list[int]:
         beam = BEAM
         while True:
@@ -171,7 +178,10 @@ RESULT = "qr long, query_id long, r long, vec_id long, score double"
 
 
 def _best(k: int, longest: float):
-    """The k best of a block of vectors for each of a block of queries, and all that tie with them within rounding."""
+    """The k best of a block of vectors for each of a block of queries, and all that tie with them within rounding.
+
+    Queries may bring a score, `bound`, that theirs must reach.
+    """
 
     def best(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         names = ["qr", "query_id", "r", "vec_id", "score"]
@@ -185,6 +195,8 @@ def _best(k: int, longest: float):
                 rough[own[:, None] == rows[None, :]] = -np.inf
                 n = min(k, rough.shape[1])
                 least = np.partition(rough, rough.shape[1] - n, axis=1)[:, -n]
+                if "bound" in part:
+                    least = np.maximum(least, part["bound"].to_numpy())
                 slack = 1e-9 * np.linalg.norm(points, axis=1) * longest
                 q, v = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
                 exact = (vectors[v] * points[q]).sum(axis=1)
@@ -204,7 +216,8 @@ def _meet(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str, k: int,
     sizes = F.broadcast(sizes)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = left.join(sizes, key).select(key, _numbered(F.col("r"), F.col("nv")).cast("int").alias("v"), every(F.col("nq")).alias("q"), "r", "vec_id", "embedding")
-    right = right.join(sizes, key).select(key, every(F.col("nv")).alias("v"), _numbered(F.col("qr"), F.col("nq")).cast("int").alias("q"), "qr", "query_id", "embedding")
+    asking = [c for c in right.columns if c != key]
+    right = right.join(sizes, key).select(key, every(F.col("nv")).alias("v"), _numbered(F.col("qr"), F.col("nq")).cast("int").alias("q"), *asking)
     return left.groupBy(key, "v", "q").cogroup(right.groupBy(key, "v", "q")).applyInPandas(_best(k, longest), RESULT)
 
 
@@ -243,14 +256,20 @@ def _indexed(rows: DataFrame, queries: Column, k: int, n: int, longest: float) -
         for pdf in parts:
             if len(pdf):
                 lists = [model.value.probes(np.asarray(v), k) for v in pdf["embedding"]]
-                yield pd.DataFrame({"qr": pdf["qr"], "query_id": pdf["query_id"], "embedding": pdf["embedding"], "lists": lists})
+                early = [model.value.early(found) for found in lists]
+                yield pd.DataFrame({"qr": pdf["qr"], "query_id": pdf["query_id"], "embedding": pdf["embedding"], "lists": lists, "early": early})
 
     asked = rows.where(queries).select(F.col("r").alias("qr"), F.col("vec_id").alias("query_id"), "embedding")
-    asked = asked.mapInPandas(probe, "qr long, query_id long, embedding array<double>, lists array<int>")
-    asked = stored(asked.select("qr", "query_id", "embedding", F.explode("lists").alias("list")), "probes")
+    asked = asked.mapInPandas(probe, "qr long, query_id long, embedding array<double>, lists array<int>, early int")
+    asked = asked.select("qr", "query_id", "embedding", "early", F.posexplode("lists").alias("at", "list"))
+    asked = stored(asked.select("qr", "query_id", "embedding", "list", (F.col("at") < F.col("early")).alias("early")), "probes")
     lists = spark.createDataFrame([(s["list"], s["n"]) for s in sizes], "list int, n long").select("list", _blocks(F.col("n")).alias("nv"))
     lists = lists.join(asked.groupBy("list").agg(F.count("*").alias("n")).select("list", _blocks(F.col("n")).alias("nq")), "list")
-    return _meet(postings, asked, lists, "list", k, longest)
+    first = stored(_meet(postings, asked.where("early").drop("early"), lists, "list", k, longest), "early-found")
+    place = F.row_number().over(Window.partitionBy("qr").orderBy(F.desc("score"), "vec_id", "r"))
+    bound = first.dropDuplicates(["qr", "r"]).withColumn("place", place).where(F.col("place") == k).select("qr", F.col("score").alias("bound"))
+    later = asked.where(~F.col("early")).drop("early").join(bound, "qr", "left").fillna(float("-inf"), "bound")
+    return first.unionByName(_meet(postings, later, lists, "list", k, longest))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
