@@ -539,17 +539,17 @@ def _stream_post_reports(t) -> str:
 
 @query
 def q_stream_report_hide(t):
-    return t.spark.read.parquet(f"{_stream_post_reports(t)}/accepted").select("id", "post_id", "user_id", "reason")
+    return jobs.sink(t.spark, _stream_post_reports(t), "accepted").select("id", "post_id", "user_id", "reason")
 
 
 @query
 def q_stream_hidden_posts(t):
-    return t.spark.read.parquet(f"{_stream_post_reports(t)}/changed").select("id", "status", "hidden_reason")
+    return jobs.sink(t.spark, _stream_post_reports(t), "changed").select("id", "status", "hidden_reason")
 
 
 @query
 def q_stream_report_hide_log(t):
-    log = t.spark.read.parquet(f"{_stream_post_reports(t)}/logs")
+    log = jobs.sink(t.spark, _stream_post_reports(t), "logs")
     return log.select("id", "moderator_id", "action", "target_id", "reason")
 
 
@@ -567,13 +567,13 @@ def _stream_comment_reports(t) -> str:
 
 @query
 def q_stream_comment_autodelete(t):
-    return t.spark.read.parquet(f"{_stream_comment_reports(t)}/changed").select("id", "content", "deleted_at")
+    return jobs.sink(t.spark, _stream_comment_reports(t), "changed").select("id", "content", "deleted_at")
 
 
 @query
 def q_stream_comment_rejected(t):
     """Reports of unknown comments and users, and repeats."""
-    return t.spark.read.parquet(f"{_stream_comment_reports(t)}/rejected").select("id", "comment_id", "user_id", "reason")
+    return jobs.sink(t.spark, _stream_comment_reports(t), "rejected").select("id", "comment_id", "user_id", "reason")
 
 
 @query

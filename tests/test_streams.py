@@ -52,9 +52,9 @@ def test_post_reports(spark, frame, tables, tmp_path, files):
     for _ in range(2):  # the second start finds nothing new
         stream = jobs.file_stream(spark, source, like, files_per_batch=1)
         jobs.stream_hide_reported_posts(stream, tables, out, NOW, 4).awaitTermination()
-        assert _keys(spark.read.parquet(f"{out}/accepted")) == _keys(batch.inserts["post_reports"])
-        assert _keys(spark.read.parquet(f"{out}/changed")) == _keys(batch.updates["posts"])
-        assert _keys(spark.read.parquet(f"{out}/rejected")) == _keys(batch.rejected)
+        assert _keys(jobs.sink(spark, out, "accepted")) == _keys(batch.inserts["post_reports"])
+        assert _keys(jobs.sink(spark, out, "changed")) == _keys(batch.updates["posts"])
+        assert _keys(jobs.sink(spark, out, "rejected")) == _keys(batch.rejected)
 
 
 def test_comment_reports(spark, frame, tables, tmp_path):
@@ -64,8 +64,8 @@ def test_comment_reports(spark, frame, tables, tmp_path):
     out = str(tmp_path / "out")
     stream = jobs.file_stream(spark, source, frame(COMMENT_REPORT, rows[:1]), files_per_batch=1)
     jobs.stream_delete_reported_comments(stream, tables, out, NOW, 4).awaitTermination()
-    assert _keys(spark.read.parquet(f"{out}/accepted")) == _keys(batch.inserts["comment_reports"])
-    assert _keys(spark.read.parquet(f"{out}/changed")) == _keys(batch.updates["comments"])
+    assert _keys(jobs.sink(spark, out, "accepted")) == _keys(batch.inserts["comment_reports"])
+    assert _keys(jobs.sink(spark, out, "changed")) == _keys(batch.updates["comments"])
 
 
 def test_counters(spark, frame, tmp_path):
