@@ -60,6 +60,7 @@ UNKNOWN_REFERENCE = "Referenced row does not exist: {}."
 DUPLICATE_VALUE = "Value already exists: {}."
 BAD_ENUM = "Value is not in the domain: {}."
 BAD_RANGE = "Value is out of range: {}."
+NOT_OF_TYPE = "not a valid {}"
 INVALID_ALIAS = "User is not usable or alias does not exist."
 INVALID_SCHOOL = "User is not usable or school does not exist."
 

@@ -11,6 +11,7 @@ from forumlake import messages as M
 from forumlake.functions.exprs import actor_key, blank, first_reason, in_domain, is_moderator, live, ntz, with_optional
 from forumlake.operators.outcome import Outcome, decide, moderation_log, with_serial
 from forumlake.schema import ENUMS, SCORE
+from forumlake.session import freeze
 from forumlake.sources.tables import Tables
 
 ORDER = ("requested_at", "request_id")
@@ -18,10 +19,40 @@ NO_TEXT = "CAST(NULL AS STRING)"
 ID_LENGTH = 12
 
 
-def post_key(request_id: str) -> Column:
-    """Post id derived from the request, so a retried task yields the same one: 72 bits of its hash."""
-    digest = F.base64(F.unhex(F.sha2(F.col(request_id).cast("string"), 256)))
-    return F.substring(F.translate(digest, "+/", "-_"), 1, ID_LENGTH)
+def post_key(request_id: str, turn: int = 0) -> Column:
+    """Post id derived from the request, so a retried task yields the same one: 72 bits of its hash.
+
+    Each further turn takes the next characters of the hash, then those of the next hash.
+    """
+    per_hash = 43 // ID_LENGTH  # url-safe characters of 256 bits
+    number, at = divmod(turn, per_hash)
+    text = F.col(request_id).cast("string")
+    digest = F.base64(F.unhex(F.sha2(F.concat(text, F.lit(f":{number}")) if number else text, 256)))
+    return F.substring(F.translate(digest, "+/", "-_"), at * ID_LENGTH + 1, ID_LENGTH)
+
+
+def assign_ids(requests: DataFrame, posts: DataFrame) -> DataFrame:
+    """(request_id, post_id): an id of its own for every request (request_id and `ORDER`).
+
+    All requests try their first id; of those that meet, the first in arrival order gets it,
+    unless a stored post has it. The others go on with their next id, among themselves and
+    against all ids given so far. Usually nobody goes on, and no further pass is planned.
+    """
+    stored = posts.select(F.col("id").cast("string").alias("post_id"))
+    first = F.min(F.struct(*ORDER)).alias("_first")
+    left, given, turn = requests.select(*dict.fromkeys(("request_id", *ORDER))), None, 0
+    while True:
+        tries = left.withColumn("post_id", post_key("request_id", turn))
+        free = tries.join(stored, "post_id", "left_anti")
+        if given is not None:
+            free = free.join(given.select("post_id"), "post_id", "left_anti")
+        won = free.groupBy("post_id").agg(first).select(F.col("_first.request_id").alias("request_id"), "post_id")
+        won = freeze(won)
+        given = won if given is None else freeze(given.unionByName(won))
+        left = left.join(won.select("request_id"), "request_id", "left_anti")
+        if not left.take(1):
+            return given
+        left, turn = freeze(left), turn + 1
 
 
 def array_length(column: str) -> Column:
@@ -58,10 +89,9 @@ def ingest_posts(tables: Tables, requests: DataFrame, as_of: datetime | str) ->
     )
     users = tables["users"].where(live()).select(F.col("id").alias("_user"))
     schools = tables["schools"].where("is_active").select(F.col("id").alias("_school"))
-    keyed = requests.withColumn("post_id", post_key("request_id"))
     checked = (
-        keyed.join(users, keyed["user_id"] == users["_user"], "left")
-        .join(schools, keyed["school_id"] == schools["_school"], "left")
+        requests.join(users, requests["user_id"] == users["_user"], "left")
+        .join(schools, requests["school_id"] == schools["_school"], "left")
         .join(_unknown(requests, "topic_ids", tables["topics"], "_bad_topic"), "request_id", "left")
         .join(_unknown(requests, "image_ids", tables["images"], "_bad_image"), "request_id", "left")
     )
@@ -93,20 +123,11 @@ def ingest_posts(tables: Tables, requests: DataFrame, as_of: datetime | str) ->
         (_has_repeat("image_ids"), M.DUPLICATE_VALUE.format("image_id")),
         (F.col("_bad_image"), M.UNKNOWN_REFERENCE.format("image_id")),
     )
-    judged = checked.select(*[keyed[c] for c in keyed.columns], reason.alias("reason"))
-
-    # A shortened hash repeats sooner or later: the first request keeps the id, later
-    # ones are turned away like any other key violation and may be sent again.
-    taken = tables["posts"].select(F.col("id").cast("string").alias("post_id")).withColumn("_taken", F.lit(True))
-    first = judged.where(F.col("reason").isNull()).groupBy("post_id").agg(F.min(F.struct(*ORDER)).alias("_first"))
-    keyed_once = judged.join(first, "post_id", "left").join(taken, "post_id", "left")
-    collision = F.col("_taken") | (F.col("_first") < F.struct(*ORDER))
-    decided = decide(
-        keyed_once.select(
-            *[judged[c] for c in keyed.columns],
-            F.coalesce("reason", F.when(collision, F.lit(M.DUPLICATE_VALUE.format("post id")))).alias("reason"),
-        )
-    )
+    judged = checked.select(*[requests[c] for c in requests.columns], reason.alias("reason"))
+
+    ids = assign_ids(freeze(judged.where(F.col("reason").isNull()).select(*dict.fromkeys(("request_id", *ORDER)))), tables["posts"])
+    post_id = F.coalesce(ids["post_id"], post_key("request_id")).alias("post_id")  # rejected requests show their first id
+    decided = decide(judged.join(ids, "request_id", "left").select(*[judged[c] for c in requests.columns], post_id, "reason"))
 
     def build(outcome: Outcome):
         rows = outcome.applied

@@ -397,6 +397,15 @@ CHECKS["q_append_stored"] = _sql("login_requests users user_logins", f"""
 CHECKS["q_dim_defaults"] = _sql("alias_seed", f"""
     SELECT id, CAST(NULL AS VARCHAR) AS icon_image_id, display_name, coalesce(next_user_index, 1) AS next_user_index,
            {NOW} AS created_at FROM alias_seed""")
+_BAD_SEED = "(is_hot = 'maybe' OR display_order IN ('x7', '99999999999') OR created_at = 'yesterday')"
+CHECKS["q_seed_rejects"] = _sql("topic_seed", """
+    SELECT id, 'is_hot' AS column_name, is_hot AS raw, 'not a valid boolean' AS reason FROM topic_seed WHERE is_hot = 'maybe'
+    UNION ALL SELECT id, 'display_order', display_order, 'not a valid int' FROM topic_seed WHERE display_order IN ('x7', '99999999999')
+    UNION ALL SELECT id, 'created_at', created_at, 'not a valid timestamp_ntz' FROM topic_seed WHERE created_at = 'yesterday'""")
+CHECKS["q_seed_typed"] = _sql("topic_seed", f"""
+    SELECT CAST(id AS BIGINT) AS id, value, category, CAST(is_hot AS BOOLEAN) AS is_hot, false AS is_hidden,
+           CAST(display_order AS INT) AS display_order, CAST(created_at AS TIMESTAMP) AS created_at
+    FROM (SELECT * FROM topic_seed WHERE NOT coalesce({_BAD_SEED}, false)) s""")
 CHECKS["q_stamp"] = _sql("setting_rows", f"""
     SELECT key, CASE WHEN length(value) > 1 THEN value || '0' ELSE value END AS value,
            CASE WHEN length(value) > 1 THEN {NOW} ELSE updated_at END AS updated_at FROM setting_rows""")

@@ -13,7 +13,7 @@ from forumlake.plans import views
 from forumlake.schema import TABLES
 from forumlake.session import work_dir
 from forumlake.sources.benchdata import AS_OF, REQUESTS_AS_OF, BenchTables
-from forumlake.sources.tables import append_events, with_defaults, with_ids, write_snapshot
+from forumlake.sources.tables import append_events, typed_seed, with_defaults, with_ids, write_snapshot
 from forumlake.streaming import jobs
 
 POST_THRESHOLD = 3
@@ -346,6 +346,20 @@ def q_seed_topics(t):
     return with_defaults(seed, "topics", AS_OF).select("id", "category", "value", "is_hidden", "display_order")
 
 
+@query
+def q_seed_rejects(t):
+    """Values of a text seed that their columns cannot hold."""
+    rejects = typed_seed(t["topic_seed"], "topics", AS_OF).rejects
+    return rejects.select(F.get_json_object("row", "$.id").alias("id"), F.col("column").alias("column_name"), "raw", "reason")
+
+
+@query
+def q_seed_typed(t):
+    """The other rows: explicit NULLs stay, absent columns take their defaults."""
+    rows = typed_seed(t["topic_seed"], "topics", AS_OF).rows
+    return rows.select("id", "value", "category", "is_hot", "is_hidden", "display_order", "created_at")
+
+
 @query
 def q_stamp(t):
     settings = t["setting_rows"]

@@ -276,6 +276,15 @@ ENTRIES: dict[str, str] = {
         SELECT concat('key', CAST(p_partkey AS VARCHAR(20))) AS key, CAST(p_size AS VARCHAR(10)) AS value,
                p_name AS description, CAST('2000-01-01 00:00:00' AS TIMESTAMP_NTZ) AS updated_at
         FROM {part}""",
+    # a text seed with malformed numbers, flags and times, and with explicit NULLs
+    "topic_seed": """
+        SELECT CAST(p_partkey AS VARCHAR(20)) AS id, p_name AS value, p_brand AS label,
+               CASE WHEN p_partkey % 3 = 0 THEN 'social' WHEN p_partkey % 3 = 1 THEN 'event' END AS category,
+               CASE WHEN p_partkey % 7 = 0 THEN 'maybe' WHEN p_partkey % 2 = 0 THEN 'true' END AS is_hot,
+               CASE WHEN p_partkey % 11 = 0 THEN 'x7' WHEN p_partkey % 13 = 0 THEN '99999999999'
+                    WHEN p_partkey % 5 > 0 THEN CAST(p_size AS VARCHAR(10)) END AS display_order,
+               CASE WHEN p_partkey % 17 = 0 THEN 'yesterday' ELSE '2024-02-03 04:05:06' END AS created_at
+        FROM {part}""",
     # a seed file with holes, to be filled by column defaults
     "alias_seed": """
         SELECT s_suppkey AS id, s_name AS display_name,

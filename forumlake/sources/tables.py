@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from forumlake import messages as M
 from forumlake.functions.ranking import number_rows
 from forumlake.schema import NOW, TABLES, Column, struct_type
 
@@ -79,21 +81,61 @@ def with_ids(df: DataFrame, table: str, start: int = 0) -> DataFrame:
     return numbered.withColumn(key.name, (F.col(key.name) + F.lit(start)).cast(key.type))
 
 
-def load_dimension(
+class Seed(NamedTuple):
+    """Rows of a seed and what was turned away: the row (JSON), the column, its text and the reason."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def typed_seed(raw: DataFrame, table: str, as_of: datetime | str, start: int = 0, holes: bool = False) -> Seed:
+    """Seed rows with the table's types; a row with a value that its column cannot hold goes to the rejects.
+
+    Columns that the seed lacks take their default, missing keys are made. An explicit NULL
+    stays NULL and is left to the audits, unless `holes` says that it stands for an absent
+    value. A row is rejected once for each of its malformed values. Columns that the table
+    does not have are not looked at.
+    """
+    declared = {c.name: c.type for c in TABLES[table]}
+    given = [c for c in raw.columns if c in declared]
+    row = F.to_json(F.struct(*given), {"ignoreNullFields": "false"})
+    cast = {c: F.col(c).try_cast(declared[c]) for c in given}
+    bad = [
+        F.when(F.col(c).isNotNull() & cast[c].isNull(), F.struct(
+            F.lit(c).alias("column"), F.col(c).cast("string").alias("raw"), F.lit(M.NOT_OF_TYPE.format(declared[c].simpleString())).alias("reason"),
+        ))
+        for c in given
+    ]
+    marked = raw.select(*given).withColumns({"_row": row, "_bad": F.array_compact(F.array(*bad))})
+    rejects = marked.select(F.col("_row").alias("row"), F.explode("_bad").alias("b")).select("row", "b.*")
+    good = marked.where(F.size("_bad") == 0).select(*[cast[c].alias(c) for c in given])
+    keyed = with_ids(good, table, start)
+    full = with_defaults(keyed, table, as_of) if holes else add_missing(keyed, table, as_of)
+    return Seed(full.select(*[F.col(c).cast(t).alias(c) for c, t in declared.items()]), rejects)
+
+
+def load_seed(
     spark: SparkSession, path: str, table: str, as_of: datetime | str, header: bool = True, start: int = 0
-) -> DataFrame:
+) -> Seed:
     """Bulk load of a seed file (CSV or parquet): given columns read by name, rest by default.
 
-    The file need not carry every column; without keys they are made (`with_ids`). Run the audits on the result before
-    `write_snapshot`.
+    The file need not carry every column. An empty CSV field is a hole and takes the
+    default. Run the audits on the rows before `write_snapshot`.
     """
-    declared = {c.name: c.type for c in TABLES[table]}
     if path.rstrip("/").endswith(".csv"):
         raw = spark.read.option("header", header).option("multiLine", True).option("escape", '"').csv(path)
-        raw = raw.select(*[F.col(c).try_cast(declared[c]).alias(c) for c in raw.columns if c in declared])
-    else:
-        raw = spark.read.parquet(path)
-    return with_defaults(with_ids(raw, table, start), table, as_of)
+        return typed_seed(raw, table, as_of, start, holes=True)
+    return typed_seed(spark.read.parquet(path), table, as_of, start)
+
+
+def load_dimension(
+    spark: SparkSession, path: str, table: str, as_of: datetime | str, header: bool = True, start: int = 0
+) -> DataFrame:
+    """The rows of a seed file without malformed values; an error names some of them if it has any."""
+    rows, rejects = load_seed(spark, path, table, as_of, header, start)
+    if some := rejects.take(3):
+        raise ValueError(f"{path}: " + "; ".join(f"{r.column} = {r.raw!r} in {r.row}: {r.reason}" for r in some))
+    return rows
 
 
 def write_snapshot(df: DataFrame, root: str, table: str, partition_by: Iterable[str] = ()) -> str:

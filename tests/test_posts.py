@@ -95,9 +95,26 @@ def test_rows(tables, frame):
 
 def test_id_already_taken(tables, frame, forum):
     batch = frame(POST, requests([GOOD]))
-    key = batch.select(post_key("request_id")).first()[0]
-    taken = {**tables, "posts": forum(posts=[{"id": key}])["posts"]}
-    assert verdicts(ingest_posts(taken, batch, NOW))["r0000"][1] == M.DUPLICATE_VALUE.format("post id")
+    first, second = batch.select(post_key("request_id"), post_key("request_id", 1)).first()
+    taken = {**tables, "posts": forum(posts=[{"id": first}])["posts"]}
+    assert [r.post_id for r in ingest_posts(taken, batch, NOW).applied.collect()] == [second]
+
+
+def test_short_ids_never_reject(tables, frame, forum, monkeypatch):
+    from forumlake.operators import posts as module
+
+    monkeypatch.setattr(module, "ID_LENGTH", 1)  # 64 ids, 43 turns a hash
+    batch = frame(POST, requests([GOOD if i % 5 else {**GOOD, "content": " "} for i in range(50)]))
+    with_some = {**tables, "posts": forum(posts=[{"id": c} for c in "abcdefgh"])["posts"]}
+    got = [sorted((r.request_id, r.post_id) for r in ingest_posts(with_some, batch.repartition(n), NOW).applied.collect()) for n in (1, 3)]
+    ids = [i for _, i in got[0]]
+    assert got[0] == got[1] and len(ids) == len(set(ids)) == 40 and not set(ids) & set("abcdefgh")
+    keys = {r[0]: r[1] for r in batch.select("request_id", post_key("request_id")).collect()}
+    seen = set("abcdefgh")
+    for request, i in got[0]:  # who comes first to a free id keeps it
+        if keys[request] not in seen:
+            assert i == keys[request]
+        seen.add(keys[request])
 
 
 EDIT = (
