@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from forumlake.session import freeze
-
-SLICE, ROW = "_slice", "_row"
-_POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
+SLICE, KEY, ROW = "_slice", "_key", "_row"
+PER_PART = 64  # sampled rows per slice
+STEP = 16
 _SALTS = 64
 
 
@@ -41,92 +40,71 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def _cut_points(df: DataFrame, row: Column, parts: int) -> Column:
+    """Sorted rows that cut `df` into about equal parts: those of a sample of bounded size, chosen by hash.
+
+    A scalar subquery: it runs once with the plan that uses it, so retried tasks see the same cuts.
+    """
+    sample = df.select(row.alias("_row")).orderBy(F.xxhash64("_row"), "_row").limit(parts * PER_PART)
+    ordered = sample.agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    places = F.sequence(F.lit(PER_PART), F.greatest(F.size("_rows"), F.lit(PER_PART)), F.lit(PER_PART))
+    return ordered.select(F.array_compact(F.transform(places, lambda i: F.get("_rows", i))).alias("_cuts")).scalar()
+
+
+def _below(cuts: Column, row: Column) -> Column:
+    """How many cuts lie at or below a row, found in two steps."""
+    coarse = F.size(F.filter(F.filter(cuts, lambda _, i: i % STEP == 0), lambda c: c <= row))
+    first = F.greatest((coarse - 1) * STEP, F.lit(0))
+    return first + F.size(F.filter(F.slice(cuts, first + 1, STEP), lambda c: c <= row))
+
+
 def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Range-partition by (keys, order), tag each row with its slice and row, freeze.
+    """Deal rows by slice of the whole order and by key, so that a hot key spreads over slices.
 
-    A hot key spreads over several slices. The frame is checkpointed because the
-    tags depend on the physical partitions and have to stay the same for every
-    plan built on top.
+    Lazy: a row's slice follows from cut points, whatever task computes it.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    position = F.monotonically_increasing_id()
-    placed = (
-        df.repartitionByRange(parts, *keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_position", position)
-        .withColumn(SLICE, F.shiftright("_position", _POSITION_BITS))
-        .withColumn(ROW, F.col("_position").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
-        .drop("_position")
-    )
-    return freeze(placed)
+    row = F.struct(*order)
+    cut = df.withColumns({ROW: row, "_cuts": _cut_points(df, row, parts)})
+    return keyed_slices(cut.withColumn(SLICE, _below(F.col("_cuts"), F.col(ROW))).drop("_cuts"), keys)
 
 
-def _attach(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Join facts, one row per slice (at most `spark.sql.shuffle.partitions`), to the rows of the slices."""
-    return rows.join(F.broadcast(facts.withColumnRenamed(SLICE, "_of_slice")), F.col(SLICE) == F.col("_of_slice"), "left").drop("_of_slice")
+def keyed_slices(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have slices, dealt by other keys; without keys all rows have one."""
+    return sliced.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0))).repartition(SLICE, KEY)
 
 
-def _so_far() -> WindowSpec:
-    return Window.partitionBy(SLICE).orderBy(ROW)
+def _inside(frame_end: int | None = None) -> WindowSpec:
+    window = Window.partitionBy(SLICE, KEY).orderBy(ROW)
+    return window if frame_end is None else window.rowsBetween(Window.unboundedPreceding, frame_end)
 
 
-def row_index(sliced: DataFrame, keys: Sequence[str] = (), out: str = "row_index") -> DataFrame:
-    """1-based position in the order of the slices, per key (or over all rows).
+def _before() -> WindowSpec:
+    """The earlier slices of a key: at most one fact for each."""
+    return Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
-    Rows are sorted by key, so only the first key of a slice can go on from an earlier one,
-    where it is the last key: one fact per slice is all that has to be carried over.
-    """
-    if not keys:
-        facts = sliced.groupBy(SLICE).agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        facts = facts.select(SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-        return _attach(sliced, facts).withColumn(out, F.col("_offset") + F.col(ROW) + 1).drop("_offset")
-    key = F.struct(*keys)
-    begins = ~key.eqNullSafe(F.lag(key).over(_so_far()))
-    rows = sliced.withColumn("_begin", F.when(begins, F.col(ROW)))
-    rows = rows.withColumn("_begin", F.last("_begin", ignorenulls=True).over(_so_far()))
-    facts = rows.groupBy(SLICE).agg(
-        F.min_by(key, ROW).alias("_key"),
-        F.max_by(key, ROW).alias("_last"),
-        (F.max(ROW) - F.max_by("_begin", ROW) + 1).alias("_n"),
-    )
-    # what each slice's last key has, and what each slice's first key has before it
-    ends = facts.select(SLICE, F.col("_last").alias("_key"), "_n", F.lit(False).alias("_asks"))
-    asks = facts.select(SLICE, "_key", F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asks"))
-    earlier = Window.partitionBy("_key").orderBy(SLICE).rangeBetween(Window.unboundedPreceding, -1)
-    offsets = ends.unionByName(asks).withColumn("_offset", F.sum("_n").over(earlier)).where("_asks")
-    first = F.coalesce(F.when(F.col("_begin") == 0, F.col("_offset")), F.lit(0))
-    return (
-        _attach(rows, offsets.select(SLICE, "_offset"))
-        .withColumn(out, F.col(ROW) - F.col("_begin") + 1 + first)
-        .drop("_begin", "_offset")
-    )
+
+def row_index(sliced: DataFrame, out: str = "row_index") -> DataFrame:
+    """1-based position in the order, per key of the slices."""
+    facts = sliced.groupBy(SLICE, KEY).agg(F.count(F.lit(1)).alias("_n"))
+    facts = facts.select(SLICE, KEY, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_offset"))
+    rows = sliced.withColumn(out, F.row_number().over(_inside()))
+    return rows.join(facts, [SLICE, KEY]).withColumn(out, F.col("_offset") + F.col(out)).drop("_offset")
 
 
 def number_rows(
     df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = "row_index"
 ) -> DataFrame:
     """Exact 1..n per key in the given order, without a per-key task."""
-    return row_index(slice_rows(df, keys, order), keys, out).drop(SLICE, ROW)
+    return row_index(slice_rows(df, keys, order), out).drop(SLICE, KEY, ROW)
 
 
-def carry_forward(
-    sliced: DataFrame, keys: Sequence[str], value: str, out: str, inclusive: bool = True
-) -> DataFrame:
-    """Last non-NULL `value` up to a row (or strictly before it), per key.
+def carry_forward(sliced: DataFrame, value: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Last non-NULL `value` up to a row (or strictly before it), per key of the slices.
 
-    Rows are sorted by key, so it is the last non-NULL value before the row at all, if that
-    has the row's key. Inside a slice a window finds it; across slices one value per slice
-    is carried over.
+    Inside a slice a window finds it; across slices one value per slice and key is carried over.
     """
-    key = F.struct(*keys)
-    found = F.when(F.col(value).isNotNull(), F.struct(key.alias("key"), F.col(value).alias("value")))
-    inside = _so_far().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    facts = sliced.select(SLICE, ROW, found.alias("_found")).groupBy(SLICE).agg(
-        F.expr(f"max_by(_found, {ROW}) FILTER (WHERE _found IS NOT NULL)").alias("_found")
-    )
-    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = facts.select(SLICE, F.last("_found", ignorenulls=True).over(before).alias("_carried"))
-    rows = _attach(sliced.withColumn("_inside", F.last(found, ignorenulls=True).over(inside)), carried)
-    last = F.coalesce("_inside", "_carried")
-    return rows.withColumn(out, F.when(last["key"].eqNullSafe(key), last["value"])).drop("_inside", "_carried")
+    facts = sliced.groupBy(SLICE, KEY).agg(F.expr(f"max_by({value}, {ROW}) FILTER (WHERE {value} IS NOT NULL)").alias("_last"))
+    facts = facts.select(SLICE, KEY, F.last("_last", ignorenulls=True).over(_before()).alias("_carried"))
+    rows = sliced.withColumn(out, F.last(value, ignorenulls=True).over(_inside(0 if inclusive else -1)))
+    return rows.join(facts, [SLICE, KEY]).withColumn(out, F.coalesce(out, "_carried")).drop("_carried")

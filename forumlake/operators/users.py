@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from forumlake import messages as M
 from forumlake.functions.exprs import first_reason, in_domain, is_distinct, ntz, usable, with_optional
-from forumlake.functions.ranking import carry_forward, number_rows, slice_rows
+from forumlake.functions.ranking import ROW, SLICE, carry_forward, keyed_slices, row_index, slice_rows
 from forumlake.operators.outcome import Outcome, decide, stamp, with_serial
 from forumlake.schema import ENUMS
 from forumlake.session import freeze
@@ -170,13 +170,15 @@ def assign_aliases(tables: Tables, requests: DataFrame, as_of: datetime | str) -
     )
 
     sliced = slice_rows(checked.where(valid), ["user_id"], ORDER)
-    before = carry_forward(sliced, ["user_id"], "alias_id", "_before", inclusive=False)
+    before = carry_forward(sliced, "alias_id", "_before", inclusive=False)
     marked = before.withColumn("changed", is_distinct("alias_id", F.coalesce("_before", "_alias")))
-    numbered = number_rows(
-        marked.where("changed").select("request_id", "requested_at", "alias_id", "_next"), ORDER, ["alias_id"], "_n"
-    ).select(F.col("request_id").alias("_of"), (F.col("_next") + F.col("_n") - 1).alias("_taken"))
+    # the order is the same for users and aliases, so the slices are
+    changes = marked.where("changed").select(SLICE, ROW, "request_id", "alias_id", "_next")
+    numbered = row_index(keyed_slices(changes, ["alias_id"]), "_n").select(
+        F.col("request_id").alias("_of"), (F.col("_next") + F.col("_n") - 1).alias("_taken")
+    )
     joined = marked.join(numbered, marked["request_id"] == numbered["_of"], "left")
-    answered = carry_forward(joined, ["user_id"], "_taken", "_latest").select(
+    answered = carry_forward(keyed_slices(joined, ["user_id"]), "_taken", "_latest").select(
         *[F.col(c) for c in requests.columns],
         F.coalesce("_latest", "_index").alias("alias_index"),
         "changed",

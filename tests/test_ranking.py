@@ -51,7 +51,7 @@ def test_carry_forward(df, rows, inclusive):
             last = row[3] if row[3] is not None else last
             want[row[0]] = last if inclusive else before
     sliced = slice_rows(df, ["k"], ["t", "id"])
-    got = {r["id"]: r["c"] for r in carry_forward(sliced, ["k"], "v", "c", inclusive).collect()}
+    got = {r["id"]: r["c"] for r in carry_forward(sliced, "v", "c", inclusive).collect()}
     assert got == want
 
 
