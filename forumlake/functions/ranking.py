@@ -55,13 +55,14 @@ def _below(cuts: Column, row: Column) -> Column:
     """How many cuts lie at or below a row, found in two steps."""
     coarse = F.size(F.filter(F.filter(cuts, lambda _, i: i % STEP == 0), lambda c: c <= row))
     first = F.greatest((coarse - 1) * STEP, F.lit(0))
-    return first + F.size(F.filter(F.slice(cuts, first + 1, STEP), lambda c: c <= row))
+    return F.coalesce(first + F.size(F.filter(F.slice(cuts, first + 1, STEP), lambda c: c <= row)), F.lit(0))
 
 
 def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Deal rows by slice of the whole order and by key, so that a hot key spreads over slices.
+    """Rows with their slice of the whole order and their key; a hot key spreads over slices.
 
-    Lazy: a row's slice follows from cut points, whatever task computes it.
+    Lazy: a row's slice follows from cut points, whatever task computes it. What is done per
+    slice and key shuffles the rows once; facts about them combine before the shuffle.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = F.struct(*order)
@@ -70,8 +71,8 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 
 def keyed_slices(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that have slices, dealt by other keys; without keys all rows have one."""
-    return sliced.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0))).repartition(SLICE, KEY)
+    """Rows that have slices, under other keys; without keys all rows have one."""
+    return sliced.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0)))
 
 
 def _inside(frame_end: int | None = None) -> WindowSpec:

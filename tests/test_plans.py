@@ -75,13 +75,15 @@ def test_images_are_reduced_to_the_cards_before_they_are_joined(tables):
     assert "LeftOuter" in text
 
 
-def test_sequences_shuffle_rows_once_after_the_checkpoint(spark):
+def test_sequences_are_planned_without_jobs_and_shuffle_rows_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("sequences", "planned only")
     try:
-        sliced = slice_rows(spark.range(100).selectExpr("id", "id % 7 AS k", "nullif(id % 3, 0) AS v"), ["k"], ["id"])
-        once = plan(carry_forward(sliced, ["k"], "v", "last"))
-        # the rows by slice; the values carried over, one per slice
-        assert "SortMergeJoin" not in once and once.count("Exchange hashpartitioning(_slice") == 2
-        assert "SortMergeJoin" not in plan(row_index(sliced, ["k"]))
+        sliced = slice_rows(spark.range(100).selectExpr("id", "id % 7 AS k", "nullif(id % 3, 0) AS v", "'p' AS payload"), ["k"], ["id"])
+        for df in (carry_forward(sliced, "v", "last"), row_index(sliced)):
+            lines = [line for line in plan(df).splitlines() if "Exchange hashpartitioning(_slice" in line]
+            assert len(lines) == 3  # the rows once; facts, combined before, and again after their window
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("sequences")
     finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
