@@ -2,6 +2,12 @@
 
 Each stage works on all that its predecessor kept. `run` writes each stage's result below
 the shared folder and reads it again for the next one.
+
+Every stage but the last returns the columns of its input, extra ones included, whatever
+their names. A null text counts as empty and is one token, the end id, when packed. Null ids,
+languages and sources pass through; rows without a source are a source of their own. Of
+repeated rows one stays after exact deduplication. Without labels nothing counts as toxic.
+Empty documents give no pieces.
 """
 
 from __future__ import annotations
