@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlake import messages as M
 from forumlake.functions.exprs import first_reason, in_domain, is_distinct, ntz, usable, with_optional
+from forumlake.functions.groups import link_groups
 from forumlake.functions.ranking import ROW, SLICE, carry_forward, keyed_slices, row_index, slice_rows
 from forumlake.operators.outcome import Outcome, decide, stamp, with_serial
 from forumlake.schema import ENUMS
@@ -120,25 +122,61 @@ def _settle_claims(claims: DataFrame) -> DataFrame:
     """Winners among competing (id, email) claims, exactly as one-by-one inserts would pick them.
 
     A claim wins when no earlier open claim shares its id or email; claims that share
-    one with a winner are out. One round settles everything, unless ids and emails
-    are contested crosswise; what is then left goes through further rounds.
+    one with a winner are out. One such round settles everything, unless ids and emails
+    are contested crosswise. What is left is thinned out, falls into groups without a
+    common id or email, and each group is settled in arrival order.
     """
     columns = claims.columns
-    rounds, open_ = [], claims
-    while True:
-        judged = _first_claims(open_, ["id", "email"])
-        won = judged.where("_won").select(*columns)
-        rounds.append(won)
-        left = (
-            judged.where(~F.col("_won"))
-            .select(*columns)
-            .join(won.select("id"), "id", "left_anti")
-            .join(won.select("email"), "email", "left_anti")
-            .select(*columns)
-        )
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        open_ = freeze(left)
+    judged = _first_claims(claims, ["id", "email"])
+    won = judged.where("_won").select(*columns)
+    left = freeze(
+        judged.where(~F.col("_won"))
+        .select(*columns)
+        .join(won.select("id"), "id", "left_anti")
+        .join(won.select("email"), "email", "left_anti")
+        .select(*columns)
+    )
+    if left.isEmpty():
+        return won
+    open_ = freeze(_contenders(left))
+    groups = link_groups(
+        open_.select(F.concat(F.lit("i"), "id").alias("a"), F.concat(F.lit("e"), "email").alias("b"))
+    )
+    grouped = open_.join(groups, F.concat(F.lit("i"), "id") == groups["node"]).select("grp", *columns)
+    dealt = grouped.repartition("grp").sortWithinPartitions("grp", *ORDER)
+    return won.unionByName(freeze(dealt.mapInPandas(_in_arrival_order, claims.schema)))
+
+
+def _contenders(claims: DataFrame) -> DataFrame:
+    """Claims that can still win: of equal ones the first, of those that share an email and whose
+    ids nobody else claims the first, and the same with id and email exchanged.
+
+    However many ask for one id or email, only those contested on both sides stay.
+    """
+    pairs = claims.groupBy("id", "email").agg(F.min(F.struct(*ORDER)).alias("_at"))
+    for key, other in (("id", "email"), ("email", "id")):
+        asked = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        shared = F.when(F.col("_n") > 1, F.col(key)).alias("_key")
+        pairs = (
+            pairs.join(asked, key).groupBy(other, shared).agg(F.min(F.struct("_at", key)).alias("_best"))
+            .select(F.col(f"_best.{key}").alias(key), other, F.col("_best._at").alias("_at"))
+        )
+    return pairs.select(*[c if c in ("id", "email") else F.col(f"_at.{c}").alias(c) for c in claims.columns])
+
+
+def _in_arrival_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Takes claims one by one, group after group; remembers the taken keys of one group only."""
+    group, taken = None, set()
+    for batch in batches:
+        wins = []
+        for grp, id_, email in zip(batch["grp"], batch["id"], batch["email"]):
+            if grp != group:
+                group, taken = grp, set()
+            keys = {("id", id_), ("email", email)}
+            wins.append(not keys & taken)
+            if wins[-1]:
+                taken |= keys
+        yield batch.loc[wins].drop(columns="grp")
 
 
 # ------------------------------------------------------------------ alias and school

@@ -5,8 +5,11 @@ import random
 from conftest import NOW, T0, at, requests, verdicts
 
 from forumlake import messages as M
+from forumlake.functions import groups
+from forumlake.functions.groups import link_groups
 from forumlake.operators import users as U
 from forumlake.operators.outcome import apply_outcome
+from forumlake.session import freeze
 
 SIGNUP = (
     "request_id STRING, requested_at TIMESTAMP_NTZ, id STRING, email STRING, password_hash STRING, "
@@ -51,6 +54,54 @@ def test_signups_match_one_by_one_inserts(forum, frame):
     assert after.count() == after.select("id").distinct().count() == after.select("email").distinct().count()
 
 
+def _one_by_one(tables, data, batch, existing=()):
+    outcome = U.register_users(tables, data, NOW)
+    got = {r["request_id"]: (r["outcome"], r["user_id"]) for r in outcome.decided.collect()}
+    assert got == _simulate_signups(dict(existing), batch, False)
+
+
+def test_chain_of_claims_takes_few_rounds(monkeypatch, forum, frame):
+    """Each claim loses to or wins over the one before it: a thousand links in a row."""
+    frozen = []
+    monkeypatch.setattr(groups, "freeze", lambda df: frozen.append(1) or freeze(df))
+    links = [(f"i{(k + 1) // 2}", f"e{k // 2}") for k in range(1000)]
+    batch = requests([{"id": i, "email": e, "login_method": "email", "status": "pending"} for i, e in links])
+    _one_by_one(forum(users=[]), frame(SIGNUP, batch), batch)
+    assert len(frozen) <= 2 + 12
+
+
+def test_hot_email_and_hot_id(forum, frame):
+    """Most requests ask for one email or one id, whose first claims are contested crosswise."""
+    rng = random.Random(11)
+    some = [("a", "x"), ("a", "hot"), ("hot", "x"), ("hot", "hot")]
+    some += [(f"n{k}", "hot") for k in range(60)] + [("hot", f"n{k}") for k in range(60)]
+    some += [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(60)]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(some)
+        batch = requests([{"id": i, "email": e, "login_method": "email", "status": "pending"} for i, e in some])
+        _one_by_one(forum(users=[]), frame(SIGNUP, batch), batch)
+
+
+def test_contenders_keep_only_crosswise_claims(frame):
+    rows = requests([{"id": f"n{k}", "email": "hot"} for k in range(30)] + [{"id": "n7", "email": "b"}, {"id": "n7", "email": "c"}])
+    ddl = "request_id STRING, requested_at TIMESTAMP_NTZ, id STRING, email STRING"
+    claims = frame(ddl, rows).select("id", "email", "requested_at", "request_id")
+    kept = {(r["id"], r["email"]) for r in U._contenders(claims).collect()}
+    assert kept == {("n0", "hot"), ("n7", "hot"), ("n7", "b")}
+
+
+def test_link_groups(spark):
+    rng = random.Random(4)
+    pairs = [(f"a{rng.randrange(80)}", f"b{rng.randrange(80)}") for _ in range(60)] + [("z", "z")]
+    want = {n: n for p in pairs for n in p}
+    for _ in pairs:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = link_groups(spark.createDataFrame(pairs, "a STRING, b STRING"))
+    assert {r["node"]: r["grp"] for r in got.collect()} == want
+    assert link_groups(spark.createDataFrame([], "a STRING, b STRING")).count() == 0
+
+
 def test_signup_rules(forum, frame):
     tables = forum(users=[{"id": "i1", "email": "e1"}])
     good = {"id": "n", "email": "new", "login_method": "google", "status": "pending"}
