@@ -134,6 +134,29 @@ def comment_page(
     return page.select("id").orderBy("id").limit(limit)
 
 
+def comment_pages(tables: Tables, asked: DataFrame, n: int = 20) -> DataFrame:
+    """Pages of many threads at once: (request columns, page_rank, id).
+
+    `asked` has post_id, parent_comment_id (NULL: the top level), cursor (the last id seen; NULL:
+    from the start) and may have more columns. The thread of a NULL parent matches null-safely.
+    A thread that is asked for with several cursors gets a page for each; ranking is limited
+    before the shuffle, so a viral thread sends at most a page per request and task.
+    """
+    asked = asked.withColumn("_ask", F.struct("post_id", "parent_comment_id", "cursor")).alias("a")
+    each = asked.select("_ask").distinct()
+    comments = tables["comments"].select("post_id", "parent_comment_id", "id").alias("c")
+    inside = (
+        (F.col("c.post_id") == F.col("_ask.post_id"))
+        & F.col("c.parent_comment_id").eqNullSafe(F.col("_ask.parent_comment_id"))
+        & (F.col("_ask.cursor").isNull() | (F.col("c.id") > F.col("_ask.cursor")))
+    )
+    found = comments.join(each, inside).select("_ask", F.col("c.id").alias("id"))
+    pages = top_per_group(found, ["_ask"], [F.col("id").asc()], n, "page_rank")
+    pages = pages.withColumnRenamed("_ask", "_of")
+    same = F.col("_ask").eqNullSafe(F.col("_of"))
+    return asked.join(pages, same).drop("_ask", "_of")
+
+
 def first_comments(tables: Tables, n: int = 20) -> DataFrame:
     """First page of top-level comments of every post: (post_id, page_rank, id)."""
     top = tables["comments"].where(F.col("parent_comment_id").isNull()).select("post_id", "id")

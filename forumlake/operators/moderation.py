@@ -196,8 +196,9 @@ def _admissible(
     """
     pair = [target, "user_id"]
     parent = "posts" if table == "post_reports" else "comments"
-    stored = tables[table]
-    known = stored.select(*pair).withColumn("_stored", F.lit(True))
+    # stored reports grow without end: only those on targets of the batch go on
+    stored = tables[table].select(*pair).join(reports.select(target), target, "left_semi")
+    known = stored.withColumn("_stored", F.lit(True))
     users = tables["users"].select(F.col("id").alias("_user"))
     targets = tables[parent].select(F.col("id").alias("_parent"), *[F.col(c).alias(f"_{c}") for c in columns])
     found = reports.join(targets, reports[target] == targets["_parent"], "left")

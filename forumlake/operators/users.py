@@ -319,7 +319,8 @@ def upsert_devices(tables: Tables, requests: DataFrame, as_of: datetime | str) -
         folded = outcome.applied.groupBy(*key).agg(
             _last_given("device_id"), _last_given("platform"), F.min(F.struct(*ORDER)).alias("_first")
         )
-        held = tables["user_fcms"].groupBy(*key).agg(
+        named = tables["user_fcms"].join(folded.select(*key), key, "left_semi")
+        held = named.groupBy(*key).agg(
             F.min(F.struct("id", "device_id", "platform")).alias("_held")
         )
         both = folded.join(held, key, "left")

@@ -142,6 +142,21 @@ CHECKS: dict[str, str] = {
             SELECT post_id, parent_comment_id, id,
                    row_number() OVER (PARTITION BY post_id, parent_comment_id ORDER BY id) AS rn
             FROM comments WHERE parent_comment_id IS NOT NULL) r WHERE rn <= {PAGE}"""),
+    "q_comment_page_cursor": _sql("comments", f"""
+        SELECT post_id, parent_comment_id, low AS cursor, CAST(rn - 1 AS INTEGER) AS page_rank, id FROM (
+            SELECT post_id, parent_comment_id, id, row_number() OVER w AS rn, min(id) OVER w AS low FROM comments
+            WINDOW w AS (PARTITION BY post_id, parent_comment_id ORDER BY id)) r WHERE rn BETWEEN 2 AND {PAGE + 1}"""),
+    "q_feed_hydrated": _sql(_FEED + " users aliases images schools", f"""
+        SELECT f.school_id, f.feed_rank, f.id, f.final_score, r.id AS reader_id, p.user_id,
+               coalesce(a.display_name, 'anonymous') AS display_name, coalesce({_url('i')}, '') AS avatar_url, p.content,
+               m.comment_permission, {_n('post_likes', 'f.id')} AS total_like, {_n('post_dislikes', 'f.id')} AS total_dislike,
+               {_n('comments', 'f.id')} AS total_comment,
+               {_n('post_likes', 'f.id', extra='AND x.user_id = r.id')} > 0 AS is_liked,
+               {_n('post_dislikes', 'f.id', extra='AND x.user_id = r.id')} > 0 AS is_disliked
+        FROM feeds f JOIN users r ON r.school_id = f.school_id AND r.role <> 'student' JOIN posts p ON p.id = f.id
+        JOIN post_permissions m ON m.post_id = p.id LEFT JOIN users u ON u.id = p.user_id
+        LEFT JOIN aliases a ON a.id = u.alias_id LEFT JOIN images i ON i.id = a.icon_image_id""",
+        scored=_SCORED, capped=_CAP.format("scored"), feeds=_BY_SCHOOL),
     "q_hydrate_comments": _sql("comments users aliases images schools", f"""
         SELECT c.id, c.post_id, c.parent_comment_id, c.user_id, coalesce(a.display_name, 'anonymous') AS display_name,
                coalesce({_url('i')}, '') AS avatar_url, s.short_name AS school_short_name, c.content,
@@ -494,6 +509,25 @@ CHECKS["q_delete_comments_log"] = _sql(_CDEL, f"""
            CAST(comment_id AS VARCHAR) AS target_id, 'comment' AS target_type, reason
     FROM ranked WHERE ord = first_ord AND code <> 'DELETED_BY_OWNER'""", **_COMMENT_DELETE)
 
+_BOTH_DELETED = {
+    **_DELETE,
+    **{f"comment_{name}": text.replace("FROM coded", "FROM comment_coded") for name, text in _COMMENT_DELETE.items()},
+    "kept": "SELECT * FROM posts WHERE deleted_at IS NULL AND id NOT IN (SELECT post_id FROM ranked WHERE ord = first_ord)",
+    "kept_comments": """SELECT * FROM comments
+        WHERE deleted_at IS NULL AND id NOT IN (SELECT comment_id FROM comment_ranked WHERE ord = first_ord)""",
+}
+_ACTIVITY_TABLES = f"{_DEL} {_CDEL} schools post_likes post_reports"
+CHECKS["q_school_activity_kept"] = _sql(_ACTIVITY_TABLES, f"""
+    SELECT s.id AS school_id, s.name AS school_name, {_n('users', 's.id', 'school_id')} AS user_count,
+           (SELECT count(*) FROM kept WHERE kept.school_id = s.id) AS post_count,
+           {_of_school('kept_comments')} AS comment_count,
+           {_of_school('post_likes')} AS post_like_count, {_of_school('post_reports')} AS post_report_count
+    FROM schools s""", **_BOTH_DELETED)
+CHECKS["q_post_activity_kept"] = _sql(_ACTIVITY_TABLES, f"""
+    SELECT CAST(p.id AS VARCHAR) AS post_id, CAST(p.school_id AS INTEGER) AS school_id,
+           {_n('post_likes', 'p.id')} AS like_count, {_n('post_reports', 'p.id')} AS report_count,
+           {_n('kept_comments', 'p.id')} AS comment_count FROM kept p""", **_BOTH_DELETED)
+
 
 def _reported(new: str, stored: str | None, target: str, parent: str, extra: str) -> dict[str, str]:
     """New reports with their first constraint violation; repeats marked by rank."""

@@ -15,6 +15,7 @@ from forumlake.session import work_dir
 from forumlake.sources.benchdata import AS_OF, REQUESTS_AS_OF, BenchTables
 from forumlake.sources.tables import append_events, typed_seed, with_defaults, with_ids, write_snapshot
 from forumlake.streaming import jobs
+from forumlake.streaming.reports import Activity, row_changes
 
 POST_THRESHOLD = 3
 COMMENT_THRESHOLD = 3
@@ -75,6 +76,33 @@ def q_signup_stats(t):
     return views.sorted_view(t, "signup_stats")
 
 
+ACTIVITY_CUT = "1998-01-01 00:00:00"
+
+
+def _kept_activity(t) -> Activity:
+    """Rows before and after a cut in time, then deleted posts, then deleted comments, each as a batch."""
+    kept = Activity(t.spark, work_dir(t.spark, "activity"))
+    names = ("posts", "comments", "post_likes", "post_reports", "users")
+    for batch, side in enumerate(("<", ">=")):
+        kept.apply(batch, {n: t[n].where(f"created_at {side} TIMESTAMP_NTZ'{ACTIVITY_CUT}'") for n in names})
+    gone_posts = moderation.apply_post_deletes(t, t["post_moderation_requests"], REQUESTS_AS_OF)
+    kept.apply(2, *row_changes(t, gone_posts))
+    gone_comments = moderation.apply_comment_deletes(t, t["comment_moderation_requests"], REQUESTS_AS_OF)
+    for _ in range(2):  # sent twice, counts once
+        kept.apply(3, *row_changes(t, gone_comments))
+    return kept
+
+
+@query
+def q_school_activity_kept(t):
+    return _kept_activity(t).school_activity(t["schools"])
+
+
+@query
+def q_post_activity_kept(t):
+    return _kept_activity(t).post_counts()
+
+
 # ---------------------------------------------------------------- feed
 
 
@@ -151,6 +179,27 @@ def q_reply_page(t):
     return hydrate.first_replies(t, PAGE)
 
 
+@query
+def q_comment_page_cursor(t):
+    """The page after the first comment of every thread, top levels and replies."""
+    key = ["post_id", "parent_comment_id"]
+    seen = t["comments"].groupBy(*key).agg(F.min("id").alias("cursor"))
+    return hydrate.comment_pages(t, seen, PAGE).select(*key, "cursor", "page_rank", "id")
+
+
+@query
+def q_feed_hydrated(t):
+    """The first feed pages of all schools with cards, counters and the reader's own flags, as one lazy plan."""
+    pages = feed.build_feeds(t, AS_OF)
+    cards = hydrate.hydrate_posts(t, pages.select("id")).select("id", "user_id", "display_name", "avatar_url", "content", "comment_permission")
+    counters = hydrate.post_counters(t, pages.select("id"))
+    readers = t["users"].where("role <> 'student'").select(F.col("id").alias("reader_id"), "school_id")
+    shown = pages.join(readers, "school_id").join(cards, "id").join(counters, "id")
+    flags = hydrate.user_interactions(t, shown.select(F.col("reader_id").alias("user_id"), F.col("id").alias("post_id")))
+    flags = flags.select(F.col("user_id").alias("reader_id"), F.col("post_id").alias("id"), "is_liked", "is_disliked")
+    return shown.join(flags, ["reader_id", "id"])
+
+
 @query
 def q_hydrate_comments(t):
     return hydrate.hydrate_comments(t, t["comments"].select("id"))

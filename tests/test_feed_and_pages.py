@@ -128,3 +128,21 @@ def test_stamp_touches_changed_rows_only(forum, frame):
     rows = {r["key"]: r for r in update_rows(settings, delta, "key").collect()}
     assert rows["b"]["value"] == "3" and rows["b"]["updated_at"] == NOON
     assert rows["a"]["value"] == "1" and rows["a"]["updated_at"] != NOON
+
+
+def test_comment_pages_equal_single_pages(forum, frame):
+    comments = [{"id": k, "post_id": f"p{k % 3}", "parent_comment_id": k % 7 if k % 2 and k > 6 else None} for k in range(1, 60)]
+    made = forum(comments=comments)
+    asked = [
+        {"post_id": p, "parent_comment_id": parent, "cursor": cursor, "who": n}
+        for n, (p, parent, cursor) in enumerate(
+            [("p0", None, None), ("p0", None, 12), ("p0", None, 12), ("p1", None, 500), ("p1", 3, None), ("p1", 3, 17), ("p2", None, 1), ("none", None, None), (None, None, None)]
+        )
+    ]
+    got = {}
+    for r in hydrate.comment_pages(made, frame("post_id STRING, parent_comment_id BIGINT, cursor BIGINT, who INT", asked), 4).collect():
+        got.setdefault(r["who"], {})[r["page_rank"]] = r["id"]
+    for a in asked:
+        page = hydrate.comment_page(made, a["post_id"], a["parent_comment_id"], 4, a["cursor"]).collect()
+        assert got.get(a["who"], {}) == {n + 1: r["id"] for n, r in enumerate(page)}
+    assert got[4] and got[5] and len(got[0]) == 4
