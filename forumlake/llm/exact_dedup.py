@@ -94,9 +94,12 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
     texts = rows.select("doc_id", "file", "row", "normal", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("code_points"), digest(F.col("normal")).alias("digest"))
     # full bytes of every hit: smallest and greatest text of a digest are the same only if all
-    # are; combined before the shuffle, so a group of copies is one row per task
+    # are; combined before the shuffle, so a group of copies is one row per task. A digest that
+    # came once cannot clash: its text is left out, without a shuffle while the digests that
+    # came again are under Spark's broadcast threshold
+    again = stored(state.where("group_size > 1").select("digest"), "exact-again")
     clashes = stored(
-        texts.groupBy("digest").agg(F.min("normal").alias("a"), F.max("normal").alias("b")).where("a <> b").select("digest"),
+        texts.join(again, "digest", "left_semi").groupBy("digest").agg(F.min("normal").alias("a"), F.max("normal").alias("b")).where("a <> b").select("digest"),
         "exact-clashes",
     )
     kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
