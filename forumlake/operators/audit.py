@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.schema import ENUMS, FOREIGN_KEYS, SYSTEM_ACTOR, TABLES, UNIQUE_KEYS, primary_key
+from forumlake.schema import ENUMS, FOREIGN_KEYS, SYSTEM_ACTOR, TABLES, UNIQUE_KEYS, ForeignKey, primary_key
 from forumlake.sources.tables import Tables
 
 
@@ -36,7 +36,7 @@ def column_rules(table: str, present: Iterable[str]) -> dict[str, Column]:
     return rules
 
 
-def _protocol(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
+def protocol(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
     """One pass over the table: all rules counted together, then one row per rule."""
     names = list(rules)
     counts = df.agg(*[F.count_if(rules[name]).alias(f"r{i}") for i, name in enumerate(names)])
@@ -48,10 +48,10 @@ def _protocol(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
 
 def audit_domains(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Not-null, length and enum rules: (table_name, rule, violations)."""
-    return _union(_protocol(tables[n], n, column_rules(n, tables[n].columns)) for n in names)
+    return _union(protocol(tables[n], n, column_rules(n, tables[n].columns)) for n in names)
 
 
-def _tally(found: DataFrame, labels: dict[str, list[str]], counts: list[str]) -> DataFrame:
+def tally(found: DataFrame, labels: dict[str, list[str]], counts: list[str]) -> DataFrame:
     """Sum the counts of the findings per label; labels without any show 0."""
     zeros = ", ".join(f"({', '.join(map(repr, label))}, {', '.join('0L' for _ in counts)})" for label in zip(*labels.values()))
     rows = found.sparkSession.sql(f"SELECT * FROM VALUES {zeros} AS t({', '.join([*labels, *counts])})")
@@ -62,34 +62,49 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+def _keys(table: str) -> list[tuple[str, ...]]:
+    return [(primary_key(table),)] + ([UNIQUE_KEYS[table]] if table in UNIQUE_KEYS else [])
+
+
+def key_labels(names: Iterable[str]) -> dict[str, list[str]]:
+    pairs = [(name, ", ".join(key)) for name in names for key in _keys(name)]
+    return {"table_name": [name for name, _ in pairs], "key": [key for _, key in pairs]}
+
+
+def key_values(tables: Tables, names: Iterable[str]) -> DataFrame:
+    """(table_name, key, _value) of every row and key without NULLs, each table scanned once."""
+    parts = []
+    for name in names:
+        values = [F.struct(F.lit(", ".join(key)).alias("key"), F.array(*map(_text, key)).alias("_value")) for key in _keys(name)]
+        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
+    return _union(parts).where(F.forall("_value", F.isnotnull))
+
+
 def audit_unique(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Primary and unique keys: (table_name, key, repeated_keys, surplus_rows).
 
     Each table is scanned once for all its keys. Rows with a NULL in the key do not compete.
     """
-    parts, labels = [], {"table_name": [], "key": []}
-    for name in names:
-        keys = [(primary_key(name),)] + ([UNIQUE_KEYS[name]] if name in UNIQUE_KEYS else [])
-        for key in keys:
-            labels["table_name"].append(name)
-            labels["key"].append(", ".join(key))
-        values = [F.struct(F.lit(", ".join(key)).alias("key"), F.array(*map(_text, key)).alias("_value")) for key in keys]
-        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
-    present = _union(parts).where(F.forall("_value", F.isnotnull))
+    names = list(names)
+    present = key_values(tables, names)
     repeated = present.groupBy("table_name", "key", "_value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     found = repeated.selectExpr("table_name", "key", "1L AS repeated_keys", "_n - 1 AS surplus_rows")
-    return _tally(found, labels, ["repeated_keys", "surplus_rows"])
-
+    return tally(found, key_labels(names), ["repeated_keys", "surplus_rows"])
 
-def audit_references(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
-    """Foreign keys: (table_name, reference, orphan_rows). NULL keys refer to nothing.
 
-    Each table is scanned once for all its references, and once more if others refer to
-    it. Children are reduced to their distinct keys with row counts before they meet the
-    parents, so a hot parent is one row in the join.
-    """
+def _links(names: Iterable[str]) -> list[ForeignKey]:
     names = set(names)
-    links = [fk for fk in FOREIGN_KEYS if fk.table in names]
+    return [fk for fk in FOREIGN_KEYS if fk.table in names]
+
+
+def reference_labels(names: Iterable[str]) -> dict[str, list[str]]:
+    links = _links(names)
+    return {"table_name": [fk.table for fk in links], "reference": [f"{fk.column} -> {fk.parent}" for fk in links]}
+
+
+def reference_values(tables: Tables, names: Iterable[str]) -> DataFrame:
+    """(table_name, reference, _parent, _ref) of every row and reference that is not NULL, each table scanned once."""
+    links = _links(names)
     parts = []
     for name in dict.fromkeys(fk.table for fk in links):
         values = []
@@ -100,17 +115,34 @@ def audit_references(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame
             label = F.lit(f"{fk.column} -> {fk.parent}").alias("reference")
             values.append(F.struct(label, F.lit(fk.parent).alias("_parent"), value.alias("_ref")))
         parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
-    used = _union(parts).where(F.col("_ref").isNotNull())
+    return _union(parts).where(F.col("_ref").isNotNull())
+
+
+def parent_values(tables: Tables, names: Iterable[str]) -> DataFrame:
+    """(_parent, _ref) of every row that others may refer to."""
+    return _union(tables[name].select(F.lit(name).alias("_parent"), _text("id").alias("_ref")) for name in names)
+
+
+def audit_references(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
+    """Foreign keys: (table_name, reference, orphan_rows). NULL keys refer to nothing.
+
+    Each table is scanned once for all its references, and once more if others refer to
+    it. Children are reduced to their distinct keys with row counts before they meet the
+    parents, so a hot parent is one row in the join.
+    """
+    names = list(names)
+    used = reference_values(tables, names)
     used = used.groupBy("table_name", "reference", "_parent", "_ref").agg(F.count(F.lit(1)).alias("orphan_rows"))
-    parents = _union(
-        tables[name].select(F.lit(name).alias("_parent"), _text("id").alias("_ref")) for name in dict.fromkeys(fk.parent for fk in links)
-    )
+    parents = parent_values(tables, dict.fromkeys(fk.parent for fk in _links(names)))
     found = used.join(parents, ["_parent", "_ref"], "left_anti").select("table_name", "reference", "orphan_rows")
-    labels = {"table_name": [fk.table for fk in links], "reference": [f"{fk.column} -> {fk.parent}" for fk in links]}
-    return _tally(found, labels, ["orphan_rows"])
+    return tally(found, reference_labels(names), ["orphan_rows"])
+
+
+def row_rules() -> dict[str, Column]:
+    """Rules over several columns of posts."""
+    return {"confession has school_id": (F.col("post_type") == "confession") & F.col("school_id").isNull()}
 
 
 def audit_checks(tables: Tables) -> DataFrame:
     """Row checks: a confession needs a school."""
-    rules = {"confession has school_id": (F.col("post_type") == "confession") & F.col("school_id").isNull()}
-    return _protocol(tables["posts"], "posts", rules)
+    return protocol(tables["posts"], "posts", row_rules())

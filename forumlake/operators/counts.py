@@ -14,17 +14,17 @@ def child_counts(key: str, only: DataFrame | None = None, **children: tuple[Data
     `child_counts("post_id", likes=(likes, "post_id"), live=(comments, "post_id", cond))`
     gives one row per key that has any child. The children are stacked, so there is
     a single shuffle, and map-side partial sums keep a hot key to one row per task.
-    `only` (a frame with the column `key`) restricts every child before it is counted.
+    `only` (a frame with the column `key`) restricts the stacked children before they are counted.
     """
     names = list(children)
     stacked = []
     for name, (df, column, *condition) in children.items():
         rows = df.where(condition[0]) if condition else df
-        if only is not None:
-            rows = rows.join(only.select(F.col(key).alias(column)), column, "left_semi")
         flags = [f"{int(n == name)}L AS {n}" for n in names]
         stacked.append(rows.where(f"{column} IS NOT NULL").selectExpr(f"{column} AS {key}", *flags))
     union = reduce(DataFrame.unionByName, stacked)
+    if only is not None:
+        union = union.join(only.select(key), key, "left_semi")
     return union.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
 
 

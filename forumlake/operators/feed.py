@@ -31,14 +31,15 @@ class FeedParams:
     per_author: int = 3
 
 
-def interaction_counts(tables: Tables, only: DataFrame | None = None) -> DataFrame:
-    """Likes, dislikes and comments per post (of those in `only`); soft-deleted comments count too."""
+def interaction_counts(tables: Tables, only: DataFrame | None = None, **more: tuple[DataFrame, str]) -> DataFrame:
+    """Likes, dislikes and comments per post (of those in `only`), and `more`; soft-deleted comments count too."""
     return child_counts(
         "post_id",
         only=only,
         likes=(tables["post_likes"], "post_id"),
         dislikes=(tables["post_dislikes"], "post_id"),
         comments=(tables["comments"], "post_id"),
+        **more,
     )
 
 
@@ -61,10 +62,14 @@ def interaction_scores(tables: Tables, as_of: datetime | str, params: FeedParams
     )
 
 
+def _hot_tags(tables: Tables) -> DataFrame:
+    hot = tables["topics"].where("is_hot").select(F.col("id").alias("topic_id"))
+    return tables["post_topics"].join(hot, "topic_id", "left_semi").select("post_id")
+
+
 def hot_posts(tables: Tables) -> DataFrame:
     """Distinct posts that carry any hot topic."""
-    hot = tables["topics"].where("is_hot").select(F.col("id").alias("topic_id"))
-    return tables["post_topics"].join(hot, "topic_id", "left_semi").select("post_id").distinct()
+    return _hot_tags(tables).distinct()
 
 
 def scored_posts(
@@ -73,16 +78,19 @@ def scored_posts(
     params: FeedParams = FeedParams(),
     school_id: int | None = None,
     topic: str | None = None,
+    among: Column | None = None,
 ) -> DataFrame:
     """Feed candidates with final_score: (id, user_id, school_id, created_at, final_score).
 
     Live posts whose view permission is 'all' or 'school_only'; a post without a
-    permission row is no candidate. School and topic filters apply before the counts
-    are joined.
+    permission row is no candidate. School and topic filters, and any condition on posts
+    given as `among`, apply before the counts are joined.
     """
     posts = tables["posts"].where(live()).select("id", "user_id", "school_id", "created_at")
     if school_id is not None:
         posts = posts.where(F.col("school_id") == school_id)
+    if among is not None:
+        posts = posts.where(among)
     visible = (
         tables["post_permissions"]
         .where(F.col("view_permission").isin("all", "school_only"))
@@ -94,28 +102,40 @@ def scored_posts(
         tagged = tables["post_topics"].join(wanted, "topic_id", "left_semi").select(F.col("post_id").alias("id"))
         candidates = candidates.join(tagged, "id", "left_semi")
 
-    hot = hot_posts(tables).select("post_id", F.lit(True).alias("is_hot"))
-    # with a filter, only the children of posts that pass it are counted
-    asked = None if school_id is None and topic is None else candidates.select(F.col("id").alias("post_id"))
-    counted = with_counts(candidates, interaction_counts(tables, asked), "id", "post_id")
-    flagged = counted.join(hot, counted["id"] == hot["post_id"], "left").drop("post_id")
+    # with a filter, only the children of posts that pass it are counted; a hot tag is one more child
+    asked = None if school_id is None and topic is None and among is None else candidates.select(F.col("id").alias("post_id"))
+    counts = interaction_counts(tables, asked, hot_tags=(_hot_tags(tables), "post_id"))
+    counted = with_counts(candidates, counts, "id", "post_id")
 
     boost_from = ntz(as_of) - F.make_interval(hours=F.lit(params.new_post_hours))
     boosted = _base_score(as_of, params) + F.when(
         F.col("created_at") > boost_from, F.lit(params.new_post_boost)
     ).otherwise(F.lit(0.0))
-    final = boosted * F.when(F.col("is_hot"), F.lit(params.hot_boost)).otherwise(F.lit(1.0))
-    return flagged.select(
+    final = boosted * F.when(F.col("hot_tags") > 0, F.lit(params.hot_boost)).otherwise(F.lit(1.0))
+    return counted.select(
         "id", "user_id", "school_id", "created_at", F.round(final, SCORE_DIGITS).alias("final_score")
     )
 
 
-def _capped(scored: DataFrame, params: FeedParams) -> DataFrame:
+def capped_posts(scored: DataFrame, params: FeedParams) -> DataFrame:
     """At most `per_author` best posts of an author within a school."""
     best = [F.col("final_score").desc(), F.col("id").desc()]
     return top_per_group(scored, ["school_id", "user_id"], best, params.per_author, "author_rank")
 
 
+def cut_page(ranked: DataFrame, limit: int, offset: int = 0, cursor: tuple[float, object] | None = None) -> DataFrame:
+    """(id, final_score) of one page of capped posts, best first."""
+    if cursor is not None:
+        score, last_id = cursor
+        ranked = ranked.where(
+            (F.col("final_score") < score) | ((F.col("final_score") == score) & (F.col("id") < last_id))
+        )
+    page = ranked.orderBy(F.col("final_score").desc(), F.col("id").desc())
+    if offset:
+        page = page.offset(offset)
+    return page.limit(limit).select("id", "final_score")
+
+
 def feed_page(
     tables: Tables,
     school_id: int,
@@ -132,16 +152,8 @@ def feed_page(
     The author cap applies before the cursor. Pin `as_of` across the pages of one
     scroll: scores decay with it.
     """
-    ranked = _capped(scored_posts(tables, as_of, params, school_id, topic), params)
-    if cursor is not None:
-        score, last_id = cursor
-        ranked = ranked.where(
-            (F.col("final_score") < score) | ((F.col("final_score") == score) & (F.col("id") < last_id))
-        )
-    page = ranked.orderBy(F.col("final_score").desc(), F.col("id").desc())
-    if offset:
-        page = page.offset(offset)
-    return page.limit(limit).select("id", "final_score")
+    ranked = capped_posts(scored_posts(tables, as_of, params, school_id, topic), params)
+    return cut_page(ranked, limit, offset, cursor)
 
 
 def build_feeds(
@@ -156,7 +168,7 @@ def build_feeds(
     Write it partitioned by school_id. Ranking is limited before each shuffle, so a
     school or author with a third of all posts stays cheap.
     """
-    ranked = _capped(scored_posts(tables, as_of, params, topic=topic), params)
+    ranked = capped_posts(scored_posts(tables, as_of, params, topic=topic), params)
     best = [F.col("final_score").desc(), F.col("id").desc()]
     return top_per_group(ranked.where(F.col("school_id").isNotNull()), ["school_id"], best, n, "feed_rank").select(
         "school_id", "feed_rank", "id", "final_score"
