@@ -111,6 +111,9 @@ CHECKS: dict[str, str] = {
     "q_feed_offset": _feed_page("", "LIMIT 40 OFFSET 30"),
     "q_feed_cursor": _feed_page(
         f"AND (final_score < {CURSOR[0]!r}e0 OR (final_score = {CURSOR[0]!r}e0 AND id < {CURSOR[1]}))", "LIMIT 50"),
+    "q_feed_page_bounded": _feed_page("", "LIMIT 15"),
+    "q_feed_cursor_bounded": _feed_page(
+        f"AND (final_score < {CURSOR[0]!r}e0 OR (final_score = {CURSOR[0]!r}e0 AND id < {CURSOR[1]}))", "LIMIT 50"),
     "q_feed_topic": _sql(_FEED, _BY_SCHOOL, scored=_SCORED, tagged=_TAGGED, capped=_CAP.format("tagged")),
     "q_feed_all": _sql(_FEED, _BY_SCHOOL, scored=_SCORED, capped=_CAP.format("scored")),
     # ------------------------------------------------------------ hydration
@@ -629,14 +632,14 @@ _NO_ROWS = ["user_blocks", "post_shares", "post_saves", "moderation_logs", "comm
 _AUDITED = _RAW_SOURCES + " " + " ".join(n for n in TABLES if n not in _NO_ROWS)
 
 
-def _raw_name(table: str) -> str:
-    return f"raw_{table}" if table in _RAW_COLUMNS else table
+def _raw_name(table: str, raw: tuple[str, ...] = tuple(_RAW_COLUMNS)) -> str:
+    return f"raw_{table}" if table in raw else table
 
 
-def _domain_checks() -> str:
+def _domain_checks(raw: tuple[str, ...] = tuple(_RAW_COLUMNS)) -> str:
     parts = []
     for table, columns in TABLES.items():
-        for c in (c for c in columns if table not in _RAW_COLUMNS or c.name in _RAW_COLUMNS[table]):
+        for c in (c for c in columns if table not in raw or c.name in _RAW_COLUMNS[table]):
             conditions = []
             if c.required:
                 conditions.append((f"{c.name} not null", f"{c.name} IS NULL"))
@@ -645,20 +648,20 @@ def _domain_checks() -> str:
             if c.enum:
                 domain = ", ".join(map(_quoted, ENUMS[c.enum]))
                 conditions.append((f"{c.name} in {c.enum}", f"{c.name} NOT IN ({domain})"))
-            nothing = table in _NO_ROWS or table not in _RAW_COLUMNS and c.name in _NO_SOURCE.get(table, "").split()
+            nothing = table in _NO_ROWS or table not in raw and c.name in _NO_SOURCE.get(table, "").split()
             for rule, condition in conditions:
-                found = "CAST(0 AS BIGINT) AS violations" if nothing else f"count(*) AS violations FROM {_raw_name(table)} WHERE {condition}"
+                found = "CAST(0 AS BIGINT) AS violations" if nothing else f"count(*) AS violations FROM {_raw_name(table, raw)} WHERE {condition}"
                 parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, {found}")
     return "\nUNION ALL ".join(parts)
 
 
-def _unique_checks() -> str:
+def _unique_checks(raw: tuple[str, ...] = tuple(_RAW_COLUMNS)) -> str:
     parts = []
     for table, columns in TABLES.items():
         for key in [(columns[0].name,)] + ([UNIQUE_KEYS[table]] if table in UNIQUE_KEYS else []):
             names = ", ".join(key)
             present = " AND ".join(f"{k} IS NOT NULL" for k in key)
-            groups = f"SELECT count(*) AS n FROM {_raw_name(table)} WHERE {present} GROUP BY {names} HAVING count(*) > 1"
+            groups = f"SELECT count(*) AS n FROM {_raw_name(table, raw)} WHERE {present} GROUP BY {names} HAVING count(*) > 1"
             if table in _NO_ROWS:
                 groups = "SELECT 0 AS n WHERE false"
             parts.append(f"""SELECT '{table}' AS table_name, '{names}' AS key, count(*) AS repeated_keys,
@@ -686,6 +689,13 @@ CHECKS["q_audit_check"] = _sql(_RAW_SOURCES, """
     SELECT 'posts' AS table_name, 'confession has school_id' AS rule, count(*) AS violations
     FROM raw_posts WHERE post_type = 'confession' AND school_id IS NULL""", **_RAW)
 
+_REPORTS = ("post_reports", "comment_reports")
+CHECKS["q_audit_kept"] = _sql(_AUDITED, f"""
+    SELECT 'domain' AS audit, table_name, rule, violations AS found, CAST(0 AS BIGINT) AS surplus FROM ({_domain_checks(_REPORTS)}) d
+    UNION ALL SELECT 'row', 'posts', 'confession has school_id', count(*), 0 FROM posts WHERE post_type = 'confession' AND school_id IS NULL
+    UNION ALL SELECT 'key', table_name, key, repeated_keys, surplus_rows FROM ({_unique_checks(_REPORTS)}) k
+    UNION ALL SELECT 'reference', table_name, reference, orphan_rows, 0 FROM ({_reference_checks()}) f""", **_RAW)
+
 _DEAD = dict(
     dead="SELECT id FROM users WHERE status = 'banned'",
     dead_posts="SELECT id FROM posts WHERE user_id IN (SELECT id FROM dead)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from forumlake.session import work_dir
 from forumlake.sources.benchdata import AS_OF, REQUESTS_AS_OF, BenchTables
 from forumlake.sources.tables import append_events, typed_seed, with_defaults, with_ids, write_snapshot
 from forumlake.streaming import jobs
+from forumlake.streaming.audits import KeptAudit
 from forumlake.streaming.reports import Activity, row_changes
+from forumlake.streaming.zones import Zones, bounded_page
 
 POST_THRESHOLD = 3
 COMMENT_THRESHOLD = 3
@@ -136,6 +139,25 @@ def q_feed_cursor(t):
     return feed.feed_page(t, PAGE_SCHOOL, AS_OF, limit=50, cursor=CURSOR)
 
 
+def _school_zones(t):
+    """Zones kept by batches: rows before and after a cut in time."""
+    kept = Zones(t.spark, work_dir(t.spark, "zones"))
+    for batch, side in enumerate(("<", ">=")):
+        came = {n: t[n].where(f"created_at {side} TIMESTAMP_NTZ'{ACTIVITY_CUT}'") for n in ("posts", "post_likes", "comments")}
+        kept.apply(batch, t, came)
+    return kept.of_school(PAGE_SCHOOL)
+
+
+@query
+def q_feed_page_bounded(t):
+    return bounded_page(t, _school_zones(t), PAGE_SCHOOL, AS_OF)
+
+
+@query
+def q_feed_cursor_bounded(t):
+    return bounded_page(t, _school_zones(t), PAGE_SCHOOL, AS_OF, limit=50, cursor=CURSOR)
+
+
 @query
 def q_feed_topic(t):
     return feed.build_feeds(t, AS_OF, topic=PAGE_TOPIC)
@@ -571,6 +593,26 @@ def q_audit_check(t):
     return audit.audit_checks(_raw(t))
 
 
+@query
+def q_audit_kept(t):
+    """All audits after three batches: the tables but late reports, users sent twice; the late reports; the second users taken back."""
+    raw = {**_raw(t), "users": t["users"], "posts": t["posts"]}
+    late = {n: raw[n].where(f"created_at >= TIMESTAMP_NTZ'{ACTIVITY_CUT}'") for n in ("post_reports", "comment_reports")}
+    early = {n: raw[n].where(f"NOT coalesce(created_at >= TIMESTAMP_NTZ'{ACTIVITY_CUT}', false)") for n in late}
+    kept = KeptAudit(t.spark, work_dir(t.spark, "audit"))
+    kept.apply(0, {**raw, **early, "users": t["users"].unionByName(t["users"])})
+    for _ in range(2):  # sent twice, counts once
+        kept.apply(1, late)
+    kept.apply(2, {}, {"users": t["users"]})
+    parts = {
+        "domain": kept.domains().selectExpr("table_name", "rule", "violations AS found", "0L AS surplus"),
+        "row": kept.checks().selectExpr("table_name", "rule", "violations AS found", "0L AS surplus"),
+        "key": kept.unique().selectExpr("table_name", "key AS rule", "repeated_keys AS found", "surplus_rows AS surplus"),
+        "reference": kept.references_found().selectExpr("table_name", "reference AS rule", "orphan_rows AS found", "0L AS surplus"),
+    }
+    return reduce(DataFrame.unionByName, [df.withColumn("audit", F.lit(name)) for name, df in parts.items()])
+
+
 @query
 def q_purge_users(t):
     return purge.purge_report(t, "users", t["users"].where("status = 'banned'").select("id"))
