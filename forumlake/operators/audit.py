@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.schema import ENUMS, FOREIGN_KEYS, SYSTEM_ACTOR, TABLES, UNIQUE_KEYS, ForeignKey, primary_key
+from forumlake.schema import ENUMS, FOREIGN_KEYS, SYSTEM_ACTOR, TABLES, UNIQUE_KEYS, primary_key
 from forumlake.sources.tables import Tables
 
 
@@ -36,7 +36,7 @@ def column_rules(table: str, present: Iterable[str]) -> dict[str, Column]:
     return rules
 
 
-def protocol(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
+def _protocol(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
     """One pass over the table: all rules counted together, then one row per rule."""
     names = list(rules)
     counts = df.agg(*[F.count_if(rules[name]).alias(f"r{i}") for i, name in enumerate(names)])
@@ -48,7 +48,7 @@ def protocol(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
 
 def audit_domains(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Not-null, length and enum rules: (table_name, rule, violations)."""
-    return _union(protocol(tables[n], n, column_rules(n, tables[n].columns)) for n in names)
+    return _union(_protocol(tables[n], n, column_rules(n, tables[n].columns)) for n in names)
 
 
 def tally(found: DataFrame, labels: dict[str, list[str]], counts: list[str]) -> DataFrame:
@@ -62,65 +62,47 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def _keys(table: str) -> list[tuple[str, ...]]:
-    return [(primary_key(table),)] + ([UNIQUE_KEYS[table]] if table in UNIQUE_KEYS else [])
+def key_columns(table: str) -> dict[str, Column]:
+    """Values of the primary and unique keys, as text, by their names."""
+    keys = [(primary_key(table),)] + ([UNIQUE_KEYS[table]] if table in UNIQUE_KEYS else [])
+    return {", ".join(key): F.array(*map(_text, key)) for key in keys}
 
 
 def key_labels(names: Iterable[str]) -> dict[str, list[str]]:
-    pairs = [(name, ", ".join(key)) for name in names for key in _keys(name)]
+    pairs = [(name, key) for name in names for key in key_columns(name)]
     return {"table_name": [name for name, _ in pairs], "key": [key for _, key in pairs]}
 
 
-def key_values(tables: Tables, names: Iterable[str]) -> DataFrame:
-    """(table_name, key, _value) of every row and key without NULLs, each table scanned once."""
-    parts = []
-    for name in names:
-        values = [F.struct(F.lit(", ".join(key)).alias("key"), F.array(*map(_text, key)).alias("_value")) for key in _keys(name)]
-        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
-    return _union(parts).where(F.forall("_value", F.isnotnull))
-
-
 def audit_unique(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Primary and unique keys: (table_name, key, repeated_keys, surplus_rows).
 
     Each table is scanned once for all its keys. Rows with a NULL in the key do not compete.
     """
     names = list(names)
-    present = key_values(tables, names)
+    parts = []
+    for name in names:
+        values = [F.struct(F.lit(key).alias("key"), value.alias("_value")) for key, value in key_columns(name).items()]
+        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
+    present = _union(parts).where(F.forall("_value", F.isnotnull))
     repeated = present.groupBy("table_name", "key", "_value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     found = repeated.selectExpr("table_name", "key", "1L AS repeated_keys", "_n - 1 AS surplus_rows")
     return tally(found, key_labels(names), ["repeated_keys", "surplus_rows"])
 
 
-def _links(names: Iterable[str]) -> list[ForeignKey]:
-    names = set(names)
-    return [fk for fk in FOREIGN_KEYS if fk.table in names]
+def reference_columns(table: str) -> dict[tuple[str, str], Column]:
+    """Values of the foreign keys, as text, by label and parent."""
+    values = {}
+    for fk in (fk for fk in FOREIGN_KEYS if fk.table == table):
+        value = _text(fk.column)
+        if (fk.table, fk.column) == ("moderation_logs", "moderator_id"):
+            value = F.when(F.col(fk.column) != SYSTEM_ACTOR, value)  # reserved actor, never a row
+        values[(f"{fk.column} -> {fk.parent}", fk.parent)] = value
+    return values
 
 
 def reference_labels(names: Iterable[str]) -> dict[str, list[str]]:
-    links = _links(names)
-    return {"table_name": [fk.table for fk in links], "reference": [f"{fk.column} -> {fk.parent}" for fk in links]}
-
-
-def reference_values(tables: Tables, names: Iterable[str]) -> DataFrame:
-    """(table_name, reference, _parent, _ref) of every row and reference that is not NULL, each table scanned once."""
-    links = _links(names)
-    parts = []
-    for name in dict.fromkeys(fk.table for fk in links):
-        values = []
-        for fk in (fk for fk in links if fk.table == name):
-            value = _text(fk.column)
-            if (fk.table, fk.column) == ("moderation_logs", "moderator_id"):
-                value = F.when(F.col(fk.column) != SYSTEM_ACTOR, value)  # reserved actor, never a row
-            label = F.lit(f"{fk.column} -> {fk.parent}").alias("reference")
-            values.append(F.struct(label, F.lit(fk.parent).alias("_parent"), value.alias("_ref")))
-        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
-    return _union(parts).where(F.col("_ref").isNotNull())
-
-
-def parent_values(tables: Tables, names: Iterable[str]) -> DataFrame:
-    """(_parent, _ref) of every row that others may refer to."""
-    return _union(tables[name].select(F.lit(name).alias("_parent"), _text("id").alias("_ref")) for name in names)
+    pairs = [(name, label) for name in names for label, _ in reference_columns(name)]
+    return {"table_name": [name for name, _ in pairs], "reference": [label for _, label in pairs]}
 
 
 def audit_references(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
@@ -131,10 +113,19 @@ def audit_references(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame
     parents, so a hot parent is one row in the join.
     """
     names = list(names)
-    used = reference_values(tables, names)
+    parts, parents = [], {}
+    for name in names:
+        if columns := reference_columns(name):
+            values = [
+                F.struct(F.lit(label).alias("reference"), F.lit(parent).alias("_parent"), value.alias("_ref"))
+                for (label, parent), value in columns.items()
+            ]
+            parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
+            parents.update({parent: None for _, parent in columns})
+    used = _union(parts).where(F.col("_ref").isNotNull())
     used = used.groupBy("table_name", "reference", "_parent", "_ref").agg(F.count(F.lit(1)).alias("orphan_rows"))
-    parents = parent_values(tables, dict.fromkeys(fk.parent for fk in _links(names)))
-    found = used.join(parents, ["_parent", "_ref"], "left_anti").select("table_name", "reference", "orphan_rows")
+    there = _union(tables[name].select(F.lit(name).alias("_parent"), _text("id").alias("_ref")) for name in parents)
+    found = used.join(there, ["_parent", "_ref"], "left_anti").select("table_name", "reference", "orphan_rows")
     return tally(found, reference_labels(names), ["orphan_rows"])
 
 
@@ -145,4 +136,4 @@ def row_rules() -> dict[str, Column]:
 
 def audit_checks(tables: Tables) -> DataFrame:
     """Row checks: a confession needs a school."""
-    return protocol(tables["posts"], "posts", row_rules())
+    return _protocol(tables["posts"], "posts", row_rules())

@@ -3,7 +3,7 @@
 Violations of single rows add up. Keys and references do not, but what one value is worth
 does: a key's surplus follows from how many rows carry the value, an orphan from how many
 rows refer to a value and whether a parent has it. Per value the signed row counts are kept,
-and per rule the sum of what the values are worth. A batch reads its own rows and the
+and per rule the sum of what the values are worth. A batch reads its own rows once and the
 buckets of the values they carry, and adds the difference that these make; the tables are
 not read again.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from forumlake.operators.audit import (
-    column_rules, key_labels, key_values, parent_values, protocol, reference_labels, reference_values, row_rules, tally,
+    column_rules, key_columns, key_labels, reference_columns, reference_labels, row_rules, tally,
 )
 from forumlake.schema import FOREIGN_KEYS, TABLES
 from forumlake.session import freeze
@@ -32,6 +32,7 @@ REFERENCES = StructType([*[StructField(c, StringType()) for c in ("_parent", "_r
 TOTALS = StructType([
     *[StructField(c, StringType()) for c in ("audit", "table_name", "rule")], StructField("found", LongType()), StructField("surplus", LongType()),
 ])
+FACTS = StructType([*[StructField(c, StringType()) for c in ("audit", "table_name", "rule")], StructField("value", ArrayType(StringType())), StructField("n", LongType())])
 _PARENTS = {fk.parent for fk in FOREIGN_KEYS}
 
 
@@ -44,6 +45,17 @@ _REFERENCES_ADDED = _summed(["_parent", "_ref", "table_name", "reference"], "n")
 _TOTALS_ADDED = _summed(["audit", "table_name", "rule"], "found", "surplus")
 
 
+def _rules(rows: DataFrame, table: str) -> dict[str, dict[str, Column]]:
+    rules = {DOMAIN: column_rules(table, rows.columns)}
+    return {**rules, ROW: row_rules()} if table == "posts" else rules
+
+
+def _fact(audit: str, table: str, rule: str, value: Column, told: Column) -> Column:
+    """One fact of a row, NULL if the row does not tell it."""
+    value = value.cast("array<string>").alias("value")
+    return F.when(told, F.struct(F.lit(audit).alias("audit"), F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), value))
+
+
 def _before_and_after(before: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Row counts of touched values: `was` without the batch, `now` with it."""
     rows = before.withColumn("was", F.col("n")).unionByName(delta.withColumn("was", F.lit(0).cast("bigint")))
@@ -66,28 +78,20 @@ class KeptAudit:
         self.totals = Segments(spark, f"{path}/totals", "rule", _TOTALS_ADDED, fold, 1)
         self.done = Notes(spark, f"{path}/done")
 
-    def _rows(self, tables: Mapping[str, DataFrame], sign: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-        """Signed violations, key values and references of some rows, by table."""
-        names = [n for n in TABLES if n in tables]
-        totals = []
-        for name in names:
-            rules = {DOMAIN: column_rules(name, tables[name].columns)}
-            if name == "posts":
-                rules[ROW] = row_rules()
-            for audit, conditions in rules.items():
-                found = protocol(tables[name], name, conditions)
-                totals.append(found.select(
-                    F.lit(audit).alias("audit"), "table_name", "rule", (F.col("violations") * sign).alias("found"), F.lit(0).cast("bigint").alias("surplus"),
-                ))
-        one = F.lit(sign).cast("bigint").alias("n")
-        keys = [key_values(tables, names).select(*_LABELS, "_value", one)] if names else []
-        references = []
-        if children := [n for n in names if any(fk.table == n for fk in FOREIGN_KEYS)]:
-            references.append(reference_values(tables, children).select("_parent", "_ref", "table_name", "reference", one))
-        if parents := [n for n in names if n in _PARENTS]:
-            rows = parent_values(tables, parents).where("_ref IS NOT NULL")
-            references.append(rows.select("_parent", "_ref", F.lit(PARENT).alias("table_name"), F.lit(PARENT).alias("reference"), one))
-        return totals, keys, references
+    def _facts(self, tables: Mapping[str, DataFrame], sign: int) -> list[DataFrame]:
+        """What rows say, each table read once: rules they break, key values, references, values others may refer to."""
+        parts = []
+        for name in (n for n in TABLES if n in tables):
+            told = [_fact(audit, name, rule, F.array(), broken) for audit, rules in _rules(tables[name], name).items() for rule, broken in rules.items()]
+            told += [_fact(KEY, name, key, value, F.forall(value, F.isnotnull)) for key, value in key_columns(name).items()]
+            for (label, parent), value in reference_columns(name).items():
+                told.append(_fact(REFERENCE, name, label, F.array(F.lit(parent), value), value.isNotNull()))
+            if name in _PARENTS:
+                value = F.col("id").cast("string")
+                told.append(_fact(REFERENCE, PARENT, PARENT, F.array(F.lit(name), value), value.isNotNull()))
+            rows = tables[name].select(F.inline(F.array_compact(F.array(*told))))
+            parts.append(rows.select("*", F.lit(sign).cast("bigint").alias("n")))
+        return parts
 
     def _key_gain(self, batch: int, delta: DataFrame) -> DataFrame:
         before = self.keys.before(batch, KEYS, delta.select("_value"))
@@ -115,15 +119,22 @@ class KeptAudit:
         """Adds rows that came and takes off rows that went, by table; a changed row goes as it was and comes as it is."""
         for state in (self.keys, self.references, self.totals):
             state.start(batch)
-        signed = [self._rows(came, 1), self._rows(went, -1)]
-        totals, keys, references = ([df for part in parts for df in part] for parts in zip(*signed))
-        empty = [self.spark.createDataFrame([], schema) for schema in (TOTALS, KEYS, REFERENCES)]
-        keys = freeze(_KEYS_ADDED(reduce(DataFrame.unionByName, keys, empty[1])).where("n <> 0"))
-        references = freeze(_REFERENCES_ADDED(reduce(DataFrame.unionByName, references, empty[2])).where("n <> 0"))
-        gains = [self._key_gain(batch, keys), self._reference_gain(batch, references)]
-        self.totals.write(_TOTALS_ADDED(reduce(DataFrame.unionByName, totals + gains, empty[0])), batch)
+        told = reduce(DataFrame.unionByName, self._facts(came, 1) + self._facts(went, -1), self.spark.createDataFrame([], FACTS))
+        facts = freeze(told.groupBy("audit", "table_name", "rule", "value").agg(F.sum("n").alias("n")).where("n <> 0"))
+        keys = facts.where(F.col("audit") == KEY).select("table_name", F.col("rule").alias("key"), F.col("value").alias("_value"), "n")
+        uses = facts.where(F.col("audit") == REFERENCE)
+        uses = uses.select(F.get("value", F.lit(0)).alias("_parent"), F.get("value", F.lit(1)).alias("_ref"), "table_name", F.col("rule").alias("reference"), "n")
+        broken = facts.where(F.col("audit").isin(DOMAIN, ROW))
+        zero = F.lit(0).cast("bigint")
+        # rules that no row breaks are reported too
+        ruled = [(audit, n, rule, 0, 0) for t in (came, went) for n in TABLES if n in t for audit, rules in _rules(t[n], n).items() for rule in rules]
+        totals = [
+            self.spark.createDataFrame(ruled, TOTALS), broken.select("audit", "table_name", "rule", F.col("n").alias("found"), zero.alias("surplus")),
+            self._key_gain(batch, keys), self._reference_gain(batch, uses),
+        ]
+        self.totals.write(_TOTALS_ADDED(reduce(DataFrame.unionByName, totals)), batch)
         self.keys.write(keys, batch)
-        self.references.write(references, batch)
+        self.references.write(uses, batch)
         self.done.write(batch, {})
 
     def _found(self, audit: str) -> DataFrame:
