@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+TASK_KEY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows are narrow: shuffled and compressed they take a tenth of the memory their sorts and groups take
+    TASK_KEY: "16m",
     # checkpoint files go once no frame refers to them any more
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -34,6 +38,13 @@ def build_session(master: str | None = None, app: str = "forumlake", **conf: str
     return builder.getOrCreate()
 
 
+def with_small_tasks(spark: SparkSession) -> SparkSession:
+    """The session with this library's size of a task, unless it has one of its own."""
+    if spark.conf.get(TASK_KEY, None) is None:
+        spark.conf.set(TASK_KEY, DEFAULTS[TASK_KEY])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; a temporary one only in local mode."""
     sc = spark.sparkContext

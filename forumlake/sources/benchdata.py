@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from forumlake.schema import TABLES
+from forumlake.session import with_small_tasks
 from forumlake.sources.tables import add_missing, empty
 
 AS_OF = "2001-08-01 00:30:00"  # the newest posts are half an hour old
@@ -345,7 +346,7 @@ def bench_tables(spark: SparkSession, sf_dir: str) -> BenchTables:
     """The (lazy) frames of a directory, planned once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOADED:
-        _LOADED[key] = BenchTables(spark, sf_dir)
+        _LOADED[key] = BenchTables(with_small_tasks(spark), sf_dir)
     return _LOADED[key]
 
 
