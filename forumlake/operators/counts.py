@@ -14,7 +14,8 @@ def child_counts(key: str, only: DataFrame | None = None, **children: tuple[Data
     `child_counts("post_id", likes=(likes, "post_id"), live=(comments, "post_id", cond))`
     gives one row per key that has any child. The children are stacked, so there is
     a single shuffle, and map-side partial sums keep a hot key to one row per task.
-    `only` (a frame with the column `key`) restricts the stacked children before they are counted.
+    `only` (a frame with the column `key`) keeps the counts of its keys. It meets the counts, one row per
+    key; while it is small enough to broadcast, Spark moves that join down to every child by itself.
     """
     names = list(children)
     stacked = []
@@ -23,9 +24,8 @@ def child_counts(key: str, only: DataFrame | None = None, **children: tuple[Data
         flags = [f"{int(n == name)}L AS {n}" for n in names]
         stacked.append(rows.where(f"{column} IS NOT NULL").selectExpr(f"{column} AS {key}", *flags))
     union = reduce(DataFrame.unionByName, stacked)
-    if only is not None:
-        union = union.join(only.select(key), key, "left_semi")
-    return union.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+    counts = union.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+    return counts if only is None else counts.join(only.select(key), key, "left_semi")
 
 
 def with_counts(parents: DataFrame, counts: DataFrame, parent_key: str, key: str) -> DataFrame:

@@ -26,6 +26,14 @@ def shuffled(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", session.DEFAULTS["spark.sql.adaptive.coalescePartitions.enabled"])
 
 
+def test_asked_keys_meet_the_counts_once(shuffled):
+    likes, views = (shuffled.range(40).selectExpr(f"id % {n} AS post_id") for n in (4, 10))
+    asked = shuffled.range(3, 6).selectExpr("id AS post_id")
+    counts = child_counts("post_id", only=asked, likes=(likes, "post_id"), views=(views, "post_id"))
+    assert plan(counts).count("LeftSemi") == 1
+    assert sorted(map(tuple, counts.collect())) == [(3, 10, 4), (4, 0, 4), (5, 0, 4)]
+
+
 def test_tables_come_with_a_task_size_unless_the_session_has_one(spark):
     before = spark.conf.get(session.TASK_KEY)
     try:
