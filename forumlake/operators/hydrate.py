@@ -93,14 +93,15 @@ def hydrate_posts(tables: Tables, ids: DataFrame) -> DataFrame:
 
 def post_counters(tables: Tables, ids: DataFrame) -> DataFrame:
     """(id, total_like, total_dislike, total_comment) per distinct id; 0 for unknown ids."""
+    wanted = ids.select("id").distinct()
     counts = child_counts(
         "post_id",
-        only=ids.select(F.col("id").alias("post_id")),
+        only=wanted.select(F.col("id").alias("post_id")),
         total_like=(tables["post_likes"], "post_id"),
         total_dislike=(tables["post_dislikes"], "post_id"),
         total_comment=(tables["comments"], "post_id"),
     )
-    return with_counts(ids.select("id").distinct(), counts, "id", "post_id")
+    return with_counts(wanted, counts, "id", "post_id")
 
 
 def user_interactions(tables: Tables, pairs: DataFrame) -> DataFrame:
