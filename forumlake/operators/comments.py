@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlake import messages as M
@@ -17,6 +17,7 @@ from forumlake.operators.outcome import Outcome, decide, with_serial
 from forumlake.sources.tables import Tables
 
 ORDER = ("requested_at", "request_id")
+NULL_PLACES = 1024
 
 
 def _text_checks():
@@ -34,16 +35,31 @@ def _with_author(tables: Tables, requests: DataFrame) -> DataFrame:
     return requests.join(users, requests["user_id"] == users["_user"], "left")
 
 
+def _place(key: str) -> Column:
+    """A second join column: 0, but for rows without a key, which meet nothing and are dealt over many tasks."""
+    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*ORDER), F.lit(NULL_PLACES)) + 1).otherwise(F.lit(0).cast("bigint"))
+
+
+def _at_zero(key: str) -> Column:
+    """Its counterpart: always 0, but no literal, which would drop out of the shuffle."""
+    return F.pmod(F.xxhash64(key), F.lit(1)).cast("bigint")
+
+
 def _with_post(tables: Tables, requests: DataFrame, key: str) -> DataFrame:
-    """Adds `_post` and `_post_school` of live posts and the comment permission."""
+    """Adds `_post` and `_post_school` of live posts and the comment permission.
+
+    Both joins go by `key`, so the requests move once, and requests without it are spread.
+    """
     posts = tables["posts"].where(live()).select(
-        F.col("id").alias("_post"), F.col("school_id").alias("_post_school")
+        F.col("id").alias("_post"), F.col("school_id").alias("_post_school"), _at_zero("id").alias("_post_place")
     )
     permissions = tables["post_permissions"].select(
-        F.col("post_id").alias("_of"), F.col("comment_permission").alias("_permission")
+        F.col("post_id").alias("_of"), F.col("comment_permission").alias("_permission"), _at_zero("post_id").alias("_of_place")
     )
-    joined = requests.join(posts, requests[key] == posts["_post"], "left")
-    return joined.join(permissions, joined["_post"] == permissions["_of"], "left").drop("_of")
+    requests = requests.withColumn("_place", _place(key))
+    joined = requests.join(posts, (requests[key] == posts["_post"]) & (requests["_place"] == posts["_post_place"]), "left")
+    allowed = (F.col(key) == F.col("_of")) & (F.col("_place") == F.col("_of_place")) & F.col("_post").isNotNull()
+    return joined.join(permissions, allowed, "left").drop("_of", "_place", "_post_place", "_of_place")
 
 
 def _permission_checks(disabled: str):

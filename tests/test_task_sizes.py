@@ -34,6 +34,21 @@ def test_asked_keys_meet_the_counts_once(shuffled):
     assert sorted(map(tuple, counts.collect())) == [(3, 10, 4), (4, 0, 4), (5, 0, 4)]
 
 
+def test_requests_without_a_post_are_dealt_over_tasks(shuffled):
+    posts = shuffled.range(5).selectExpr("id", "CAST(1 AS INT) AS school_id", "'active' AS status", "CAST(NULL AS TIMESTAMP_NTZ) AS deleted_at")
+    permissions = shuffled.range(3).selectExpr("id AS post_id", "'none' AS comment_permission")
+    asked = shuffled.range(400).selectExpr(
+        "id AS request_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS requested_at", "CASE WHEN id < 5 THEN id END AS _parent_post"
+    )
+    found = comments._with_post({"posts": posts, "post_permissions": permissions}, asked, "_parent_post")
+    assert found.columns == [*asked.columns, "_post", "_post_school", "_permission"]
+    met = found.where("_parent_post IS NOT NULL").select("request_id", "_post", "_post_school", "_permission").collect()
+    assert sorted(map(tuple, met)) == [(i, i, 1, "none" if i < 3 else None) for i in range(5)]
+    places = found.where("_parent_post IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in places) == 395
+    assert len(places) > 1 and max(r["count"] for r in places) < 395
+
+
 def test_tables_come_with_a_task_size_unless_the_session_has_one(spark):
     before = spark.conf.get(session.TASK_KEY)
     try:
