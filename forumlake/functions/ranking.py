@@ -41,21 +41,24 @@ def top_per_group(
 
 
 def _cut_points(df: DataFrame, row: Column, parts: int) -> Column:
-    """Sorted rows that cut `df` into about equal parts: those of a sample of bounded size, chosen by hash.
+    """Sorted rows that cut `df` into about equal parts, in runs of `STEP`: those of a sample of bounded size, chosen by hash.
 
     A scalar subquery: it runs once with the plan that uses it, so retried tasks see the same cuts.
+    The runs are laid out in it as well, not once more for every row.
     """
     sample = df.select(row.alias("_row")).orderBy(F.xxhash64("_row"), "_row").limit(parts * PER_PART)
     ordered = sample.agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     places = F.sequence(F.lit(PER_PART), F.greatest(F.size("_rows"), F.lit(PER_PART)), F.lit(PER_PART))
-    return ordered.select(F.array_compact(F.transform(places, lambda i: F.get("_rows", i))).alias("_cuts")).scalar()
+    cuts = ordered.select(F.array_compact(F.transform(places, lambda i: F.get("_rows", i))).alias("_cuts"))
+    starts = F.expr(f"filter(sequence(1, greatest(size(_cuts), 1), {STEP}), i -> i <= size(_cuts))")
+    return cuts.select(F.transform(starts, lambda i: F.slice("_cuts", i, STEP)).alias("_runs")).scalar()
 
 
-def _below(cuts: Column, row: Column) -> Column:
-    """How many cuts lie at or below a row, found in two steps."""
-    coarse = F.size(F.filter(F.filter(cuts, lambda _, i: i % STEP == 0), lambda c: c <= row))
-    first = F.greatest((coarse - 1) * STEP, F.lit(0))
-    return F.coalesce(first + F.size(F.filter(F.slice(cuts, first + 1, STEP), lambda c: c <= row)), F.lit(0))
+def _below(runs: Column, row: Column) -> Column:
+    """How many cuts lie at or below a row, found in two steps: whole runs, then inside the last one begun."""
+    begun = F.size(F.filter(runs, lambda run: F.get(run, F.lit(0)) <= row)) - 1
+    inside = F.size(F.filter(F.get(runs, begun), lambda c: c <= row))
+    return F.coalesce(F.when(begun >= 0, begun * STEP + inside), F.lit(0))  # never NULL, so no filter looks it up once more
 
 
 def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

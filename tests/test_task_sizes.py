@@ -49,6 +49,22 @@ def test_requests_without_a_post_are_dealt_over_tasks(shuffled):
     assert len(places) > 1 and max(r["count"] for r in places) < 395
 
 
+def test_slices_are_found_without_a_look_at_every_cut(spark):
+    rows = spark.range(20_000).selectExpr("id", "CAST(id * 7919 % 20011 AS INT) AS at")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # more cuts than one run holds
+    try:
+        sliced = slice_rows(rows, [], ["at", "id"])
+        text = plan(sliced).split("Subquery")[0]
+        assert f"% {STEP})" not in text
+        assert sliced.select("_slice").distinct().count() == 40
+        assert sliced.groupBy("_slice").agg(F.min("at").alias("a"), F.max("at").alias("b")).selectExpr(
+            "b < coalesce(lead(a) OVER (ORDER BY _slice), 1000000) AS apart").where("NOT apart").isEmpty()
+        numbered = number_rows(rows, ["at", "id"]).select("row_index", F.expr("row_number() OVER (ORDER BY at, id) AS n"))
+        assert numbered.where("row_index <> n").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_tables_come_with_a_task_size_unless_the_session_has_one(spark):
     before = spark.conf.get(session.TASK_KEY)
     try:
