@@ -56,8 +56,10 @@ def _fact(audit: str, table: str, rule: str, value: Column, told: Column) -> Col
     return F.when(told, F.struct(F.lit(audit).alias("audit"), F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), value))
 
 
-def _before_and_after(before: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Row counts of touched values: `was` without the batch, `now` with it."""
+def _before_and_after(before: DataFrame | None, delta: DataFrame, keys: list[str]) -> DataFrame:
+    """Row counts of touched values: `was` without the batch, `now` with it. A delta has one row per value."""
+    if before is None:
+        return delta.select(*keys, F.lit(0).cast("bigint").alias("was"), F.col("n").alias("now"))
     rows = before.withColumn("was", F.col("n")).unionByName(delta.withColumn("was", F.lit(0).cast("bigint")))
     return rows.groupBy(*keys).agg(F.sum("was").alias("was"), F.sum("n").alias("now"))
 
@@ -94,7 +96,7 @@ class KeptAudit:
         return parts
 
     def _key_gain(self, batch: int, delta: DataFrame) -> DataFrame:
-        before = self.keys.before(batch, KEYS, delta.select("_value"))
+        before = self.keys.before(batch, KEYS, delta.select("_value")) if batch else None
         both = _before_and_after(before, delta, [*_LABELS, "_value"])
         repeated = _gain(lambda n: (n > 1).cast("int"), (F.col("was"),), (F.col("now"),))
         surplus = _gain(lambda n: F.greatest(n - 1, F.lit(0)), (F.col("was"),), (F.col("now"),))
@@ -102,7 +104,7 @@ class KeptAudit:
 
     def _reference_gain(self, batch: int, delta: DataFrame) -> DataFrame:
         """A parent that comes or goes brings along all references to its value, at most one row for each foreign key."""
-        before = self.references.before(batch, REFERENCES, delta.select("_ref"))
+        before = self.references.before(batch, REFERENCES, delta.select("_ref")) if batch else None
         both = _before_and_after(before, delta, ["_parent", "_ref", "table_name", "reference"])
         parent = F.col("reference") == PARENT
         uses = F.collect_list(F.when(~parent, F.struct("table_name", "reference", F.col("was").alias("used"), F.col("now").alias("uses"))))

@@ -99,9 +99,12 @@ class Segments:
             self._put(self.merge(self._read(parts, rows.schema).drop(BUCKET)), whole)
 
     def before(self, batch: int, schema: StructType, touched: DataFrame | None = None) -> DataFrame:
-        """Rows of all earlier batches; with `touched` (key) only those of its keys, from their buckets."""
+        """Rows of all earlier batches; with `touched` (key) only those of its keys, from their buckets.
+
+        Before the first batch there are none, and `touched` is not read.
+        """
         rows = self._read(cover(batch, self.fold), schema)
-        if touched is not None:
+        if touched is not None and batch > 0:
             # at most `buckets` numbers
             hit = [r[0] for r in touched.select(self._bucket(touched.columns[0])).distinct().collect()]
             keys = touched.toDF("_key").distinct()

@@ -8,6 +8,7 @@ from forumlake.functions.ranking import STEP, number_rows, slice_rows
 from forumlake.operators import comments
 from forumlake.operators.counts import child_counts
 from forumlake.sources.benchdata import bench_tables
+from forumlake.streaming.segments import Segments
 
 
 def plan(df):
@@ -76,3 +77,10 @@ def test_tables_come_with_a_task_size_unless_the_session_has_one(spark):
         assert spark.conf.get(session.TASK_KEY) == "5m"
     finally:
         spark.conf.set(session.TASK_KEY, before)
+
+
+def test_a_first_batch_does_not_look_for_older_rows(spark, tmp_path):
+    state = Segments(spark, str(tmp_path / "state"), "key", buckets=4)
+    schema = spark.createDataFrame([], "key STRING, n BIGINT").schema
+    unread = spark.range(1).selectExpr("CAST(raise_error('read') AS STRING) AS key")
+    assert state.before(0, schema, unread).collect() == []
