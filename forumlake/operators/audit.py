@@ -77,16 +77,22 @@ def audit_unique(tables: Tables, names: Iterable[str] = TABLES) -> DataFrame:
     """Primary and unique keys: (table_name, key, repeated_keys, surplus_rows).
 
     Each table is scanned once for all its keys. Rows with a NULL in the key do not compete.
+    A value is counted under the number of its key, as nearly every value is a group of its own.
     """
     names = list(names)
+    labels = key_labels(names)
+    numbers = {label: n for n, label in enumerate(zip(*labels.values()))}
     parts = []
     for name in names:
-        values = [F.struct(F.lit(key).alias("key"), value.alias("_value")) for key, value in key_columns(name).items()]
-        parts.append(tables[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*values))))
+        values = [
+            F.struct(F.lit(numbers[name, key]).alias("_key"), value.alias("_value")) for key, value in key_columns(name).items()
+        ]
+        parts.append(tables[name].select(F.inline(F.array(*values))))
     present = _union(parts).where(F.forall("_value", F.isnotnull))
-    repeated = present.groupBy("table_name", "key", "_value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    found = repeated.selectExpr("table_name", "key", "1L AS repeated_keys", "_n - 1 AS surplus_rows")
-    return tally(found, key_labels(names), ["repeated_keys", "surplus_rows"])
+    repeated = present.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    label = [F.get(F.array(*map(F.lit, texts)), "_key").alias(column) for column, texts in labels.items()]
+    found = repeated.select(*label, F.lit(1).cast("bigint").alias("repeated_keys"), (F.col("_n") - 1).alias("surplus_rows"))
+    return tally(found, labels, ["repeated_keys", "surplus_rows"])
 
 
 def reference_columns(table: str) -> dict[tuple[str, str], Column]:

@@ -67,6 +67,18 @@ def test_unique_audit(forum):
     assert tuple(found[("id",)])[2:] == (0, 0)
 
 
+def test_unique_audit_counts_values_under_a_number(forum):
+    likes = [{"id": i // 2, "post_id": f"p{i}", "user_id": "u"} for i in range(4)]
+    tables = forum(post_likes=likes, users=[{"id": "0", "email": "e"}, {"id": "1", "email": "e"}, {"id": "1", "email": None}])
+    found = audit.audit_unique(tables, ["users", "post_likes"])
+    assert {k: tuple(r)[2:] for k, r in _counts(found, "table_name", "key").items()} == {
+        ("users", "id"): (1, 1), ("users", "email"): (1, 1), ("post_likes", "id"): (2, 2), ("post_likes", "post_id, user_id"): (0, 0),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    groups = [line for line in plan if "Aggregate [" in line and "_value" in line]
+    assert groups and not any("table_name" in line for line in groups)  # names are not part of every group
+
+
 def test_reference_audit(forum):
     tables = forum(
         users=[{"id": "u"}],
