@@ -5,7 +5,9 @@ its posts and the time of its youngest post, from which an upper bound of their
 follows for every moment and every set of weights. A page visits the days of its school in
 falling order of that bound and ends once the page is full of posts above the bound of all
 days that are left: these are all of them, so are their authors' better ones, and the page is
-exact. Only the posts of visited days are counted.
+exact. Only the posts of visited days are counted. Days that may hold posts from before the
+cursor are visited at once, as no page ends above them; once the posts counted would fill a
+page, its last score tells which days can still matter.
 
 Bounds add up: those of a batch of new rows are added to the ones before. Rows that go
 (deleted comments, hidden posts, taken-back likes) need not be told, they only loosen a bound.
@@ -132,26 +134,32 @@ def bounded_page(
     """The rows of `feed_page`, counted over the days of the school that can matter.
 
     `zones` holds at least the school's zones and is not older than `tables`. The days of
-    one school, a row each, come to the driver; nothing else does. Tries grow, so their
-    number is logarithmic in the posts that have to be visited and the last try is most of
-    the work. A page beyond the end visits all days.
+    one school, a row each, come to the driver, and per try the size and last score of a page.
+    The first try that finds a full page is followed by at most one more: with more days an
+    author's best posts and so the page's last score only rise, and all days above that score
+    are visited then. Until then tries grow, so their number is logarithmic in the posts of the
+    days that hold a page. A page beyond the end visits all days.
     """
     days = zones.where(F.col("school_id") == school_id).select("day", "posts", score_bound(as_of, params).alias("bound"))
     days = days.orderBy(F.desc_nulls_last("bound"), F.desc_nulls_last("day")).collect()
-    visited, wanted = 0, max(first, 2 * (offset + limit))
+    visited, wanted, reach = 0, max(first, 2 * (offset + limit)), None if cursor is None else cursor[0]
     while True:
+        needed = sum(reach is not None and zone.bound is not None and zone.bound >= reach for zone in days)
         posts = 0
         for at, zone in enumerate(days):
             posts, visited = posts + zone.posts, at + 1
-            if posts >= wanted:
+            if posts >= wanted and visited >= needed:
                 break
         scored = scored_posts(tables, as_of, params, school_id, topic, _on_days(days[:visited]))
-        ranked = capped_posts(scored, params)
+        page = cut_page(capped_posts(scored, params), limit, offset, cursor)
         if visited == len(days):
-            return cut_page(ranked, limit, offset, cursor)
+            return page
         left = days[visited].bound
-        page = cut_page(ranked if left is None else ranked.where(F.col("final_score") > left), limit, offset, cursor)
         page = freeze(page)
-        if page.count() == limit:
+        found, last = page.agg(F.count("final_score"), F.min("final_score")).first()
+        if found < limit:
+            wanted = GROWTH * posts
+        elif left is None or last is None or last > left:
             return page.orderBy(F.col("final_score").desc(), F.col("id").desc())
-        wanted = GROWTH * posts
+        else:
+            reach = last

@@ -88,3 +88,17 @@ def test_posts_counted_do_not_grow_with_history(forum, monkeypatch):
         assert _rows(page) == _rows(feed.feed_page(tables, 2, NOW, limit=3))
         counted[days] = sum(seen)
     assert counted[60] <= counted[20] * 1.2 and counted[60] < 60
+
+
+def test_a_deep_cursor_takes_two_tries(forum, monkeypatch):
+    scored = feed.scored_posts
+    for days in (20, 120):
+        tables = _forum(forum, days, 6, random.Random(2))
+        zones = z.zones_of(tables).localCheckpoint()
+        every = feed.feed_page(tables, 1, NOW, limit=10**6).collect()
+        for at in (len(every) // 2, len(every) - 12):
+            asked = {"limit": 5, "cursor": (every[at]["final_score"], every[at]["id"])}
+            tries = []
+            monkeypatch.setattr(z, "scored_posts", lambda *a: tries.append(1) or scored(*a))
+            assert _rows(z.bounded_page(tables, zones, 1, NOW, first=2, **asked)) == _rows(feed.feed_page(tables, 1, NOW, **asked))
+            assert len(tries) <= 2
