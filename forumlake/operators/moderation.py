@@ -35,8 +35,14 @@ def _is(owner: str) -> Column:
 
 
 def _with_first(judged: DataFrame, key: str, effective: Column) -> DataFrame:
-    """Adds `_first`, the order of the first effective request on the same target."""
-    first = judged.where(effective).groupBy(F.col(key).alias("_target")).agg(F.min(F.struct(*ORDER)).alias("_first"))
+    """Adds `_first`, the order of the first effective request on the same target.
+
+    Requests without effect and those without a target are passed over, not filtered: a filter,
+    also the one that a join adds to its grouping key, would be pushed down on this side only,
+    and the requests would be read, joined and shuffled once more.
+    """
+    first = F.min(F.when(effective, F.struct(*ORDER))).alias("_first")
+    first = judged.groupBy(key).agg(F.max(key).alias("_target"), first).drop(key)
     return judged.join(first, judged[key] == first["_target"], "left").drop("_target")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 TASK_KEY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
+SHUFFLES_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -63,7 +67,32 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the plans made and run inside go when each has run, not when the driver next collects garbage.
+
+    Only for results that are written: a frame collected again would have to compute them again.
+    """
+    before = spark.conf.get(SHUFFLES_KEY, None)
+    spark.conf.set(SHUFFLES_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_KEY)
+        else:
+            spark.conf.set(SHUFFLES_KEY, before)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Materialise reliably, so that later plans see one fixed result."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """As `freeze`, but as column files: compressed, and later plans read only the columns they use."""
+    path = work_dir(df.sparkSession, name)
+    with short_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from forumlake.operators.counts import with_counts
 from forumlake.operators.outcome import Outcome, update_rows
 from forumlake.schema import primary_key
-from forumlake.session import freeze
+from forumlake.session import keep
 from forumlake.sources.tables import Tables, conform
 from forumlake.streaming.segments import BUCKETS, FOLD, Notes, Segments
 
@@ -47,15 +47,15 @@ def _schools_added(rows: DataFrame) -> DataFrame:
 
 def row_changes(tables: Tables, outcome: Outcome) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(came, went): the rows of counted tables that an outcome adds or changes as they are after it, and the changed ones as they were."""
-    outcome = outcome.frozen()
     came, went = {}, {}
+    # what is kept is the changes: the verdicts on all requests, with their texts, are many times as large
     for name in COUNTED.intersection(outcome.updates):
-        delta, key = outcome.updates[name], primary_key(name)
+        delta, key = keep(outcome.updates[name], "changes"), primary_key(name)
         marked = delta.select(F.col(key).cast(tables[name].schema[key].dataType).alias(key))
-        went[name] = freeze(tables[name].join(marked, key, "left_semi").select(*tables[name].columns))
+        went[name] = keep(tables[name].join(marked, key, "left_semi").select(*tables[name].columns), "went")
         came[name] = update_rows(went[name], delta, key)
     for name in COUNTED.intersection(outcome.inserts):
-        rows = conform(outcome.inserts[name], tables[name])
+        rows = keep(conform(outcome.inserts[name], tables[name]), "inserts")
         came[name] = came[name].unionByName(rows) if name in came else rows
     return came, went
 
@@ -86,6 +86,18 @@ class Activity:
         users = tables["users"].where("school_id IS NOT NULL")
         return [users.selectExpr("CAST(school_id AS INT) AS school_id", f"{sign}L AS user_count", *facts)]
 
+    def _before_and_after(self, batch: int, delta: DataFrame) -> DataFrame:
+        """The posts of a delta, a row each: their school, their counts without the batch (`old_`) and with it."""
+        if not batch:
+            return delta.select("*", *[F.lit(0).cast("bigint").alias(f"old_{f}") for f in FACTS])
+        before = self.posts.before(batch, POST, delta.select("post_id"))
+        before = before.toDF("_post", "_school", *[f"old_{f}" for f in FACTS])
+        old = {f: F.coalesce(f"old_{f}", F.lit(0)) for f in FACTS}
+        return delta.join(before, F.col("post_id") == F.col("_post"), "left").select(
+            "post_id", F.greatest("school_id", "_school").alias("school_id"),
+            *[old[f].alias(f"old_{f}") for f in FACTS], *[(F.col(f) + old[f]).alias(f) for f in FACTS],
+        )
+
     def apply(self, batch: int, came: Mapping[str, DataFrame], went: Mapping[str, DataFrame] = {}) -> None:
         """Adds rows that came, and takes off rows that went, by table (posts, comments, post_likes, post_reports, users).
 
@@ -95,17 +107,13 @@ class Activity:
         self.schools.start(batch)
         empty = self.spark.createDataFrame([], POST)
         rows = reduce(DataFrame.unionByName, self._signed(came, 1) + self._signed(went, -1), empty)
-        delta = freeze(_posts_added(rows))
-        before = self.posts.before(batch, POST, delta.select("post_id"))
+        self.posts.write(_posts_added(rows), batch)
+        both = self._before_and_after(batch, self.posts.of(batch, POST))
         # what a post is worth to its school: its counts while it is there, nothing else
-        marked = before.withColumn("_old", F.lit(True)).unionByName(delta.withColumn("_old", F.lit(False)))
-        old = [F.coalesce(F.sum(F.when(F.col("_old"), F.col(f))), F.lit(0)).alias(f"old_{f}") for f in FACTS]
-        both = marked.groupBy("post_id").agg(F.max("school_id").alias("school_id"), *old, *[F.sum(f).alias(f) for f in FACTS])
         there, was = F.col("post_count") > 0, F.col("old_post_count") > 0
         worth = [(F.when(there, F.col(f)).otherwise(0) - F.when(was, F.col(f"old_{f}")).otherwise(0)).alias(f) for f in FACTS]
         moved = both.where("school_id IS NOT NULL").select("school_id", F.lit(0).cast("bigint").alias("user_count"), *worth)
         self.schools.write(_schools_added(reduce(DataFrame.unionByName, self._members(came, 1) + self._members(went, -1), moved)), batch)
-        self.posts.write(delta, batch)
         self.done.write(batch, {})
 
     def _batches(self) -> int:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
+from forumlake.session import short_shuffles
+
 BUCKET = "bucket"
 SEGMENT = "segment"
 FOLD = 8
@@ -78,7 +80,8 @@ class Segments:
     def _put(self, rows: DataFrame, segment: tuple[int, int]) -> None:
         # a bucket's rows lie together, large buckets are split
         rows = rows.withColumn(BUCKET, self._bucket(self.key)).hint("rebalance", BUCKET)
-        rows.write.mode("overwrite").partitionBy(BUCKET).parquet(self._at(segment))
+        with short_shuffles(rows.sparkSession):
+            rows.write.mode("overwrite").partitionBy(BUCKET).parquet(self._at(segment))
 
     def _read(self, segments: Iterable[tuple[int, int]], schema: StructType) -> DataFrame:
         paths = [self._at(s) for s in segments]
@@ -98,6 +101,10 @@ class Segments:
         for whole, parts in folds(batch + 1, self.fold):
             self._put(self.merge(self._read(parts, rows.schema).drop(BUCKET)), whole)
 
+    def of(self, batch: int, schema: StructType) -> DataFrame:
+        """The rows that a batch has written, until the next one starts."""
+        return self._read([(batch, batch)], schema).drop(BUCKET)
+
     def before(self, batch: int, schema: StructType, touched: DataFrame | None = None) -> DataFrame:
         """Rows of all earlier batches; with `touched` (key) only those of its keys, from their buckets.
 
@@ -107,7 +114,7 @@ class Segments:
         if touched is not None and batch > 0:
             # at most `buckets` numbers
             hit = [r[0] for r in touched.select(self._bucket(touched.columns[0])).distinct().collect()]
-            keys = touched.toDF("_key").distinct()
+            keys = touched.toDF("_key")
             rows = rows.where(F.col(BUCKET).isin(hit)).join(keys, F.col(self.key) == keys["_key"], "left_semi")
         return self.merge(rows.drop(BUCKET))
 

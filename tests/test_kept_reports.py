@@ -70,3 +70,49 @@ def test_a_batch_opens_only_its_buckets(spark, made, tmp_path):
     files = kept.posts.before(1, POST, touched)
     assert [r["post_id"] for r in files.collect()] == ["p4"]
     assert "PartitionFilters: [isnotnull(bucket" in files._jdf.queryExecution().executedPlan().toString()
+
+
+def _deletes(made, frame):
+    rows = [
+        {"request_id": f"r{k}", "requested_at": NOON, "requesting_user_id": "system", "post_id": post, "reason_category": "spam"}
+        for k, post in enumerate(("p4", "p4", "p5", None))
+    ]
+    return moderation.apply_post_deletes(made, frame(MODERATE, rows), NOW)
+
+
+def test_changes_are_kept_as_column_files(made, frame):
+    came, went = row_changes(made, _deletes(made, frame))
+    assert sorted(r["id"] for r in went["posts"].collect()) == ["p4", "p5"]
+    for rows in (came["posts"], went["posts"]):  # a plan reads what it uses, verdicts and texts are not stored
+        plan = rows.select("id", "school_id")._jdf.queryExecution().executedPlan().toString()
+        schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "FileScan parquet" in line]
+        assert schemas and "ExistingRDD" not in plan
+        assert all("content" not in s and "requested_at" not in s for s in schemas)
+
+
+def test_requests_are_shuffled_once(spark, made, frame):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        delta = _deletes(made, frame).updates["posts"]
+        assert sorted(r["id"] for r in delta.collect()) == ["p4", "p5"]
+        plan = delta._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(post_id" in line]
+    assert [("ReusedExchange" in line) for line in shuffles].count(False) == 1
+
+
+def test_shuffle_files_go_with_the_batch(spark, made, tmp_path):
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        blocks = manager.getAllBlocks().mkString(" ").split()
+        return {name.split("_")[1] for name in blocks if name.startswith("shuffle_")}
+
+    before = files()
+    kept = Activity(spark, str(tmp_path))
+    kept.apply(0, {n: made[n] for n in TABLES})
+    kept.apply(1, {"comments": made["comments"]}, {"comments": made["comments"]})
+    # only that of the small query for the touched buckets is left to the collector
+    assert len(files() - before) <= 1
