@@ -62,10 +62,20 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def key_columns(table: str) -> dict[str, Column]:
-    """Values of the primary and unique keys, as text, by their names."""
+def key_names(table: str) -> dict[str, tuple[str, ...]]:
+    """Columns of the primary and unique keys by their names."""
     keys = [(primary_key(table),)] + ([UNIQUE_KEYS[table]] if table in UNIQUE_KEYS else [])
-    return {", ".join(key): F.array(*map(_text, key)) for key in keys}
+    return {", ".join(key): key for key in keys}
+
+
+def key_texts(table: str) -> dict[str, list[Column]]:
+    """Values of the primary and unique keys, as text, by their names."""
+    return {name: [_text(column) for column in key] for name, key in key_names(table).items()}
+
+
+def key_columns(table: str) -> dict[str, Column]:
+    """The same, an array each."""
+    return {name: F.array(*texts) for name, texts in key_texts(table).items()}
 
 
 def key_labels(names: Iterable[str]) -> dict[str, list[str]]:

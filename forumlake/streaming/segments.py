@@ -13,9 +13,9 @@ deleted when the next batch starts, for only then the fold's batch is known to b
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
@@ -66,8 +66,10 @@ class Segments:
 
     def __init__(
         self, spark: SparkSession, path: str, key: str, merge: Callable[[DataFrame], DataFrame] | None = None,
-        fold: int = FOLD, buckets: int = BUCKETS,
+        fold: int = FOLD, buckets: int = BUCKETS, order: Sequence[str] = (),
     ):
+        """Files are sorted by `order`, so a reader that picks by these columns skips most pages."""
+        self.order = order
         self.spark, self.path, self.key, self.fold, self.buckets = spark, path, key, fold, buckets
         self.merge = merge or (lambda rows: rows)
 
@@ -80,6 +82,8 @@ class Segments:
     def _put(self, rows: DataFrame, segment: tuple[int, int]) -> None:
         # a bucket's rows lie together, large buckets are split
         rows = rows.withColumn(BUCKET, self._bucket(self.key)).hint("rebalance", BUCKET)
+        if self.order:
+            rows = rows.sortWithinPartitions(BUCKET, *self.order)
         with short_shuffles(rows.sparkSession):
             rows.write.mode("overwrite").partitionBy(BUCKET).parquet(self._at(segment))
 
@@ -110,13 +114,19 @@ class Segments:
 
         Before the first batch there are none, and `touched` is not read.
         """
+        return self.merge(self.parts(batch, schema, touched))
+
+    def parts(self, batch: int, schema: StructType, touched: DataFrame | None = None, only: Column | None = None) -> DataFrame:
+        """The same rows as they were written, not merged yet; `only` picks rows before they meet `touched`."""
         rows = self._read(cover(batch, self.fold), schema)
+        if only is not None:
+            rows = rows.where(only)
         if touched is not None and batch > 0:
             # at most `buckets` numbers
             hit = [r[0] for r in touched.select(self._bucket(touched.columns[0])).distinct().collect()]
             keys = touched.toDF("_key")
             rows = rows.where(F.col(BUCKET).isin(hit)).join(keys, F.col(self.key) == keys["_key"], "left_semi")
-        return self.merge(rows.drop(BUCKET))
+        return rows.drop(BUCKET)
 
 
 class Notes:

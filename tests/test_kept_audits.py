@@ -1,11 +1,15 @@
 """Audits kept by batches against the full audits, and what a batch reads."""
 
+import collections
+import glob
 import random
 
 import pytest
 from conftest import T0
 
 from forumlake.operators import audit
+from forumlake.session import shared_dir
+from forumlake.streaming import audits
 from forumlake.streaming.audits import KEYS, KeptAudit
 
 NAMES = ["users", "posts", "comments", "post_likes", "moderation_logs", "schools"]
@@ -79,3 +83,30 @@ def test_single_table(spark, forum, tmp_path, name):
     kept = KeptAudit(spark, str(tmp_path / "audit"))
     kept.apply(0, _only(tables, name))
     assert _rows(kept.unique([name])) == _rows(audit.audit_unique(tables, [name]))
+
+
+def test_a_batch_is_grouped_once_and_not_checkpointed(spark, forum, tmp_path):
+    first = _only(_state(forum, random.Random(7), 12), *NAMES)
+    folders = lambda: set(glob.glob(f"{shared_dir(spark)}/**/rdd-*", recursive=True))
+    before = folders()
+    kept = KeptAudit(spark, str(tmp_path / "audit"))
+    kept.apply(0, first)
+    assert folders() == before
+    assert sorted(p.name for p in (tmp_path / "audit").iterdir()) == ["done", "keys", "totals"]
+    # a post that is there and used is one row: its rows, and its uses by reference
+    want = collections.Counter(r["id"] for r in first["posts"].collect())
+    used = collections.Counter(r["post_id"] for n in ("comments", "post_likes") for r in first[n].collect())
+    rows = kept.keys.before(1, KEYS).where("table_name = 'posts' AND key = 'id'").collect()
+    assert len(rows) == len(set(want) | set(used))
+    assert {r["_value"][0]: (r["n"], sum(r["uses"] or [])) for r in rows} == {p: (want[p], used[p]) for p in set(want) | set(used)}
+
+
+def test_sets_of_rules_of_several_numbers(spark, forum, tmp_path, monkeypatch):
+    monkeypatch.setattr(audits, "WORD", 12)
+    tables = _state(forum, random.Random(3), 15)
+    tables["users"] = tables["users"].selectExpr("* EXCEPT (role, updated_at)", "IF(id > 'u5', 'x', NULL) AS role", "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at")
+    kept = KeptAudit(spark, str(tmp_path / "audit"))
+    kept.apply(0, _only(tables, "users", "posts"))
+    got = {tuple(r) for r in kept.domains().collect()}
+    assert got == {tuple(r) for r in audit.audit_domains(tables, ["users", "posts"]).collect()}
+    assert {n for _, rule, n in got if rule in ("updated_at not null", "status not null")} == {0, 15}
